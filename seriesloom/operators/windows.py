@@ -67,6 +67,7 @@ def naive_forecasts(
         .withColumn(
             "two_point_line", F.when(F.col("__v2").isNotNull(), line).otherwise(F.col("__v1"))
         )
+        .withColumn("elapsed_days", elapsed_days(time, "__t1"))
         .drop("__t1", "__v1", "__t2", "__v2")
     )
 
