@@ -71,7 +71,7 @@ def central_interval(mean: Column, sd: Column, multiplier: float) -> tuple[Colum
 
 def interval_score(truth: Column, lower: Column, upper: Column, alpha: float) -> Column:
     miss = F.greatest(lower - truth, F.lit(0.0)) + F.greatest(truth - upper, F.lit(0.0))
-    return (upper - lower) + F.lit(2.0 / alpha) * miss
+    return F.when(truth.isNotNull(), (upper - lower) + F.lit(2.0 / alpha) * miss)
 
 
 def weighted_interval_score(

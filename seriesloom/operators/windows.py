@@ -17,8 +17,8 @@ def days_between(later: str | Column, earlier: str | Column) -> Column:
 
 def elapsed_days(later: str | Column, earlier: str | Column) -> Column:
     """Elapsed days with the floor used by every sequential estimator; 0 on the first row."""
-    raw = F.greatest(days_between(later, earlier), F.lit(MIN_ELAPSED_DAYS))
-    return F.coalesce(raw, F.lit(0.0))
+    raw = days_between(later, earlier)
+    return F.when(raw.isNotNull(), F.greatest(raw, F.lit(MIN_ELAPSED_DAYS))).otherwise(F.lit(0.0))
 
 
 def increments(df: DataFrame, by: SeriesOrder, value: str) -> DataFrame:
