@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from seriesloom.plans import columns, scores, sequences  # noqa: F401
+from seriesloom.plans import columns, links, scores, sequences  # noqa: F401
 from seriesloom.plans.registry import ORACLES, QUERIES  # noqa: F401
