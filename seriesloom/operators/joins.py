@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.contracts import ContractError, assert_unique, duplicate_keys
-from seriesloom.operators.ordering import SeriesOrder, running
+from seriesloom.operators.contracts import assert_unique
+from seriesloom.operators.ordering import SeriesOrder, number_rows, previous, running
 
 
 def enrich(
@@ -120,13 +120,18 @@ def best_earlier_fit(
     )
 
 
-def token_match(names: DataFrame, ids: DataFrame, name: str, key: str, pattern: str = r"\.([^._]+)(?=[._])") -> DataFrame:
+def token_match(names: DataFrame, ids: DataFrame, name: str, key: str) -> DataFrame:
     """Ids that occur in a name as ``.id.`` or ``.id_``.
 
-    Every delimited token of the name is extracted once and joined by equality, instead of testing
-    each id against each name.
+    The candidates of a name are its stretches between a dot and a later dot or underscore; they
+    are joined by equality, instead of testing each id against each name.
     """
-    tokens = names.select("*", F.explode(F.array_distinct(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)))).alias(key))
+    spots = f"filter(sequence(1, greatest(length(`{name}`), 1)), i -> substring(`{name}`, i, 1) IN ('.', '_'))"
+    stretches = (
+        f"array_distinct(flatten(transform(filter({spots}, d -> substring(`{name}`, d, 1) = '.'), "
+        f"d -> transform(filter({spots}, e -> e > d), e -> substring(`{name}`, d + 1, e - d - 1)))))"
+    )
+    tokens = names.select("*", F.explode(F.expr(stretches)).alias(key))
     return tokens.join(ids, key, "inner")
 
 
@@ -141,8 +146,6 @@ def pair_length_errors(
     counts neighbours whose predictions are in the opposite order; with any of those, lengths fold
     over and the signed figures do not hold for the group.
     """
-    from seriesloom.operators.ordering import number_rows, previous
-
     keys = list(keys)
     rows = df.withColumn("__e", F.col(prediction) - F.col(truth))
     by_truth = SeriesOrder.by_value(tuple(keys), truth, tuple(ties))

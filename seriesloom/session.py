@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "seriesloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +40,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a many-times-read intermediate to the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and gives the planner real sizes.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/seriesloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
