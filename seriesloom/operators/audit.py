@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.ordering import CHUNK, SeriesOrder, with_halo, without_halo
-from seriesloom.session import materialize
+from seriesloom.session import materialize, sorted_by_key
 
 
 def _pool_adjacent(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _pool_adjacent(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFram
         if open_blocks:
             yield pd.DataFrame([(*current, *b) for b in open_blocks], columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, ordinal).mapInPandas(run, schema)
+    return sorted_by_key(df, list(keys), [ordinal]).mapInPandas(run, schema)
 
 
 def isotonic_fit(df: DataFrame, by: SeriesOrder, value: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.session import materialize
+from seriesloom.session import materialize, sorted_by_key
 
 # Default settings, value limits and the reported probabilities.
 LEVEL_MIN, LEVEL_MAX = 0.0, 450.0
@@ -379,8 +379,7 @@ def particle_filter(
             yield pd.DataFrame(out)
 
     # State rows have a NULL time and so come first in their entity.
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, time, *ties)
-    return ordered.mapInPandas(run, schema)
+    return sorted_by_key(rows, keys, [time, *ties]).mapInPandas(run, schema)
 
 
 def filter_in_slices(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators.assignment import solve_scores
 from seriesloom.operators.particle import POSTERIOR_NAMES, FilterSettings, Particles
+from seriesloom.session import sorted_by_key
 
 # Defaults of the tracker and of the filter inside it.
 APP_FILTER = FilterSettings(
@@ -277,10 +278,8 @@ def track(frames: DataFrame, candidates: DataFrame, settings: TrackSettings = Tr
         if tail:
             yield rows_to_pandas(tail)
 
-    ordered = rows.repartition("camera_id").sortWithinPartitions(
-        "camera_id", "capture_datetime", "filename", "candidate_index"
-    )
-    return ordered.mapInPandas(run, ROW_SCHEMA)
+    order = ["capture_datetime", "filename", "candidate_index"]
+    return sorted_by_key(rows, ["camera_id"], order).mapInPandas(run, ROW_SCHEMA)
 
 
 def candidate_log_score(value: str, mean: str, latent_sd: str, sd: str, gate_z: float = 3.0):

@@ -14,7 +14,6 @@ from seriesloom.operators import metrics as M
 from seriesloom.operators import particle as PF
 from seriesloom.operators import tracking as TR
 from seriesloom.operators.assignment import assign_by_position
-from seriesloom.operators.joins import best_earlier_fit
 from seriesloom.operators.ordering import SeriesOrder
 from seriesloom.plans.registry import EVENT_ORDER, query, rnd, sql_rnd
 from seriesloom.plans.scores import rounded

@@ -51,3 +51,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/seriesloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a key together and in order, for a function that streams through its partition.
+
+    The number of partitions is given, so adaptive execution does not merge small but costly ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
