@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.ordering import SeriesOrder, previous, running
-from seriesloom.session import materialize
+from seriesloom.session import materialize, spread_by_key
 
 
 def match_on_line(left: np.ndarray, right: np.ndarray, gate: float) -> list[tuple[int, int]]:
@@ -83,7 +83,7 @@ def assign_by_position(
         out |= {candidate_id: a["id"].to_numpy()[i], anchor_id: b["id"].to_numpy()[j]}
         return pd.DataFrame({**out, "distance": np.abs(a["x"].to_numpy()[i] - b["x"].to_numpy()[j])})
 
-    return pieces.groupBy(*keys, "piece").applyInPandas(solve, schema)
+    return spread_by_key(pieces, [*keys, "piece"]).groupBy(*keys, "piece").applyInPandas(solve, schema)
 
 
 def solve_scores(cost: np.ndarray) -> dict[int, int]:

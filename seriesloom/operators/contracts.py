@@ -98,21 +98,21 @@ def clean_candidates(
 ) -> DataFrame:
     """Clip boxes to the image and key points to boxes, then drop implausible detections."""
     corners = ["box_x1", "box_y1", "box_x2", "box_y2", "x_top", "y_top", "x_root", "y_root"]
-    finite = F.lit(True)
-    for c in corners:
-        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    # A sum that is NULL, NaN or infinite has such a part; finite pixels cannot overflow it.
+    finite = sum((F.col(c) for c in corners[1:]), F.col(corners[0])) * 0.0 == 0.0
     clip = lambda c, lo, hi: F.least(F.greatest(F.col(c), lo), hi)
     right, bottom = F.col("image_width") - 1.0, F.col("image_height") - 1.0
+    zero = F.lit(0.0)
     boxed = df.filter(finite).withColumns(
         {
-            "box_x1": clip("box_x1", F.lit(0.0), right),
-            "box_x2": clip("box_x2", F.lit(0.0), right),
-            "box_y1": clip("box_y1", F.lit(0.0), bottom),
-            "box_y2": clip("box_y2", F.lit(0.0), bottom),
+            "box_x1": clip("box_x1", zero, right),
+            "box_x2": clip("box_x2", zero, right),
+            "box_y1": clip("box_y1", zero, bottom),
+            "box_y2": clip("box_y2", zero, bottom),
         }
     )
     x1, x2, y1, y2 = (F.col(c) for c in ("box_x1", "box_x2", "box_y1", "box_y2"))
-    points = boxed.filter((x2 > x1) & (y2 > y1)).withColumns(
+    points = boxed.withColumns(
         {
             "x_top": clip("x_top", x1, x2),
             "x_root": clip("x_root", x1, x2),
@@ -120,13 +120,15 @@ def clean_candidates(
             "y_root": clip("y_root", y1, y2),
         }
     )
-    ratio = (y2 - y1) / F.greatest(x2 - x1, F.lit(1.0))
+    width, ratio = x2 - x1, (y2 - y1) / F.greatest(x2 - x1, F.lit(1.0))
     return points.withColumn(
-        "height_px", F.greatest(F.col("y_root") - F.col("y_top"), F.lit(0.0))
+        "height_px", F.greatest(F.col("y_root") - F.col("y_top"), zero)
     ).filter(
-        (F.col("height_px") >= min_height)
+        (width > 0)
+        & (y2 > y1)
+        & (F.col("height_px") >= min_height)
         & (F.col("y_root") >= min_root_fraction * F.col("image_height"))
-        & (x2 - x1 >= min_width)
+        & (width >= min_width)
         & ratio.between(*aspect)
     )
 

@@ -184,12 +184,14 @@ class Particles:
         mean = float(self.weight @ values)
         return mean, float(self.weight @ (values - mean) ** 2)
 
-    def mixture_cdf(self, points: np.ndarray, sd: float, p_out: float) -> np.ndarray:
+    def mixture(self, points: np.ndarray, sd: float, p_out: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distribution function and density of the next observation at some points."""
         gap = points[:, None] - self.level[None, :]
-        parts = (1 - p_out) * normal_cdf(gap / sd)
-        if p_out > 0:
-            parts = parts + p_out * normal_cdf(gap / self.s.outlier_sd)
-        return parts @ self.weight
+        widths = np.array([sd, self.s.outlier_sd]) if p_out > 0 else np.array([sd])
+        share = np.array([1 - p_out, p_out])[: len(widths)]
+        cdf, bell = normal_cdf_and_bell(gap[None] / widths[:, None, None])
+        density = (share / widths) @ (bell @ self.weight) / math.sqrt(2 * math.pi)
+        return share @ (cdf @ self.weight), density
 
     def mixture_quantiles(self, sd: float, p_out: float) -> np.ndarray:
         """Invert the mixture at the reported probabilities: Newton steps kept inside brackets."""
@@ -200,17 +202,11 @@ class Particles:
         mean, var = self.moments(self.level)
         x = np.clip(mean + math.sqrt(var + sd * sd) * np.asarray(PREDICTIVE_Z), low, high)
         for _ in range(100):
-            gap = x[:, None] - self.level[None, :]
-            cdf, bell = normal_cdf_and_bell(gap / sd)
-            mass, slope = (1 - p_out) * (cdf @ self.weight), (1 - p_out) / sd * (bell @ self.weight)
-            if p_out > 0:
-                cdf, bell = normal_cdf_and_bell(gap / s.outlier_sd)
-                mass = mass + p_out * (cdf @ self.weight)
-                slope = slope + p_out / s.outlier_sd * (bell @ self.weight)
+            mass, slope = self.mixture(x, sd, p_out)
             miss = mass - target
             high, low = np.where(miss > 0, x, high), np.where(miss > 0, low, x)
             with np.errstate(divide="ignore", invalid="ignore"):
-                new = x - miss / slope * math.sqrt(2 * math.pi)
+                new = x - miss / slope
             new = np.where((new >= low) & (new <= high), new, 0.5 * (low + high))
             moved, x = np.max(np.abs(new - x)), new
             if moved < 1e-7:
@@ -261,7 +257,7 @@ class Particles:
             row |= {"elapsed_days": days, "predictive_mean_cm": mean, "predictive_sd_cm": math.sqrt(var + noise)}
             if s.quantiles:
                 row |= dict(zip(PREDICTIVE_NAMES, self.mixture_quantiles(sd, p_out)))
-            row["predictive_pit"] = float(self.mixture_cdf(np.array([value]), sd, p_out)[0])
+            row["predictive_pit"] = float(self.mixture(np.array([value]), sd, p_out)[0][0])
             row["predictive_log_score"], row["outlier_posterior_probability"] = self.reweight(value, sd, p_out)
         row |= self.posterior()
         row["effective_sample_size"] = self.ess

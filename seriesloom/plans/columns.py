@@ -11,6 +11,7 @@ from seriesloom.operators.ordering import previous
 from seriesloom.operators.windows import elapsed_days
 from seriesloom.plans.registry import EVENT_ORDER, EVENT_WINDOW, query, rnd, sql_rnd
 from seriesloom.plans.scores import OUTLIER, OUTLIER_SD, sql_phi
+from seriesloom.session import materialize
 
 # A text column with several spellings of a flag, derived from the event type.
 FLAG_SQL = """CASE event_type WHEN 'view' THEN ' True' WHEN 'click' THEN '1' WHEN 'signup' THEN 'YES '
@@ -121,15 +122,15 @@ def boxes(t):
 
 @query(
     "p07_clean_candidates",
-    f"""WITH {_BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, {sql_rnd('x1')} AS box_x1, {sql_rnd('y1')} AS box_y1, {sql_rnd('x2')} AS box_x2,
-      {sql_rnd('y2')} AS box_y2, {sql_rnd('xt')} AS x_top, {sql_rnd('yt')} AS y_top, {sql_rnd('xr')} AS x_root,
-      {sql_rnd('yr')} AS y_root, {sql_rnd('h')} AS height_px FROM b3
+    f"""WITH {_BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, x1 AS box_x1, y1 AS box_y1, x2 AS box_x2,
+      y2 AS box_y2, xt AS x_top, yt AS y_top, xr AS x_root,
+      yr AS y_root, h AS height_px FROM b3
     WHERE h >= 20 AND yr >= 0.35 * 480 AND x2 - x1 >= 5 AND (y2 - y1) / greatest(x2 - x1, 1) BETWEEN 0.4 AND 25""",
 )
 def p07(t):
-    d = P.clean_candidates(boxes(t))
+    d = P.clean_candidates(materialize(boxes(t)))  # a stored candidate table
     names = ["box_x1", "box_y1", "box_x2", "box_y2", "x_top", "y_top", "x_root", "y_root", "height_px"]
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", *[rnd(c).alias(c) for c in names])
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *names)
 
 
 _CAL_SQL = """m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax, l_discount,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import bootstrap as B
 from seriesloom.operators import fitting as Fit
-from seriesloom.operators import metrics as M
+from seriesloom.operators.consensus import pole_sequences
 from seriesloom.operators.ordering import number_rows, running
 from seriesloom.plans.registry import EVENT_ORDER, query, rnd, sql_rnd
 from seriesloom.plans.scores import ESTIMATORS, FC, forecasts, rounded
@@ -315,3 +315,20 @@ def a15(t):
     m = merged(t)
     base = Fit.base_gap(Fit.gaps(m, ["user_id"]), ["user_id"])
     return rounded(Fit.sequence_metrics(m, ["user_id"], base), 4)
+
+
+@query("j13_pair_seeded_line")
+def j13(t):
+    """Bands about 24 px apart on one pole, with the error events scattered beside it."""
+    rows = number_rows(t.events.select("user_id", "event_id", "event_type", "ts", "value"), EVENT_ORDER)
+    beside = F.col("event_type") == "error"
+    e = F.col("event_id")
+    rows = rows.select(
+        "user_id",
+        "event_id",
+        (F.col("sequence_number") * 24 + F.col("value") % 4).alias("y"),
+        F.when(beside, F.lit(350) + F.col("value") * 5).otherwise(F.lit(320) + e % 7 * 0.8).alias("x"),
+        (F.lit(50) + e % 13).cast("double").alias("area"),
+        (F.lit(1) + e % 11).cast("double").alias("component_score"),
+    )
+    return rounded(pole_sequences(rows, ["user_id"], ["y", "event_id"]), 4)

@@ -53,10 +53,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of a key together and in order, for a function that streams through its partition.
+def spread_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by key into the configured number of partitions.
 
-    The number of partitions is given, so adaptive execution does not merge small but costly ones.
+    The number is given, so adaptive execution does not merge partitions that are small but costly
+    to process.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a key together and in order, for a function that streams through its partition."""
+    return spread_by_key(df, keys).sortWithinPartitions(*keys, *order)
