@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import seriesloom
+
+# Functions sent to tasks carry the package's own code, so workers need no installed copy.
+cloudpickle.register_pickle_by_value(seriesloom)
+
 
 def build_session(app: str = "seriesloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and the zone pinned to UTC.
