@@ -166,7 +166,7 @@ def fit_affine_loco(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     error and count of the omitted cluster under the line that did not see it.
     """
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-    sums = df.filter(X.isNotNull() & Y.isNotNull()).groupBy(cluster).agg(
+    sums = df.filter(X.isNotNull() & Y.isNotNull()).groupBy(F.col(cluster).alias("omitted")).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(X).alias("x"),
         F.sum(Y).alias("y"),
@@ -178,7 +178,7 @@ def fit_affine_loco(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     total = sums.agg(F.struct(*[F.sum(c).alias(c) for c in names])).scalar()
     none = {c: F.lit(0.0).alias(c) for c in names}
     folds = sums.withColumn("__t", total)
-    whole = folds.limit(1).select(F.lit(None).cast(dict(df.dtypes)[cluster]).alias(cluster), *none.values(), "__t")
+    whole = folds.limit(1).select(F.lit(None).cast(dict(df.dtypes)[cluster]).alias("omitted"), *none.values(), "__t")
     folds = folds.unionByName(whole)
     f = {c: F.col(f"__t.{c}") - F.col(c) for c in names}
     den = f["n"] * f["xx"] - f["x"] * f["x"]
@@ -190,7 +190,7 @@ def fit_affine_loco(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
         - 2 * a * F.col("y") - 2 * b * F.col("xy") + 2 * a * b * F.col("x")
     )
     return lines.select(
-        F.col(cluster).alias("omitted"), "intercept", "slope", F.col("n").cast("bigint").alias("cv_n"), F.greatest(sse, F.lit(0.0)).alias("cv_sse")
+        "omitted", "intercept", "slope", F.col("n").cast("bigint").alias("cv_n"), F.greatest(sse, F.lit(0.0)).alias("cv_sse")
     )
 
 

@@ -199,7 +199,7 @@ def error_quantiles(
 
 def leave_one_out(df: DataFrame, cluster: str, truth: str, left: str, right: str) -> DataFrame:
     """MAE of two estimators with each cluster omitted, from cluster sums (no second scan)."""
-    sums = df.groupBy(cluster).agg(
+    sums = df.groupBy(F.col(cluster).alias("omitted")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.abs(F.col(left) - F.col(truth))).alias("l"),
         F.sum(F.abs(F.col(right) - F.col(truth))).alias("r"),
@@ -209,7 +209,7 @@ def leave_one_out(df: DataFrame, cluster: str, truth: str, left: str, right: str
     ).scalar()
     kept = total["n"] - F.col("n")
     return sums.select(
-        F.col(cluster).alias("omitted"),
+        "omitted",
         kept.alias("n_retained"),
         ((total["l"] - F.col("l")) / kept).alias("left_mae"),
         ((total["r"] - F.col("r")) / kept).alias("right_mae"),
