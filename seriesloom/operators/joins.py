@@ -138,39 +138,60 @@ def token_match(names: DataFrame, ids: DataFrame, name: str, key: str) -> DataFr
 def pair_length_errors(
     df: DataFrame, keys: Sequence[str], truth: str, prediction: str, ties: Sequence[str]
 ) -> DataFrame:
-    """Errors of the lengths of all unordered pairs in a group, without forming the pairs.
+    """Errors |p_i - p_j| - |t_i - t_j| over all unordered pairs of a group, without forming them.
 
-    With predictions in the order of the truth, the error of the pair (i, j) is e_j - e_i for
-    e = prediction - truth, so the sum of squares over pairs is n*sum(e^2) - sum(e)^2 and the sums of
-    e_j - e_i and |e_j - e_i| follow from the ranks of a row by truth and by e. ``out_of_order``
-    counts neighbours whose predictions are in the opposite order; with any of those, lengths fold
-    over and the signed figures do not hold for the group.
+    The sum of absolute differences of a column follows from its ranks, which gives the bias. While
+    predictions keep the order of the truth, the error of a pair is the difference of two row errors
+    e = p - t: the squares sum to n*sum(e^2) - sum(e)^2 and the absolute values follow from the ranks
+    of e. A pair in the opposite order lies within the range of e, so only such near pairs of groups
+    with swapped neighbours are joined, by buckets of that width, to correct both sums exactly.
     """
     keys = list(keys)
-    rows = df.withColumn("__e", F.col(prediction) - F.col(truth))
-    by_truth = SeriesOrder.by_value(tuple(keys), truth, tuple(ties))
-    by_error = SeriesOrder.by_value(tuple(keys), "__e", tuple(ties))
-    ranked = previous(rows, by_truth, {"__p1": (prediction, 1)})
-    ranked = number_rows(number_rows(ranked, by_truth, "__rt"), by_error, "__re")
+    rows = df.select(
+        *keys, *ties, F.col(truth).cast("double").alias("__t"), F.col(prediction).cast("double").alias("__p")
+    ).withColumn("__e", F.col("__p") - F.col("__t"))
+    rank = lambda d, column, name: number_rows(d, SeriesOrder.by_value(tuple(keys), column, tuple(ties)), name)
+    by_truth = SeriesOrder.by_value(tuple(keys), "__t", tuple(ties))
+    ranked = previous(rows, by_truth, {"__p1": ("__p", 1)})
+    for column in ("__t", "__p", "__e"):
+        ranked = rank(ranked, column, f"__r{column}")
+    product = lambda c: F.sum(F.col(f"__r{c}") * F.col(c)).alias(f"__w{c}")
     total = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("__e").alias("s1"),
-        F.sum(F.col("__e") * F.col("__e")).alias("s2"),
-        F.sum(F.col("__rt") * F.col("__e")).alias("rt"),
-        F.sum(F.col("__re") * F.col("__e")).alias("re"),
-        F.sum(F.when(F.col(prediction) < F.col("__p1"), 1).otherwise(0).cast("bigint")).alias("out_of_order"),
+        F.count(F.lit(1)).alias("__n"),
+        F.sum("__t").alias("__s__t"),
+        F.sum("__p").alias("__s__p"),
+        F.sum("__e").alias("__s__e"),
+        F.sum(F.col("__e") * F.col("__e")).alias("__s2"),
+        product("__t"),
+        product("__p"),
+        product("__e"),
+        F.sum(F.when(F.col("__p") < F.col("__p1"), 1).otherwise(0)).alias("__swaps"),
+        (F.max("__e") - F.min("__e")).alias("__range"),
     )
-    n = F.col("n")
+    mixed = total.filter("__swaps > 0 AND __range > 0").select(*keys, "__range")
+    near = rows.join(mixed, keys).withColumn("__b", F.floor(F.col("__t") / F.col("__range")))
+    low = near.select(*keys, "__b", F.col("__t").alias("__ti"), F.col("__p").alias("__pi"))
+    high = near.select(
+        *keys, F.explode(F.array(F.col("__b"), F.col("__b") - 1)).alias("__b"), "__t", "__p"
+    )
+    dt, dp = F.col("__t") - F.col("__ti"), F.col("__pi") - F.col("__p")
+    swapped = low.join(high, [*keys, "__b"]).filter((dt > 0) & (dp > 0))
+    fixes = swapped.groupBy(*keys).agg(
+        F.sum(2 * F.least(dt, dp)).alias("__abs_fix"), F.sum(4 * dt * dp).alias("__sq_fix")
+    )
+    n = F.col("__n")
     pairs = n * (n - 1) / 2
-    # sum over pairs of x_(k) weighted by (number of smaller) - (number of larger) = 2k - n - 1
-    signed = 2 * F.col("rt") - (n + 1) * F.col("s1")
-    absolute = 2 * F.col("re") - (n + 1) * F.col("s1")
-    squared = n * F.col("s2") - F.col("s1") * F.col("s1")
-    return total.filter("n >= 2").select(
-        *keys,
-        pairs.cast("bigint").alias("pairs"),
-        (signed / pairs).alias("bias"),
-        (absolute / pairs).alias("mae"),
-        F.sqrt(F.greatest(squared, F.lit(0.0)) / pairs).alias("rmse"),
-        "out_of_order",
+    spread = lambda c: 2 * F.col(f"__w{c}") - (n + 1) * F.col(f"__s{c}")
+    fix = lambda c: F.coalesce(c, F.lit(0.0))
+    squared = n * F.col("__s2") - F.col("__s__e") * F.col("__s__e") - fix("__sq_fix")
+    return (
+        total.filter("__n >= 2")
+        .join(fixes, keys, "left")
+        .select(
+            *keys,
+            pairs.cast("bigint").alias("pairs"),
+            ((spread("__p") - spread("__t")) / pairs).alias("bias"),
+            ((spread("__e") - fix("__abs_fix")) / pairs).alias("mae"),
+            F.sqrt(F.greatest(squared, F.lit(0.0)) / pairs).alias("rmse"),
+        )
     )
