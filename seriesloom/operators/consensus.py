@@ -125,7 +125,7 @@ def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str], limi
     names = ("score", "x", "y", "area", *figures)
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         found = best_line(pdf[["x", "y", "area", "component_score"]].to_numpy(float))
         if found is None:
