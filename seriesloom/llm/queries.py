@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, sharding
+from seriesloom.llm import exact_dedup, packing, sharding
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,12 @@ def op1(spark, folder):
     return sharding.balanced_digest(table(spark, folder, "documents"), 8)
 
 
+@query("op2_packing")
+def op2(spark, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), path, 2048)
+
+
 @query(
     "op4_exact_dedup",
     """
