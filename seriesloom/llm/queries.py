@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, packing, sharding
+from seriesloom.llm import exact_dedup, packing, sharding, simhash
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op2(spark, folder):
 )
 def op4(spark, folder):
     return exact_dedup.marks(table(spark, folder, "documents"))
+
+
+@query("op6_simhash")
+def op6(spark, folder):
+    return simhash.digest(table(spark, folder, "documents"), words=3, radius=2)
