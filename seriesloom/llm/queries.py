@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, packing, sharding, simhash
+from seriesloom.llm import exact_dedup, packing, sharding, simhash, suffix_dedup
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,34 @@ def op4(spark, folder):
 @query("op6_simhash")
 def op6(spark, folder):
     return simhash.digest(table(spark, folder, "documents"), words=3, radius=2)
+
+
+@query(
+    "op7_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS win FROM d, unnest(range(0, length(h) // 2 - 99)) AS u(s)),
+    r AS (
+        SELECT doc_id, s FROM (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w
+        ) WHERE k > 1
+    ),
+    gone AS (SELECT DISTINCT doc_id, s + i AS b FROM r, unnest(range(0, 100)) AS u(i)),
+    every AS (SELECT doc_id, h, b FROM d, unnest(range(0, length(h) // 2)) AS u(b)),
+    marked AS (
+        SELECT every.doc_id, every.b, substr(every.h, 2 * every.b + 1, 2) AS x, gone.b IS NOT NULL AS g
+        FROM every LEFT JOIN gone ON every.doc_id = gone.doc_id AND every.b = gone.b
+    ),
+    stepped AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY b), false) AS opens FROM marked),
+    summed AS (
+        SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans,
+            sha256(unhex(coalesce(string_agg(x, '' ORDER BY b) FILTER (NOT g), ''))) AS kept_sha256
+        FROM stepped GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+        coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+    FROM d LEFT JOIN summed USING (doc_id)
+    """,
+)
+def op7(spark, folder):
+    return suffix_dedup.removals(table(spark, folder, "documents"), 100).drop("spans")
