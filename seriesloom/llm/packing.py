@@ -14,7 +14,7 @@ identifier and start; repeated rows are separate documents; an empty table gives
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,7 +27,7 @@ from seriesloom.llm.common import Scratch, binary_parts, each_slice, utf8
 
 GROUP = 65_536  # pieces packed by one task, on average
 REGROUP = 64
-_CLOSING = ".,!?;:*#$%&"
+_CLOSING = b".,!?;:*#$%&"
 
 
 class WordIds:
@@ -35,10 +35,11 @@ class WordIds:
 
     This vocabulary's rules never join characters across white space, so ids of a text are the ids of
     its stretches in order. A stretch of letters alone is one word to the rules, and its last id is
-    the only one that ends a word: many are encoded in one call and told apart by that mark.
+    the only one that ends a word: many are encoded in one call and told apart by that mark. Trailing
+    punctuation is a word of its own. What is learnt is dropped when it passes ``most`` stretches.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 300_000):
+    def __init__(self, tokenizer_path: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,54 +50,88 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.most = most
-        self.letters: dict[str, np.ndarray] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.letters = {}
-        self.place: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        split: list[tuple[bytes, str, str]] = []
-        for word in words:
-            whole = word.decode("utf-8")
-            core = whole.rstrip(_CLOSING)
-            # Letters beyond ASCII are left to the encoder, whose lower case is its own.
-            plain = core.lower() if core.isascii() else core
-            one = core.isalpha() and core.lower().isalpha()
-            split.append((word, plain, whole[len(core) :]) if one else (word, "", whole))
-        new = sorted({core for _, core, _ in split if core} - self.letters.keys())
-        for i in range(0, len(new), 500):
-            some = new[i : i + 500]
-            ids = np.array(self.encode([" ".join(some)])[0], dtype=np.uint32)
+        self.stretches: dict[bytes, int] = {}
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Append runs of ids to the store and return their numbers."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while self.count + len(sizes) > len(self.sizes):
+            self.starts, self.sizes = (np.append(a, np.zeros_like(a)) for a in (self.starts, self.sizes))
+        new = slice(self.count, self.count + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[new], self.sizes[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+        return range(new.start, new.stop)
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        return self.ids[at]
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.encoder.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
+    def _encode_each(self, texts: list[bytes]) -> None:
+        for i in range(0, len(texts), 20_000):
+            some = texts[i : i + 20_000]
+            found = self._encode(some)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.parts.update(zip(some, self._keep(np.fromiter(chain.from_iterable(found), np.uint32), sizes)))
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self._encode([b" ".join(some)])[0], dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.letters.update(zip(some, np.split(ids, cuts[:-1])))
+                self.parts.update(zip(some, self._keep(ids, np.diff(cuts, prepend=0))))
             else:
-                self.letters.update((w, np.array(x, dtype=np.uint32)) for w, x in zip(some, self.encode(some)))
-        tails = sorted({tail for _, _, tail in split if tail})
-        tail_ids = dict(zip(tails, (np.array(x, dtype=np.uint32) for x in self.encode(tails))))
-        for word, core, tail in split:
-            parts = ([self.letters[core]] if core else []) + ([tail_ids[tail]] if tail else [])
-            self.place[word] = len(self.pool)
-            self.pool.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+                self._encode_each(some)
+
+    def _learn(self, new: list[bytes]) -> None:
+        cores, tails = [], []
+        for stretch in new:
+            core = stretch.rstrip(_CLOSING)
+            if core.isalpha():
+                tails.append(stretch[len(core) :])
+                core = core.lower()
+            elif core and (text := core.decode("utf-8")).isalpha() and text.lower().isalpha():
+                # Letters beyond ASCII are left to the encoder, whose lower case is its own.
+                tails.append(stretch[len(core) :])
+            else:
+                core = b""
+                tails.append(stretch)
+            cores.append(core)
+        self._encode_words(list(set(cores) - self.parts.keys()))
+        self._encode_each(list(set(tails) - self.parts.keys()))
+        both = np.empty(2 * len(new), np.int64)
+        both[0::2] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(new))
+        both[1::2] = np.fromiter(map(self.parts.__getitem__, tails), np.int64, len(new))
+        sizes = self.sizes[both]
+        self.stretches.update(zip(new, self._keep(self._joined(both), sizes[0::2] + sizes[1::2])))
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) > self.most:
+        if len(self.stretches) > self.most:
             self.reset()
-        stretches = [t.split() for t in texts]
-        flat = list(chain.from_iterable(stretches))
-        self.learn(sorted(set(flat) - self.place.keys()))
-        ids = list(map(self.pool.__getitem__, map(self.place.__getitem__, flat)))
-        out, at = [], 0
-        for words in stretches:
-            out.append(np.concatenate(ids[at : at + len(words)]) if words else np.zeros(0, np.uint32))
-            at += len(words)
-        return out
+        split = [t.split() for t in texts]
+        flat = list(chain.from_iterable(split))
+        new = list(set(flat) - self.stretches.keys())
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.stretches.__getitem__, flat), np.int64, len(flat))
+        ids = self._joined(numbers)
+        token_ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
+        word_ends = np.cumsum([0] + [len(w) for w in split])
+        cuts = token_ends[word_ends]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
