@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, packing, sharding, simhash, suffix_dedup
+from seriesloom.llm import exact_dedup, packing, sharding, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6(spark, folder):
 )
 def op7(spark, folder):
     return suffix_dedup.removals(table(spark, folder, "documents"), 100).drop("spans")
+
+
+@query("op10_toxicity")
+def op10(spark, folder):
+    return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
