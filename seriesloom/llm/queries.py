@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, language_id, packing, sharding, simhash, suffix_dedup, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, packing, sharding, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op7(spark, folder):
     return suffix_dedup.removals(table(spark, folder, "documents"), 100).drop("spans")
 
 
+@query("op8_language_model")
+def op8(spark, folder):
+    return language_model.digest(table(spark, folder, "documents"))
+
+
 @query("op9_language_id")
 def op9(spark, folder):
     return language_id.digest(table(spark, folder, "documents"))
