@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language_id, language_model, packing, sharding, simhash, suffix_dedup, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, packing, sharding, simhash, suffix_dedup, topk, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,26 @@ def op2(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), path, 2048)
 
 
+@query(
+    "op3_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op3(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query(
     "op4_exact_dedup",
     """
