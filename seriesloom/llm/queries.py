@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language_id, language_model, packing, sharding, simhash, suffix_dedup, topk, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, packing, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +40,9 @@ def op2(spark, folder):
     "op3_topk",
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
         WHERE embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
     ),
     s AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
@@ -68,6 +68,12 @@ def op4(spark, folder):
     return exact_dedup.marks(table(spark, folder, "documents"))
 
 
+@query("op5_sentencepiece")
+def op5(spark, folder):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.digest(table(spark, folder, "documents"), path)
+
+
 @query("op6_simhash")
 def op6(spark, folder):
     return simhash.digest(table(spark, folder, "documents"), words=3, radius=2)
@@ -77,27 +83,26 @@ def op6(spark, folder):
     "op7_suffix_dedup",
     """
     WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS win FROM d, unnest(range(0, length(h) // 2 - 99)) AS u(s)),
-    r AS (
-        SELECT doc_id, s FROM (
-            SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w
-        ) WHERE k > 1
+    k AS (SELECT doc_id, 256 * c AS origin, substr(h, 512 * c + 1, 710) AS p FROM d, unnest(range(0, (length(h) + 511) // 512)) AS u(c)),
+    e AS (
+        SELECT doc_id, origin + i AS b, substr(p, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 200 <= length(p) THEN md5(substr(p, 2 * i + 1, 200)) END AS win
+        FROM k, unnest(range(0, least(256, length(p) // 2))) AS u(i)
     ),
-    gone AS (SELECT DISTINCT doc_id, s + i AS b FROM r, unnest(range(0, 100)) AS u(i)),
-    every AS (SELECT doc_id, h, b FROM d, unnest(range(0, length(h) // 2)) AS u(b)),
-    marked AS (
-        SELECT every.doc_id, every.b, substr(every.h, 2 * every.b + 1, 2) AS x, gone.b IS NOT NULL AS g
-        FROM every LEFT JOIN gone ON every.doc_id = gone.doc_id AND every.b = gone.b
+    r AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, b) > 1 AS again FROM e),
+    g AS (
+        SELECT doc_id, b, x, coalesce(
+            bool_or(again) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
+        FROM r
     ),
-    stepped AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY b), false) AS opens FROM marked),
-    summed AS (
-        SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans,
-            sha256(unhex(coalesce(string_agg(x, '' ORDER BY b) FILTER (NOT g), ''))) AS kept_sha256
-        FROM stepped GROUP BY doc_id
+    o AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY b) AS opens FROM g),
+    m AS (
+        SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+            sha256(unhex(coalesce(string_agg(x, '' ORDER BY b) FILTER (NOT gone), ''))) AS kept_sha256
+        FROM o GROUP BY doc_id
     )
     SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
         coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
-    FROM d LEFT JOIN summed USING (doc_id)
+    FROM d LEFT JOIN m USING (doc_id)
     """,
 )
 def op7(spark, folder):
