@@ -47,6 +47,9 @@ OUTPUTS = (
 )
 
 
+CELL = 1 / 40  # width, in deviations, of the cells that forecast quantiles merge particles in
+
+
 @dataclass(frozen=True)
 class FilterSettings:
     particles: int = 5000
@@ -194,15 +197,23 @@ class Particles:
         return share @ (cdf @ self.weight), density
 
     def mixture_quantiles(self, sd: float, p_out: float) -> np.ndarray:
-        """Invert the mixture at the reported probabilities: Newton steps kept inside brackets."""
+        """Invert the mixture at the reported probabilities: Newton steps kept inside brackets.
+
+        Particles are first merged in cells of ``CELL`` deviations, each kept as its weight, mean and
+        variance: the expansion to second order differs by less than the steps' tolerance.
+        """
         s, target = self.s, np.asarray(PREDICTIVE_P)
+        bottom, top = float(self.level.min()), float(self.level.max())
         reach = 10 * max(sd, s.outlier_sd)
-        low = np.full(len(target), self.level.min() - reach)
-        high = np.full(len(target), self.level.max() + reach)
+        low = np.full(len(target), bottom - reach)
+        high = np.full(len(target), top + reach)
         mean, var = self.moments(self.level)
         x = np.clip(mean + math.sqrt(var + sd * sd) * np.asarray(PREDICTIVE_Z), low, high)
+        width = CELL * min(sd, s.outlier_sd if p_out > 0 else sd)
+        merged = (top - bottom) / width < len(self.level) / 2
+        cells = self._cells(bottom, width) if merged else None
         for _ in range(100):
-            mass, slope = self.mixture(x, sd, p_out)
+            mass, slope = self._merged_mixture(x, cells, sd, p_out) if merged else self.mixture(x, sd, p_out)
             miss = mass - target
             high, low = np.where(miss > 0, x, high), np.where(miss > 0, low, x)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -213,6 +224,31 @@ class Particles:
                 break
         return x
 
+    def _cells(self, bottom: float, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights, means and variances of the particles of each cell that holds any."""
+        at = ((self.level - bottom) / width).astype(np.int64)
+        weight = np.bincount(at, self.weight)
+        first = np.bincount(at, self.weight * self.level)
+        held = weight > 0
+        mean = first[held] / weight[held]
+        centre = np.zeros(len(weight))
+        centre[held] = mean
+        spread = np.bincount(at, self.weight * (self.level - centre[at]) ** 2)[held] / weight[held]
+        return weight[held], mean, spread
+
+    def _merged_mixture(self, points: np.ndarray, cells: tuple, sd: float, p_out: float) -> tuple[np.ndarray, np.ndarray]:
+        weight, mean, spread = cells
+        parts = [(1 - p_out, sd)] + ([(p_out, self.s.outlier_sd)] if p_out > 0 else [])
+        mass, slope = np.zeros(len(points)), np.zeros(len(points))
+        for share, width in parts:
+            z = (points[:, None] - mean[None, :]) / width
+            cdf, bell = normal_cdf_and_bell(z)
+            bell /= math.sqrt(2 * math.pi)
+            half = 0.5 * spread / width**2
+            mass += share * ((cdf - half * z * bell) @ weight)
+            slope += share / width * ((bell * (1 + half * (z * z - 1))) @ weight)
+        return mass, slope
+
     def reweight(self, value: float, sd: float, p_out: float) -> tuple[float, float]:
         """Bayes step; returns the log score of the value and the outlier probability after it."""
         s = self.s
@@ -293,6 +329,14 @@ def row_inputs(r: Mapping, s: FilterSettings, columns: Mapping[str, str | None],
     }
 
 
+def observed(state: Particles, r: Mapping, value: float | None, columns: Mapping[str, str | None]) -> dict:
+    """Outputs of one row. A row without a finite measurement or a time gets NULLs and changes nothing."""
+    if value is None or not math.isfinite(value) or r["__us"] is None or r["__us"] != r["__us"]:
+        return dict.fromkeys(OUTPUTS)
+    got = row_inputs(r, state.s, columns, not state.started)
+    return state.observe(float(value), got["sd"], int(r["__us"]), got["p_out"], got["rate"], got["rate_sd"])
+
+
 def output_fields() -> list[T.StructField]:
     kind = {"online_sequence_number": T.LongType()}
     return [T.StructField(c, kind.get(c, T.DoubleType())) for c in OUTPUTS]
@@ -317,6 +361,7 @@ def particle_filter(
 
     ``columns`` may name per-row ``sd``, ``outlier``, ``rate`` and ``rate_sd``. With ``setting`` the
     rows carry the name of one of several settings and each (setting, entity) is filtered apart.
+    A row without a finite measurement gets NULL outputs and leaves the state as it is.
     ``resume`` is a table of (setting, entity, state) from an earlier slice; with ``keep_state`` the
     last row of every entity also carries its state in ``__state``.
     """
@@ -356,10 +401,7 @@ def particle_filter(
                 if r[STATE] is not None:
                     state = Particles.load(r[STATE], str(key[-1]), state.s)
                     continue
-                got = row_inputs(r, state.s, columns, not state.started)
-                fresh = {n: r[n] for n in names} | state.observe(
-                    float(r[value]), got["sd"], int(r["__us"]), got["p_out"], got["rate"], got["rate_sd"]
-                )
+                fresh = {n: r[n] for n in names} | observed(state, r, r[value], columns)
                 if not keep_state:
                     out.append(fresh)
                     continue
@@ -368,16 +410,24 @@ def particle_filter(
                     out.append(last)
                 last = fresh
             if out:
-                yield pd.DataFrame(out)
+                yield _columns(out, schema)
         if keep_state and last is not None:
             out = []
             flush(out)
-            yield pd.DataFrame(out)
+            yield _columns(out, schema)
 
     # State rows have a NULL time and so come first in their entity.
     return sorted_by_key(rows, keys, [time, *ties]).mapInPandas(run, schema)
 
 
+def _columns(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
+    """Rows as a frame whose numbers may be missing."""
+    out = pd.DataFrame(rows, columns=schema.names)
+    for name in OUTPUTS:
+        out[name] = out[name].astype("Int64" if name == "online_sequence_number" else "float64")
+    return out
+
+
 def filter_in_slices(
     df: DataFrame, entity: str, time: str, value: str, edges: Sequence[str], ties: Sequence[str] = (), **options
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from seriesloom.plans.sequences import SEQ, stream
 from seriesloom.session import checkpoint_dir
 from seriesloom.streaming import stateful as ST
 
-SETTINGS = PF.FilterSettings(particles=200, level_sd=8.78, outlier_probability=0.065, outlier_sd=59.04)
+SETTINGS = PF.FilterSettings(level_sd=8.78, outlier_probability=0.065, outlier_sd=59.04)
 
 
 @query("j11_position_assignment")
@@ -73,11 +74,10 @@ def t03(t):
 
 @query("t05_growth_field_filter")
 def t05(t):
-    fast = replace(SETTINGS, quantiles=False)
     options = {
-        "plain": fast,
-        "reverting": replace(fast, reversion=0.8),
-        "field": replace(fast, field=((0.0, 3.0), (40.0, 0.0), (100.0, -4.0)), field_retention=0.3),
+        "plain": SETTINGS,
+        "reverting": replace(SETTINGS, reversion=0.8),
+        "field": replace(SETTINGS, field=((0.0, 3.0), (40.0, 0.0), (100.0, -4.0)), field_retention=0.3),
     }
     rows = PF.with_settings(stream(t), list(options))
     d = PF.particle_filter(rows, "user_id", "ts", "value", ["event_id"], options, "setting")
@@ -86,7 +86,7 @@ def t05(t):
 
 @query("t14_settings_fan_out")
 def t14(t):
-    options = PF.variants(replace(SETTINGS, quantiles=False))
+    options = PF.variants(SETTINGS)
     rows = PF.with_settings(stream(t), list(options))
     d = PF.particle_filter(rows, "user_id", "ts", "value", ["event_id"], options, "setting")
     later = d.filter("online_sequence_number > 1")
@@ -101,7 +101,7 @@ def t14(t):
 
 # --- tracker --------------------------------------------------------------------------------------
 
-TRACK = TR.TrackSettings(expected=3, filter=replace(TR.APP_FILTER, particles=100))
+TRACK = TR.TrackSettings(expected=3)
 
 
 def frames_and_candidates(t) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,16 @@ def t09(t):
 
 # --- causality ------------------------------------------------------------------------------------
 
-_CUTS = ["2024-01-05 12:00:00", "2024-01-14 00:00:00", "2024-01-23 06:30:00"]
+_CUTS_SQL = """c AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+    k AS (SELECT make_timestamp(a + (b - a) * unnest([1, 2, 3]) // 3) AS cutoff FROM c)
+    SELECT cutoff, (SELECT count(*) FROM events WHERE ts <= cutoff) AS rows_compared, 0::BIGINT AS mismatches FROM k"""
+
+
+def cutoffs(t) -> list[str]:
+    """A third, two thirds and the whole of the time covered, the last time stamp included."""
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    whole = (last - first) // timedelta(microseconds=1)
+    return [str(first + timedelta(microseconds=whole * k // 3)) for k in (1, 2, 3)]
 
 
 def _window_estimator(rows, keys):
@@ -186,29 +195,27 @@ def _window_estimator(rows, keys):
     return folds.scan(d, order, folds.ewma("value"), ["value"])
 
 
-@query(
-    "t12_prefix_audit",
-    "SELECT cutoff, (SELECT count(*) FROM events WHERE ts <= cutoff) AS rows_compared, 0::BIGINT AS mismatches FROM (SELECT unnest([" + ", ".join(f"TIMESTAMP '{c}'" for c in _CUTS) + "]) AS cutoff)",
-)
+@query("t12_prefix_audit", f"WITH {_CUTS_SQL}")
 def t12(t):
     return audit.prefix_audit(
-        stream(t), _window_estimator, ["user_id"], ["event_id"], "ts", _CUTS,
+        stream(t), _window_estimator, ["user_id"], ["event_id"], "ts", cutoffs(t),
         ["last_observation", "two_point_line", "ewma"],
     )
 
 
-@query("t12_prefix_audit_particles")
+@query("t12_prefix_audit_particles", f"WITH {_CUTS_SQL}")
 def t12_particles(t):
-    small = replace(SETTINGS, particles=50, quantiles=False)
+    cuts = cutoffs(t)
+    name = F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
     def estimator(rows, keys):
         if "cutoff" not in keys:
-            return PF.particle_filter(rows, "user_id", "ts", "value", ["event_id"], small)
-        named = rows.withColumn("setting", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss"))
-        return PF.particle_filter(named, "user_id", "ts", "value", ["event_id"], {c: small for c in _CUTS}, "setting")
+            return PF.particle_filter(rows, "user_id", "ts", "value", ["event_id"], SETTINGS)
+        options = {str(datetime.fromisoformat(c).strftime("%Y-%m-%d %H:%M:%S.%f")): SETTINGS for c in cuts}
+        return PF.particle_filter(rows.withColumn("setting", name), "user_id", "ts", "value", ["event_id"], options, "setting")
 
     outputs = ["posterior_mean_cm", "predictive_mean_cm", "effective_sample_size"]
-    return audit.prefix_audit(stream(t), estimator, ["user_id"], ["event_id"], "ts", _CUTS, outputs)
+    return audit.prefix_audit(stream(t), estimator, ["user_id"], ["event_id"], "ts", cuts, outputs)
 
 
 # --- streams --------------------------------------------------------------------------------------
@@ -246,14 +253,31 @@ def s08(t):
 @query("t04_streaming_filter")
 def t04(t):
     rows = event_stream(t).select("user_id", "event_id", "ts", "value")
-    return finish(t, ST.stateful_filter(rows, "user_id", "ts", "value", ["event_id"], replace(SETTINGS, quantiles=False)))
+    return finish(t, ST.stateful_filter(rows, "user_id", "ts", "value", ["event_id"], SETTINGS))
+
 
+_ARRIVALS = 4
 
-@query("t11_late_rows")
+
+@query(
+    "t11_late_rows",
+    f"""WITH c AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+    e AS (SELECT user_id, ts, least({_ARRIVALS - 1}, (epoch_us(ts) - a) * {_ARRIVALS} // (b - a + 1) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS arrives FROM events, c),
+    m AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrives RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e)
+    SELECT user_id, CASE WHEN ts < seen THEN 'late' ELSE 'applied' END AS arrival, count(*) AS n FROM m GROUP BY 1, 2""",
+)
 def t11(t):
-    rows = event_stream(t).select("user_id", "event_id", "ts", "value")
-    small = replace(SETTINGS, particles=50, quantiles=False)
-    done = finish(t, ST.stateful_filter(rows, "user_id", "ts", "value", ["event_id"], small))
+    """The events in four arrivals, each tenth one arriving later than its time; one stream run for each."""
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = t.events.agg(F.min(us), F.max(us)).first()
+    part = F.floor((us - F.lit(first)) * _ARRIVALS / F.lit(last - first + 1)) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    events = t.events.withColumn("arrives", F.least(F.lit(_ARRIVALS - 1), part))
+    for k in range(_ARRIVALS):
+        events.filter(F.col("arrives") == k).select(*EVENTS.names).write.mode("append").parquet(f"{base}/in")
+        rows = ST.stream_table(t.spark, f"{base}/in", EVENTS, "ts").select("user_id", "event_id", "ts", "value")
+        rows = ST.stateful_filter(rows, "user_id", "ts", "value", ["event_id"], SETTINGS)
+        done = ST.run_to_end(rows, f"{base}/out", f"{base}/checkpoint")
     return done.groupBy("user_id", "arrival").agg(F.count(F.lit(1)).alias("n"))
 
 

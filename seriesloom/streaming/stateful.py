@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from seriesloom.operators.particle import FilterSettings, OUTPUTS, Particles, output_fields, row_inputs
+from seriesloom.operators.particle import FilterSettings, OUTPUTS, Particles, output_fields, observed
 from seriesloom.operators.tracking import CANDIDATE, ROW_SCHEMA, CameraTracker, TrackSettings, rows_to_pandas, settings_from
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,9 +85,7 @@ def stateful_filter(
             if p.now_us is not None and when < p.now_us:
                 out.append(row | dict.fromkeys(OUTPUTS) | {"arrival": "late"})
                 continue
-            got = row_inputs(r, s, columns, not p.started)
-            seen = p.observe(float(r[value]), got["sd"], int(when), got["p_out"], got["rate"], got["rate_sd"])
-            out.append(row | seen | {"arrival": "applied"})
+            out.append(row | observed(p, r, r[value], columns) | {"arrival": "applied"})
         state.update((p.dump(),))
         yield _typed(out, schema)
 
