@@ -229,12 +229,12 @@ def blank_elements(text: Column, names: Sequence[str], filler: Mapping[str, str]
 
 
 def forbidden_matches(text: Column, patterns: Mapping[str, str]) -> Column:
-    """``array<struct<label, match>>`` with the first match of every pattern that occurs."""
+    """``array<struct<label, match>>`` with the first match, not an empty one, of every pattern that occurs."""
     found = F.array(
         *[
             F.struct(
                 F.lit(label).alias("label"),
-                F.when(text.rlike(p), F.regexp_extract(text, p, 0)).alias("match"),
+                F.nullif(F.regexp_extract(text, p, 0), F.lit("")).alias("match"),
             )
             for label, p in patterns.items()
         ]

@@ -1,7 +1,7 @@
 """Find the mark sequence of a pole: the best line through pairs of marks.
 
-Each image keeps its best marks first (a top-k is part of the operator), so what one call holds is
-bounded by ``limit``. Pairs only seed lines inside the call; none is emitted.
+All marks of an image are looked at; a caller who wants only the best ones applies ``top_k`` before.
+Pairs only seed lines inside the call, a block of seeds at a time; none is emitted.
 """
 
 from __future__ import annotations
@@ -11,11 +11,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.fitting import GRID_FROM, GRID_MATCH, GRID_SIZE, GRID_TO, RUN_HIGH, RUN_LOW
-from seriesloom.operators.select import top_k
 from seriesloom.session import spread_by_key
 
 # Limits of seeds, alignment and accepted sequences, and the score weights.
@@ -86,19 +84,25 @@ def rate(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
 def best_line(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
     """Best sequence over all lines through two marks; equal inlier sets are rated once."""
     x, y = marks[:, 0], marks[:, 1]
-    i, j = np.triu_indices(len(marks), 1)
-    rise = y[j] - y[i]
-    steep = np.abs(rise) >= MIN_RISE
-    i, rise, j = i[steep], rise[steep], j[steep]
-    slope = (x[j] - x[i]) / rise
-    keep = np.abs(slope) <= MAX_SLOPE
-    i, slope = i[keep], slope[keep]
     sets: dict[bytes, np.ndarray] = {}
-    for k in range(0, len(i), 4096):
-        s, at = slope[k : k + 4096], i[k : k + 4096]
-        near = np.abs(x[None, :] - (s[:, None] * y[None, :] + (x[at] - s * y[at])[:, None])) <= ALIGN_PX
-        for row in near[near.sum(axis=1) >= MIN_BANDS]:
-            sets.setdefault(row.tobytes(), row)
+    block = max(1, 2_000_000 // max(1, len(marks)))
+    for first in range(0, len(marks), block):
+        i = np.arange(first, min(first + block, len(marks)))
+        i, j = (np.repeat(i, len(marks)), np.tile(np.arange(len(marks)), len(i)))
+        later = j > i
+        i, j = i[later], j[later]
+        rise = y[j] - y[i]
+        steep = np.abs(rise) >= MIN_RISE
+        i, rise, j = i[steep], rise[steep], j[steep]
+        slope = (x[j] - x[i]) / rise
+        keep = np.abs(slope) <= MAX_SLOPE
+        i, slope = i[keep], slope[keep]
+        seeds = max(1, 1_000_000 // max(1, len(marks)))
+        for k in range(0, len(i), seeds):
+            s, at = slope[k : k + seeds], i[k : k + seeds]
+            near = np.abs(x[None, :] - (s[:, None] * y[None, :] + (x[at] - s * y[at])[:, None])) <= ALIGN_PX
+            for row in near[near.sum(axis=1) >= MIN_BANDS]:
+                sets.setdefault(row.tobytes(), row)
     if not sets:
         return None
     # No sequence can score above this, so sets are rated from the most promising on.
@@ -115,18 +119,16 @@ def best_line(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
     return best
 
 
-def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str], limit: int = 250) -> DataFrame:
+def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Marks (x, y, area) of the best sequence per image, with its figures; images without one are
     absent. Input columns: ``x``, ``y``, ``area``, ``component_score``."""
     keys = list(keys)
-    order = [F.desc("component_score"), *[F.asc(c) for c in ties]]
-    kept = top_k(df, keys, order, limit)
     figures = ("base_gap", "regularity", "line_rmse", "span")
     names = ("score", "x", "y", "area", *figures)
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
+        pdf = pdf.sort_values(["component_score", *ties], ascending=[False, *[True] * len(ties)], kind="stable")
         found = best_line(pdf[["x", "y", "area", "component_score"]].to_numpy(float))
         if found is None:
             return pd.DataFrame(columns=[*keys, *names])
@@ -135,4 +137,4 @@ def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str], limi
         out |= {"score": score, "x": marks[:, 0], "y": marks[:, 1], "area": marks[:, 2]}
         return pd.DataFrame(out).assign(**info)
 
-    return spread_by_key(kept, keys).groupBy(*keys).applyInPandas(run, schema)
+    return spread_by_key(df, keys).groupBy(*keys).applyInPandas(run, schema)

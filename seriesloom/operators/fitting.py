@@ -49,7 +49,8 @@ def fit_projective(
         F.sum(u * u * v * v).alias("uuzz"),
         F.count(F.lit(1)).alias("m"),
     )
-    # Normal equations for (a, b, c) with design columns u, 1, -z u.
+    # Normal equations for (a, b, c) with design columns u, 1, -z u. The determinant is compared with the
+    # product of the diagonal, so whether a fit is singular does not depend on the unit of z.
     solve = """
         named_struct(
           'det', u2 * (m * uuzz - uz * uz) - u1 * (u1 * uuzz - uuz * uz) + uuz * (u1 * uz - m * uuz),
@@ -59,7 +60,7 @@ def fit_projective(
     """
     solved = moments.withColumn("s", F.expr(solve)).select(
         *keys,
-        *[F.when(F.abs(F.col("s.det")) > 1e-12 * F.pow("m", F.lit(3)), F.col(f"s.{k}") / F.col("s.det")).alias(k) for k in "abc"],
+        *[F.when(F.abs(F.col("s.det")) > 1e-12 * F.col("u2") * F.col("m") * F.col("uuzz"), F.col(f"s.{k}") / F.col("s.det")).alias(k) for k in "abc"],
     )
     fitted = scaled.join(solved, keys)
     den = F.col("c") * u + 1.0

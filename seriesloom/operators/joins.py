@@ -45,21 +45,26 @@ def enrich_or_fail(
     need = columns[0]
     joined = enrich(df, dimension, key, columns, dimension_key)
     message = F.concat(F.lit(f"no {need} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    kind = dict(joined.dtypes)[need]
-    guarded = F.when(F.col(need).isNotNull(), F.col(need)).otherwise(
-        F.raise_error(message).cast(kind)
-    )
-    return joined.withColumn(need, guarded)
+    # In a filter, so that the check stays whichever columns are read later.
+    return joined.filter(F.when(F.col(need).isNotNull(), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Inner join whose keys must be unique on both sides."""
+    """Inner join whose keys must be unique on both sides; a repeated key fails the job."""
     if check:
-        for side in (left, right):
-            assert_unique(side, keys)
+        left, right = _unique(left, keys), _unique(right, keys)
     return left.join(right, list(keys), "inner")
 
 
+def _unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; the count per key is part of the plan and raises an error where it is above one."""
+    others = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in others])
+    name = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    repeated = F.raise_error(F.concat(F.lit("repeated key "), name)).cast("boolean")
+    return rows.filter(F.when(F.col("__n") == 1, True).otherwise(repeated)).select(*df.columns)
+
+
 def same_day(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str) -> DataFrame:
     """Inner join on keys and calendar date; both sides unique per key and day."""
     a = left.withColumn("match_date", F.to_date(left_time))

@@ -318,9 +318,12 @@ def calibration_audit(
 
 
 def image_summary(
-    frames: DataFrame, candidates: DataFrame, estimates: DataFrame, calibrations: DataFrame
+    frames: DataFrame, candidates: DataFrame, estimates: DataFrame, calibrations: DataFrame, needs_fit: bool = True
 ) -> DataFrame:
-    """Counts per image over three tables; images without rows get zeros."""
+    """Counts per image over three tables; images without rows get zeros.
+
+    An image without a fit passes the calibration only where the mode of calibration needs none.
+    """
     one = lambda c: F.sum(F.when(c, 1).otherwise(0).cast("bigint"))
     per_candidate = candidates.groupBy("filename").agg(
         F.count(F.lit(1)).alias("candidates"), one(F.col("selected")).alias("assigned")
@@ -345,7 +348,7 @@ def image_summary(
             "camera_id",
             F.round(days_between("capture_datetime", "__first"), 6).alias("days_after_first"),
             *[zero(c) for c in ("candidates", "assigned", "measurements_used", "prediction_only", "landmarks")],
-            F.coalesce("calibration_pass", F.lit(False)).alias("calibration_pass"),
+            F.coalesce("calibration_pass", F.lit(not needs_fit)).alias("calibration_pass"),
         )
     )
 
@@ -420,13 +423,17 @@ def series_pivot(
 
 
 def growth_field(df: DataFrame, by: SeriesOrder, value: str, edges: Sequence[float]) -> DataFrame:
-    """Median rate of change per bin of the starting value: knots of a rate-by-level curve."""
+    """Median rate of change per bin of the starting value: knots of a rate-by-level curve.
+
+    The first and the last bin are open (values below the first edge, and from the last edge on) and
+    have no ``level``, so no step is lost.
+    """
     steps = increments(df, by, value).withColumn("rate", F.col("dv") / F.col("dt_days"))
     bounds = F.array(*[F.lit(float(e)) for e in edges])
     steps = steps.withColumn("bin", F.width_bucket("prev_value", F.lit(float(edges[0])), F.lit(float(edges[-1])), F.lit(len(edges) - 1)))
-    inside = steps.filter(F.col("bin").between(1, len(edges) - 1))
-    centre = (F.element_at(bounds, F.col("bin").cast("int")) + F.element_at(bounds, F.col("bin").cast("int") + 1)) / 2
-    return exact_quantiles(inside, ["bin"], "rate", [0.5]).select(
+    bin_ = F.col("bin").cast("int")
+    centre = F.when(bin_.between(1, len(edges) - 1), (F.element_at(bounds, F.greatest(bin_, F.lit(1))) + F.try_element_at(bounds, bin_ + 1)) / 2)
+    return exact_quantiles(steps.filter("bin IS NOT NULL"), ["bin"], "rate", [0.5]).select(
         F.col("bin").cast("bigint").alias("bin"), centre.alias("level"), F.col("quantile").alias("rate"), "n"
     )
 

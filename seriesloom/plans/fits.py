@@ -74,13 +74,13 @@ def a31(t):
     "a32_entity_bootstrap",
     f"""WITH {FC}, cl AS (SELECT user_id, CAST(row_number() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS BIGINT) AS idx,
       avg(abs(last_observation - value)) AS left_mae, avg(abs(last_observation - value) - abs(two_point_line - value)) AS paired FROM fc GROUP BY 1),
-    {draws_sql(1000)}, rp AS (SELECT rep, avg(left_mae) AS left_mae, avg(paired) AS paired FROM dr JOIN cl USING (idx) GROUP BY 1),
+    {draws_sql(20000)}, rp AS (SELECT rep, avg(left_mae) AS left_mae, avg(paired) AS paired FROM dr JOIN cl USING (idx) GROUP BY 1),
     lg AS (UNPIVOT rp ON left_mae, paired INTO NAME statistic VALUE x) {_SUMMARY_SQL}""",
 )
 def a32(t):
     left, right = (F.abs(F.col(e) - F.col("value")) for e in ESTIMATORS)
     stats = {"left_mae": left, "paired": left - right}
-    reps = B.mean_of_means_replicates(forecasts(t), "user_id", stats, 1000, SEED)
+    reps = B.mean_of_means_replicates(forecasts(t), "user_id", stats, 20000, SEED)
     return rounded(B.replicate_summary(reps, list(stats)))
 
 
@@ -111,8 +111,8 @@ def fit_sql(source: str, keys: str, out: str = "fit") -> str:
       uz * (m * uuzz - uz * uz) - u1 * (z1 * uuzz - uzz * uz) + uuz * (z1 * uz - m * uzz) AS da,
       u2 * (z1 * uuzz - uz * uzz) - uz * (u1 * uuzz - uuz * uz) + uuz * (u1 * uzz - z1 * uuz) AS db,
       -(u2 * (m * uzz - uz * z1) - u1 * (u1 * uzz - uuz * z1) + uz * (u1 * uz - m * uuz)) AS dc FROM {out}3),
-    {out}5 AS (SELECT {keys}, CASE WHEN abs(det) > 1e-12 * m ** 3 THEN da / det END AS a, CASE WHEN abs(det) > 1e-12 * m ** 3 THEN db / det END AS b,
-      CASE WHEN abs(det) > 1e-12 * m ** 3 THEN dc / det END AS c FROM {out}4),
+    {out}5 AS (SELECT {keys}, CASE WHEN abs(det) > 1e-12 * u2 * m * uuzz THEN da / det END AS a, CASE WHEN abs(det) > 1e-12 * u2 * m * uuzz THEN db / det END AS b,
+      CASE WHEN abs(det) > 1e-12 * u2 * m * uuzz THEN dc / det END AS c FROM {out}4),
     {out}6 AS (SELECT {ka}, min(abs(b.c * u + 1)) AS md, sqrt(avg((z - (b.a * u + b.b) / (b.c * u + 1)) ** 2)) AS rmse,
       max(abs(z - (b.a * u + b.b) / (b.c * u + 1))) AS mx FROM {out}2 a JOIN {out}5 b ON {on} GROUP BY {ka}),
     {out} AS (SELECT *, CASE WHEN n_landmarks < 4 OR dz < 4 THEN 'too_few' WHEN NOT (y_scale > 0) THEN 'no_spread' WHEN a IS NULL THEN 'singular'
