@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.contracts import assert_unique
 from seriesloom.operators.ordering import SeriesOrder, number_rows, previous, running
+from seriesloom.session import materialize
 
 
 def enrich(
@@ -145,45 +145,55 @@ def pair_length_errors(
 ) -> DataFrame:
     """Errors |p_i - p_j| - |t_i - t_j| over all unordered pairs of a group, without forming them.
 
-    The sum of absolute differences of a column follows from its ranks, which gives the bias. While
-    predictions keep the order of the truth, the error of a pair is the difference of two row errors
-    e = p - t: the squares sum to n*sum(e^2) - sum(e)^2 and the absolute values follow from the ranks
-    of e. A pair in the opposite order lies within the range of e, so only such near pairs of groups
-    with swapped neighbours are joined, by buckets of that width, to correct both sums exactly.
+    The sum of absolute differences of a column follows from its ranks, and the absolute error of a
+    pair is a sum of such differences: ||dp| - |dt|| = |d(p+t)| + |d(p-t)| - |dp| - |dt|. The squares sum
+    to those of the differences of e = p - t, but for pairs whose order p and t disagree on: there
+    4 |dp dt| is too much. That is found by halving the ranks of t level by level: of two rows whose
+    ranks part at a level, the lower one counts where its p is larger, and running sums in the order of
+    p give all of these at once. Rows are copied once for each level, never to each other.
     """
     keys = list(keys)
     rows = df.select(
         *keys, *ties, F.col(truth).cast("double").alias("__t"), F.col(prediction).cast("double").alias("__p")
-    ).withColumn("__e", F.col("__p") - F.col("__t"))
+    ).withColumns({"__e": F.col("__p") - F.col("__t"), "__a": F.col("__p") + F.col("__t")})
     rank = lambda d, column, name: number_rows(d, SeriesOrder.by_value(tuple(keys), column, tuple(ties)), name)
     by_truth = SeriesOrder.by_value(tuple(keys), "__t", tuple(ties))
     ranked = previous(rows, by_truth, {"__p1": ("__p", 1)})
-    for column in ("__t", "__p", "__e"):
+    for column in ("__t", "__p", "__e", "__a"):
         ranked = rank(ranked, column, f"__r{column}")
+    ranked = materialize(ranked)
     product = lambda c: F.sum(F.col(f"__r{c}") * F.col(c)).alias(f"__w{c}")
     total = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.sum("__t").alias("__s__t"),
-        F.sum("__p").alias("__s__p"),
-        F.sum("__e").alias("__s__e"),
+        *[F.sum(c).alias(f"__s{c}") for c in ("__t", "__p", "__e", "__a")],
         F.sum(F.col("__e") * F.col("__e")).alias("__s2"),
-        product("__t"),
-        product("__p"),
-        product("__e"),
+        *[product(c) for c in ("__t", "__p", "__e", "__a")],
         F.sum(F.when(F.col("__p") < F.col("__p1"), 1).otherwise(0)).alias("__swaps"),
-        (F.max("__e") - F.min("__e")).alias("__range"),
     )
-    mixed = total.filter("__swaps > 0 AND __range > 0").select(*keys, "__range")
-    near = rows.join(mixed, keys).withColumn("__b", F.floor(F.col("__t") / F.col("__range")))
-    low = near.select(*keys, "__b", F.col("__t").alias("__ti"), F.col("__p").alias("__pi"))
-    high = near.select(
-        *keys, F.explode(F.array(F.col("__b"), F.col("__b") - 1)).alias("__b"), "__t", "__p"
+    mixed = total.filter("__swaps > 0").select(
+        *keys, F.ceil(F.log2("__n")).cast("int").alias("__levels"), (F.col("__s__t") / F.col("__n")).alias("__mt"), (F.col("__s__p") / F.col("__n")).alias("__mp")
     )
-    dt, dp = F.col("__t") - F.col("__ti"), F.col("__pi") - F.col("__p")
-    swapped = low.join(high, [*keys, "__b"]).filter((dt > 0) & (dp > 0))
-    fixes = swapped.groupBy(*keys).agg(
-        F.sum(2 * F.least(dt, dp)).alias("__abs_fix"), F.sum(4 * dt * dp).alias("__sq_fix")
+    # Centred, so that the sums below lose no digits to a common offset.
+    halves = ranked.join(mixed, keys).select(
+        *keys,
+        *ties,
+        (F.col("__t") - F.col("__mt")).alias("__t"),
+        (F.col("__p") - F.col("__mp")).alias("__p"),
+        (F.col("__mp") - F.col("__p")).alias("__q"),
+        (F.col("__r__t") - 1).alias("__r"),
+        F.explode(F.sequence(F.lit(0), F.col("__levels") - 1)).alias("__level"),
     )
+    halves = halves.withColumns(
+        {"__node": F.expr("shiftright(__r, __level + 1)"), "__upper": F.expr("shiftright(__r, __level) & 1") == 1}
+    )
+    lower = lambda c: F.when(F.col("__upper"), 0.0).otherwise(c)
+    order = SeriesOrder.by_value((*keys, "__level", "__node"), "__q", tuple(ties))
+    t, p = F.col("__t"), F.col("__p")
+    sums = running(
+        halves, order, {"__c": ("sum", lower(F.lit(1.0))), "__cp": ("sum", lower(p)), "__ct": ("sum", lower(t)), "__cpt": ("sum", lower(p * t))}
+    ).filter("__upper")
+    swapped = t * F.col("__cp") - t * p * F.col("__c") - F.col("__cpt") + p * F.col("__ct")
+    fixes = sums.groupBy(*keys).agg(F.sum(4 * swapped).alias("__sq_fix"))
     n = F.col("__n")
     pairs = n * (n - 1) / 2
     spread = lambda c: 2 * F.col(f"__w{c}") - (n + 1) * F.col(f"__s{c}")
@@ -196,7 +206,7 @@ def pair_length_errors(
             *keys,
             pairs.cast("bigint").alias("pairs"),
             ((spread("__p") - spread("__t")) / pairs).alias("bias"),
-            ((spread("__e") - fix("__abs_fix")) / pairs).alias("mae"),
+            ((spread("__a") + spread("__e") - spread("__p") - spread("__t")) / pairs).alias("mae"),
             F.sqrt(F.greatest(squared, F.lit(0.0)) / pairs).alias("rmse"),
         )
     )

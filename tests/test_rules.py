@@ -113,6 +113,56 @@ def test_pair_errors_need_no_pairs(spark, noise):
     assert (got.bias, got.mae, got.rmse) == pytest.approx((e.mean(), np.abs(e).mean(), np.sqrt((e * e).mean())))
 
 
+def test_pair_errors_with_an_outlier_in_a_hot_group(spark):
+    rng = np.random.default_rng(12)
+    n = 700
+    d = pd.DataFrame({"g": np.where(np.arange(n) < 600, 1, 2), "i": range(n), "t": rng.integers(0, 40, n) / 2.0 + 1000})
+    d["p"] = d.t + rng.normal(0, 3, n)
+    d.loc[17, "p"] += 1e5
+    got = J.pair_length_errors(spark.createDataFrame(d), ["g"], "t", "p", ["i"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__b" not in plan.replace("__before", "")  # no join by buckets of rows
+    for row in got.collect():
+        own = d[d.g == row.g]
+        i, j = np.triu_indices(len(own), 1)
+        e = np.abs(own.p.to_numpy()[j] - own.p.to_numpy()[i]) - np.abs(own.t.to_numpy()[j] - own.t.to_numpy()[i])
+        assert (row.pairs, row.bias, row.mae, row.rmse) == pytest.approx((len(e), e.mean(), np.abs(e).mean(), np.sqrt((e * e).mean())), rel=1e-6)
+
+
+def test_repeated_and_missing_keys_fail_whatever_is_read(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, "u")], "k long, w string")
+    with pytest.raises(Exception, match="repeated key"):
+        J.one_to_one(b, a, ["k"]).count()
+    with pytest.raises(Exception, match="no w for k"):
+        J.enrich_or_fail(a, b, "k", ["w"]).count()
+
+
+def test_rows_without_a_measurement_leave_the_filter_as_it_is(spark):
+    from seriesloom.operators import particle as PF
+
+    at = lambda days: (pd.Timestamp("2024-01-01") + pd.Timedelta(days=days)).to_pydatetime()
+    rows = [(1, at(k), float(20 + 3 * k), k) for k in range(8)]
+    gaps = [(1, at(3.5), None, 90), (1, at(5.5), float("nan"), 91)]
+    schema = "u long, ts timestamp, v double, i long"
+    run = lambda r: {x.i: x for x in PF.particle_filter(spark.createDataFrame(r, schema), "u", "ts", "v", ["i"]).collect()}
+    plain, holes = run(rows), run(rows + gaps)
+    assert all(holes[k].posterior_mean_cm is None for k in (90, 91))
+    assert all(holes[k].posterior_mean_cm == plain[k].posterior_mean_cm for k in range(8))
+
+
+def test_merged_quantiles_equal_the_whole_mixture():
+    from seriesloom.operators import particle as PF
+
+    state = PF.Particles("a", PF.FilterSettings())
+    state.start(80.0, 14.0, 0, 3.0, 2.0)
+    state.advance(2.0)
+    state.reweight(95.0, 12.0, 0.08)
+    for sd in (1.0, 9.0, 40.0):
+        got = state.mixture_quantiles(sd, 0.08)
+        assert state.mixture(got, sd, 0.08)[0] == pytest.approx(PF.PREDICTIVE_P, abs=2e-8)
+
+
 def test_spaced_picks_are_greedy(spark):
     rng = np.random.default_rng(8)
     d = pd.DataFrame({"g": np.repeat([1, 2], 40), "x": rng.random(80), "c": rng.random(80), "i": range(80)})
