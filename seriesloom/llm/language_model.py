@@ -40,7 +40,7 @@ START, END, RARE, FIRST = 0, 1, 2, 3  # symbols; START is only a context
 PARTY = 32
 WIDTH = 20  # bits of a symbol in a pair
 FLUSH = 1_000_000
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 END_HASH = 0x5851F42D4C957F2D
 
 
@@ -342,7 +342,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) ->
     blocks = int(total // BLOCK_BYTES) + 1
     # Equal texts spread like others: the block follows from the identifier.
     blocked = docs.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    blocked = blocked.repartition(blocks, "block").sortWithinPartitions("block")
+    # Fewer partitions than blocks even out how many blocks a hash puts into each.
+    blocked = blocked.repartition(-(-blocks // 3), "block").sortWithinPartitions("block")
     asked = blocked.mapInArrow(_asked(model.symbols), "block int, key long")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +369,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) ->
         encode, rows = Encoder(model.symbols), []
         counts = np.zeros(0)
         for batch in texts.to_batches():
-            for part in each_slice([batch], "body"):
+            for part in each_slice([batch], "body", 1_000_000):
                 ends, raw = binary_parts(part.column("body"))
                 symbol, number, first = encode([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
                 fresh = slice(len(counts), len(encode.hashes))
