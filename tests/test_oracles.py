@@ -7,6 +7,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 ORACLES = oracle_sql()
 
+# Selective queries that rightly find nothing at the smallest size.
+MAY_BE_EMPTY = {"j11_position_assignment"}
+
 
 @pytest.fixture(scope="module")
 def con(folder):
@@ -16,8 +19,7 @@ def con(folder):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, folder, name):
     problem = check.compare(spark, con, folder, queries()[name], ORACLES.get(name))
-    # At the smallest size a few selective queries rightly find nothing.
-    assert problem in ("", "no rows"), problem
+    assert problem == "" or (problem == "no rows" and name in MAY_BE_EMPTY), problem
 
 
 def test_entry(spark):
