@@ -5,8 +5,10 @@ Equal fingerprints form a class. Classes are dealt over bands by a hash, and eve
 meets in one cell, so each pair of classes is compared exactly, in one place. Inside a cell both
 sides are ordered by the bit counts of their blocks and cut into tiles; a pair of tiles is skipped
 when the counts alone put it beyond the radius, and the others are compared by exclusive-or and bit
-counts. A cell returns a spanning forest of its links, so a group of thousands of near copies costs
-as many rows as it has members, and no link between different texts is lost to the components.
+counts. Where a similarity is asked for, links found on the first ``SCREEN`` bits are checked on the
+whole, longer fingerprint, whose distance tells the similarity to a few hundredths. A cell returns a
+spanning forest of its links, so a group of thousands of near copies costs as many rows as it has
+members, and no link between different texts is lost to the components.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of what there is; repeated rows are in one class; a null identifier
@@ -30,9 +32,10 @@ from seriesloom.llm.components import components
 
 BAND = 32_768  # classes in a band, on average: bounds what one cell holds
 TILE_ROWS, TILE_COLS = 128, 2048
+SCREEN, SCREEN_SPREAD = 256, 3.0  # bits compared first for a similarity, and deviations allowed there
 
 
-def radius_of(similarity: float, bits: int, spread: float = 1.0) -> int:
+def radius_of(similarity: float, bits: int, spread: float = 0.5) -> int:
     """Bits in which sets of the given Jaccard similarity differ, plus ``spread`` deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * share + spread * math.sqrt(bits * share * (1 - share)))
@@ -62,7 +65,7 @@ def fingerprint(hashes: np.ndarray, bits: int) -> list[int]:
         votes = np.zeros(64, np.int64)
         for i in range(0, len(hashes), 100_000):
             some = hashes[i : i + 100_000]
-            some = some if word == 0 else mix(some + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15))
+            some = some if word == 0 else mix(some + mix(np.array([word])))
             votes += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0]))
     return out
@@ -116,34 +119,42 @@ def _blocks(fps: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(fps).astype(np.int16)
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, tile by tile, skipping tiles that bit counts put too far apart."""
+def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, screen: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, tile by tile, skipping tiles that bit counts put too far apart.
+
+    With ``screen`` (words, radius) only pairs that are that close on their first words are compared whole.
+    """
     if not len(left) or not len(right):
         return
-    counts_l, counts_r = _blocks(left, radius), _blocks(right, radius)
+    words, first = screen or (left.shape[1], radius)
+    counts_l, counts_r = _blocks(left[:, :words], first), _blocks(right[:, :words], first)
     order_l, order_r = np.lexsort(counts_l.T[::-1]), np.lexsort(counts_r.T[::-1])
     left, right, counts_l, counts_r = left[order_l], right[order_r], counts_l[order_l], counts_r[order_r]
+    columns = np.ascontiguousarray(right[:, : min(2, words)].T)
     cut_l, cut_r = np.arange(0, len(left), TILE_ROWS), np.arange(0, len(right), TILE_COLS)
     low_r, high_r = np.minimum.reduceat(counts_r, cut_r), np.maximum.reduceat(counts_r, cut_r)
     for i in cut_l:
         rows, own = left[i : i + TILE_ROWS], counts_l[i : i + TILE_ROWS]
         low, high = own.min(axis=0), own.max(axis=0)
         apart = np.maximum(0, np.maximum(low_r - high, low - high_r)).sum(axis=1)
-        for j in cut_r[apart <= radius]:
-            cols = right[j : j + TILE_COLS]
-            near = np.zeros((len(rows), len(cols)), np.uint16)
-            words = rows.shape[1]
-            for w in range(min(2, words)):
-                near += np.bitwise_count(rows[:, None, w] ^ cols[None, :, w])
-            a, b = np.nonzero(near <= radius)
-            if words > 2 and len(a):  # the remaining words only where the first leave room
-                total = near[a, b] + np.bitwise_count(rows[a, 2:] ^ cols[b, 2:]).sum(axis=1)
-                a, b = a[total <= radius], b[total <= radius]
+        for j in cut_r[apart <= first]:
+            near = np.bitwise_count(rows[:, None, 0] ^ columns[0, j : j + TILE_COLS])
+            for w in range(1, len(columns)):
+                near += np.bitwise_count(rows[:, None, w] ^ columns[w, j : j + TILE_COLS])
+            a, b = np.nonzero(near <= first)
+            # The remaining words only where the first leave room.
+            for upto, most in ((words, first), (left.shape[1], radius)):
+                if upto > 2 and len(a):
+                    keep = [
+                        np.bitwise_count(rows[a[k : k + 50_000], :upto] ^ right[j + b[k : k + 50_000], :upto]).sum(axis=1) <= most
+                        for k in range(0, len(a), 50_000)
+                    ]
+                    a, b = a[np.concatenate(keep)], b[np.concatenate(keep)]
             if len(a):
                 yield order_l[i + a], order_r[j + b]
 
 
-def links_of_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+def links_of_cell(pdf: pd.DataFrame, radius: int, screen: tuple[int, int] | None = None) -> pd.DataFrame:
     """Spanning forest, as node pairs, of the links between the two bands of a cell."""
     pdf = pdf.sort_values("node", kind="stable")
     fps = np.array(pdf["fp"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(pdf), -1)
@@ -152,14 +163,14 @@ def links_of_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     one = np.flatnonzero(sides == pdf["low"].iloc[0])
     two = one if same else np.flatnonzero(sides == pdf["high"].iloc[0])
     forest = Forest(len(pdf))
-    for a, b in close_pairs(fps[one], fps[two], radius):
+    for a, b in close_pairs(fps[one], fps[two], radius, screen):
         forest.link(one[a], two[b])
     roots = forest.roots(np.arange(len(pdf)))
     moved = np.flatnonzero(roots != np.arange(len(pdf)))
     return pd.DataFrame({"a": nodes[moved], "b": nodes[roots[moved]]})
 
 
-def groups(docs: DataFrame, words: int = 5, bits: int = 256, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def groups(docs: DataFrame, words: int = 5, bits: int = 2048, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, text_hash, fp, component_id, keep_hash.
 
     ``component_id`` is the smallest identifier reachable over links, and ``keep_hash`` the hash of
@@ -167,6 +178,7 @@ def groups(docs: DataFrame, words: int = 5, bits: int = 256, radius: int | None
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     reach = radius_of(similarity, bits) if radius is None else radius
+    screen = (SCREEN // 64, radius_of(similarity, SCREEN, SCREEN_SPREAD)) if radius is None and bits > SCREEN else None
     node = F.col("fp")[0] if bits == 64 else F.xxhash64("fp")
     found = scratch.write(fingerprints(docs, words, bits, id_col, text_col).withColumn("node", node))
     classes = scratch.write(
@@ -178,7 +190,9 @@ def groups(docs: DataFrame, words: int = 5, bits: int = 256, radius: int | None
     cells = banded.withColumn("other", other).select(
         "node", "fp", "band", F.least("band", "other").alias("low"), F.greatest("band", "other").alias("high")
     )
-    links = scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: links_of_cell(pdf, reach), "a long, b long"))
+    # The number is given: cells are small to move and costly to compare, so none are merged.
+    cells = cells.repartition(bands * (bands + 1) // 2, "low", "high")
+    links = scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: links_of_cell(pdf, reach, screen), "a long, b long"))
     roots = components(links, scratch)
     labelled = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("least"))
@@ -196,7 +210,7 @@ def digest(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_
     )
 
 
-def distinct_rows(docs: DataFrame, words: int = 5, bits: int = 256, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct_rows(docs: DataFrame, words: int = 5, bits: int = 2048, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all columns: of each group the row with the smallest identifier.
 
     Rows that repeat identifier and text are one document and stay or go together.

@@ -76,6 +76,18 @@ def test_tiles_lose_no_pair():
         assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(dist <= radius))}
 
 
+def test_screened_pairs_are_those_close_on_both():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, (300, 8), dtype=np.uint64)
+    b = a[rng.integers(0, 300, 900)].copy()
+    for _ in range(60):
+        b[np.arange(900), rng.integers(0, 8, 900)] ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)
+    got = {(int(x), int(y)) for i, j in simhash.close_pairs(a, b, 52, (4, 27)) for x, y in zip(i, j)}
+    dist = np.bitwise_count(a[:, None] ^ b[None]).astype(int)
+    want = (dist[..., :4].sum(axis=2) <= 27) & (dist.sum(axis=2) <= 52)
+    assert got == {(int(x), int(y)) for x, y in zip(*np.nonzero(want))} and got
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     nodes = rng.sample(range(-(10**9), 10**9), 400)
