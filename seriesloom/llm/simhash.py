@@ -32,7 +32,7 @@ from seriesloom.llm.components import components
 
 BAND = 32_768  # classes in a band, on average: bounds what one cell holds
 TILE_ROWS, TILE_COLS = 128, 2048
-SCREEN, SCREEN_SPREAD = 256, 3.0  # bits compared first for a similarity, and deviations allowed there
+SCREEN, SCREEN_SPREAD = 128, 5.0  # bits compared first for a similarity, and deviations allowed there
 
 
 def radius_of(similarity: float, bits: int, spread: float = 0.5) -> int:
