@@ -28,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.llm.common import Scratch, binary_parts, crc_of_id, each_slice, utf8
 
 DECAY = 0.6
 MARK = "^"  # where a word begins
+_EDGES = b".,!?;:*#$%&()'\""
 SYMBOLS = 64
 PIECE, STEP = 24, 12  # letters of a longer word are read in overlapping pieces
 SENTENCES = 3  # of one labelled text that the fit may look at
@@ -71,6 +73,10 @@ class Landmarks:
         for j, (code, weight) in enumerate(found):
             np.add.at(self.table[:, j], self.row_of[code[0]], weight)
         self.norms = np.sqrt((self.table**2).sum(axis=0)) if words else np.zeros(0, np.float32)
+        # The few landmarks of each subsequence, one after another.
+        code, self.mark = np.nonzero(self.table)
+        self.weight = self.table[code, self.mark]
+        self.first = np.searchsorted(code, np.arange(len(codes) + 1))
         symbols, sizes = _symbols(units)
         self.sizes = sizes
         self.masks = self._masks(symbols, sizes)
@@ -109,8 +115,8 @@ class Landmarks:
                 some = of_size[i : i + 20_000]
                 near = (np.bitwise_count(self.masks[None, :] & ~masks[some][:, None]) <= self.missing) & fits
                 some, near = some[near.any(axis=1)], near[near.any(axis=1)]
-                for j in range(0, len(some), 512):
-                    own = some[j : j + 512]
+                for j in range(0, len(some), 1024):
+                    own = some[j : j + 1024]
                     codes, weight = self._triples([units[k] for k in own])
                     order = np.argsort(codes, axis=1)
                     sums = np.take_along_axis(codes, order, axis=1)
@@ -122,12 +128,16 @@ class Landmarks:
                     at = np.repeat(np.arange(len(own)), new.sum(axis=1))
                     norm = np.sqrt(np.bincount(at, value**2, len(own)))
                     row = self.row_of[sums[new]]
-                    known = row >= 0
-                    dense = np.zeros((len(own), len(self.table)), np.float32)
-                    dense[at[known], row[known]] = value[known]
-                    out = dense @ self.table / (norm[:, None] * self.norms[None, :])
+                    known = row >= 0  # subsequences of some landmark
+                    at, row, value = at[known], row[known], value[known]
+                    size_of = self.first[row + 1] - self.first[row]
+                    stop = np.cumsum(size_of)
+                    each = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.first[row] - stop + size_of, size_of)
+                    cell = np.repeat(at, size_of) * len(self.words) + self.mark[each]
+                    out = np.bincount(cell, np.repeat(value, size_of) * self.weight[each], len(own) * len(self.words))
+                    out = out.reshape(len(own), -1) / (norm[:, None] * self.norms[None, :])
                     numbers.append(own)
-                    rows.append(np.where(near[j : j + 512], out, 0).astype(np.float32))
+                    rows.append(np.where(near[j : j + 1024], out, 0).astype(np.float32))
         if not numbers:
             return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
         return np.concatenate(numbers), np.concatenate(rows)
@@ -136,38 +146,45 @@ class Landmarks:
 class Reader:
     """Kernel rows of the words of texts; each distinct word is looked at once."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 400_000):
+    def __init__(self, landmarks: Landmarks, most: int = 250_000):
         self.landmarks, self.most = landmarks, most
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.units: dict[str, int] = {}  # number of each word's kernel row, 0 for none
         self.rows = [np.zeros((1, len(self.landmarks.words)), np.float32)]
         self.count = 1
 
-    def _learn(self, tokens: list[bytes]) -> None:
-        units, owner = [], []
-        flags = np.zeros(len(tokens), np.int64)
-        for k, token in enumerate(tokens):
-            unit = letters_of(token.decode("utf-8"))
-            flags[k] = (len(unit) == 1) | (2 * (token[-1:] in b".!?"))
-            for piece in pieces_of(unit):
-                if len(piece) > 3:
-                    units.append(piece)
-                    owner.append(k)
-        numbers, rows = self.landmarks.kernel(units)
-        place = np.zeros(len(tokens), np.int64)
+    def _learn_units(self, units: list[str]) -> None:
+        """Kernel rows of new words: the largest values over the pieces of a long one."""
+        pieces = [pieces_of(u) for u in units]
+        owner = np.repeat(np.arange(len(units)), [len(p) for p in pieces])
+        numbers, rows = self.landmarks.kernel(list(itertools.chain.from_iterable(pieces)))
+        place = np.zeros(len(units), np.int64)
         if len(numbers):
-            owners = np.array(owner)[numbers]
+            owners = owner[numbers]
             order = np.argsort(owners, kind="stable")
             owners, rows = owners[order], rows[order]
             first = np.flatnonzero(np.diff(owners, prepend=-1))
-            rows = np.maximum.reduceat(rows, first, axis=0)
             place[owners[first]] = self.count + np.arange(len(first))
-            self.rows.append(rows)
+            self.rows.append(np.maximum.reduceat(rows, first, axis=0))
             self.count += len(first)
+        self.units.update(zip(units, place.tolist()))
+
+    def _learn(self, tokens: list[bytes]) -> None:
+        units = []
+        for token in tokens:
+            core = token.strip(_EDGES)
+            if core.isalpha():
+                units.append(core.lower().decode("ascii"))
+            else:
+                text = core.decode("utf-8").lower()
+                units.append(text if text.isalpha() else letters_of(text))
+        self._learn_units(list(set(units) - self.units.keys()))
         # Number of the kernel row (0: none), whether it is a single letter, whether it ends a sentence.
-        self.known.update(zip(tokens, (place * 4 + flags).tolist()))
+        ends = [(len(u) == 1) | (2 * (t[-1] in b".!?")) for u, t in zip(units, tokens)]
+        self.known.update(zip(tokens, (4 * self.units[u] + e for u, e in zip(units, ends))))
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text numbers, sentence numbers and kernel rows of the words that respond; words of each text."""
@@ -404,18 +421,22 @@ def _evidence(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all input columns), ``id`` and ``score`` of every input row."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Landmarks(model.words))
-        for batch in each_slice(batches, "body"):
-            ends, raw = binary_parts(batch.column("body"))
-            texts = [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            evidence = model.evidence(reader, texts) if model.words else np.zeros((len(texts), 4))
-            out = batch.select([c for c in batch.schema.names if c != "body"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(model.probability(evidence))], names=[*out.schema.names, "score"])
-
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("body"))
-    schema = keyed.drop("body").schema.add("score", "double")
-    return keyed.mapInArrow(run, schema)
+        for batch in batches:
+            # The text is read out of the row, so that it travels once.
+            body = batch.column("row").field(at).cast(pa.string()).cast(pa.binary()).fill_null(b"")
+            whole = pa.RecordBatch.from_arrays([*batch.columns, body], names=[*batch.schema.names, "body"])
+            for part in each_slice([whole], "body", 1_000_000):
+                ends, raw = binary_parts(part.column("body"))
+                texts = [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                evidence = model.evidence(reader, texts) if model.words else np.zeros((len(texts), 4))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.probability(evidence))], names=[*batch.schema.names, "score"])
+
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
