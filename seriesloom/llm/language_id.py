@@ -9,8 +9,7 @@ A language's n-grams are those found in at least ``least_texts`` of its learning
 at most ``most_rows`` texts of each language, those with the smallest hashed identifiers; prediction
 reads whole texts.
 
-Defined cases: a null text, one without a letter, or one without any n-gram is ``und`` with score 0;
-equal shares go to the language first in order; without learning texts everything is ``und``; more
+Defined cases: a null text or one without a letter is ``und`` with score 0; equal shares go to the language first in order; without learning texts everything is ``und``; more
 than 64 languages are an error; repeated rows get equal results.
 """
 
@@ -62,6 +61,8 @@ def gram_hashes(raw: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarra
         points = np.where(own, points, 32).astype(np.uint32)
         keep = own | np.concatenate([[True], own[:-1]])  # one space after a run of letters
         points = np.concatenate([gap, points[keep], gap])
+        if len(points) < size:
+            points = np.append(points, np.repeat(gap, size - len(points)))
         streams.append(points)
         counts[k] = len(points)
     if not streams:

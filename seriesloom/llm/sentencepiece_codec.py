@@ -100,8 +100,8 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
     used = np.zeros(size, bool)
     used[:2] = True
     place, piece_of[0] = {0: 0}, value[0]
-    # Nodes with many children are placed first, where there is room in a row; the rest fill gaps.
-    free, waiting = 2, [0]
+    # Nodes with several children are placed one after another, most children first; the rest fill gaps.
+    free, far, waiting = 2, 1, [0]
     while waiting:
         following: list[int] = []
         for node in sorted(waiting, key=lambda n: (-len(children[n]), n)):
@@ -110,7 +110,7 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
             labels = np.array(sorted(children[node]), np.int64) + 1
             while used[free]:
                 free += 1
-            start, window = max(1, free - int(labels[0])), 64
+            start, window = max(1, free - int(labels[0]), far if len(labels) > 1 else 1), 64
             while len(labels) > 1 or used[start + labels[0]]:
                 fits = np.flatnonzero(~used[np.arange(start, start + window)[:, None] + labels].any(axis=1))
                 if len(fits):
@@ -118,6 +118,8 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
                     break
                 start += window
                 window = min(4096, 2 * window)
+            if len(labels) > 1:
+                far = start
             slots = start + labels
             used[slots] = True
             base[place[node]], check[slots] = start, place[node]

@@ -1,8 +1,9 @@
 """Minimax contiguous partition of atomic groups into shards, in DataFrame functions only.
 
 Rows with equal keys form an atomic group that is never split. Groups stand in the order of their
-digest (an order that mixes sources), and are cut into at most ``shards`` contiguous runs so that
-the heaviest run is as light as possible: the smallest feasible capacity is searched, each candidate
+weight's power of two, heaviest first, and then of their digest (an order that mixes sources, and
+leaves light groups to even out the last shards). They are cut into at most ``shards`` contiguous
+runs so that the heaviest run is as light as possible: the smallest feasible capacity is searched, each candidate
 being checked greedily (extend the shard while it fits), and the groups are then cut at that
 capacity. A round checks many candidates in one pass over the prefix sums, so the search takes a few
 rounds rather than one for each bit.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import Scratch, utf8
 
 SALTS = 256  # sub-groups of one group: a key with a third of all rows is counted in that many tasks
-BUCKETS = 4096  # contiguous ranges of the digest order, for prefix sums without one global window
+BUCKETS = 1024  # digest ranges of one power of two, for prefix sums without one global window
 CANDIDATES = 48
 
 
@@ -44,8 +45,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     parts = rows.groupBy("digest", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     within = W.partitionBy("digest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("n_before", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    parts = scratch.write(parts.withColumn("bucket", _bucket(F.col("digest"))))
-    groups = scratch.write(_prefixes(parts.groupBy("bucket", "digest").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))))
+    parts = scratch.write(parts)
+    groups = scratch.write(_prefixes(parts.groupBy("digest").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))))
     starts = smallest_cuts(groups, shards)
     number = F.lit(0)
     for begin in starts[1:]:
@@ -72,15 +73,17 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _bucket(digest: Column) -> Column:
-    return F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int").bitwiseAND(0xFFFF) * F.lit(BUCKETS) / F.lit(65536)
+def _bucket(digest: Column, weight: Column) -> Column:
+    """Number of a group's place in the order: more binary digits first, then ranges of the digest."""
+    spread = F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int")
+    return (F.lit(64) - F.length(F.bin(weight))) * BUCKETS + F.floor(spread * BUCKETS / 65536).cast("int")
 
 
 def _prefixes(groups: DataFrame) -> DataFrame:
     """Bytes and rows before each group: sums inside a bucket plus the totals of earlier buckets."""
-    groups = groups.withColumn("bucket", F.floor("bucket").cast("int"))
+    groups = groups.withColumn("bucket", _bucket(F.col("digest"), F.col("bytes")))
     inside = W.partitionBy("bucket").orderBy("digest").rowsBetween(W.unboundedPreceding, -1)
-    # At most BUCKETS rows, whatever the table's size, meet in this one window.
+    # At most 64 * BUCKETS rows, whatever the table's size, meet in this one window.
     ahead = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = groups.groupBy("bucket").agg(F.sum("bytes").alias("b"), F.sum("n").alias("m"))
     totals = totals.select(

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from seriesloom.llm.common import Scratch, binary_parts, each_slice, mix, utf8
 
 GRAM = 32
-FLUSH = 1_000_000  # anchors a task holds before it passes them on
+FLUSH = 500_000  # anchors a task holds before it passes them on
 SPREAD = 64  # contexts of one bucket in one flush from which the bucket is dealt by context
 LIMIT = 20_000  # contexts of one bucket that one task refines
 REPEAT, PLAIN, SPREAD_OUT, WITNESS = 0, 1, 2, 3
@@ -158,7 +158,7 @@ def _runs_of_task(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in each_slice(batches, "body"):
+        for batch in each_slice(batches, "body", 1_000_000):
             ends, raw = binary_parts(batch.column("body"))
             number, low, n, offset, bucket, context = anchors(raw, ends, window)
             ids = batch.column("doc").to_numpy()[number]

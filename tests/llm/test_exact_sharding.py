@@ -88,12 +88,12 @@ def test_shards_are_minimax_contiguous_and_whole(spark):
     groups = defaultdict(int)
     for r in got:
         groups[r["digest"]] += r["size"]
-    sizes = [groups[d] for d in sorted(groups)]
+    order = sorted(groups, key=lambda d: (-groups[d].bit_length(), d))
+    sizes = [groups[d] for d in order]
     loads = defaultdict(int)
     for r in got:
         loads[r["shard"]] += r["size"]
     assert max(loads.values()) == least_capacity(sizes, 8)
-    order = sorted(groups)
     where = {r["digest"]: r["shard"] for r in got}
     assert [where[d] for d in order] == sorted(where[d] for d in order)
     for k in loads:
