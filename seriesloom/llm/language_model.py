@@ -1,21 +1,22 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Every word with more than ``share`` of the training tokens (so at most 1 / share of them) is a symbol
-of its own; all others share the symbol RARE and are told apart by a restaurant of their own with a
-diffuse base, where every known word has one table and a new table is a new word. Each symbol opens
-a context restaurant for the symbols that follow it; all context restaurants share one parent, the
-restaurant of symbols without context, whose parent is uniform.
+Every training word is a symbol of its own, named by its 64-bit hash; words that the training texts do
+not hold are one further outcome together. Each word, and the start of a text, opens a context
+restaurant for the words that follow it; all context restaurants share one parent, the restaurant of
+words without context, whose parent is uniform.
 
 Seating is sampled by Gibbs sweeps: the customers of a dish leave together and are seated again one
 after another given everything else, joining a table in proportion to its customers less a discount
 or opening one in proportion to what the parent expects; beyond ``PARTY`` guests of a dish the next
 ones come in parties of 1 / ``PARTY`` of those present, which share a probability. Tables are the
-customers of the parent. Restaurants hold at most 1 / share dishes, and are dealt over tasks. After
-the first sweeps the predictive probabilities are averaged over the following ones.
+customers of the parent. A dish with one customer has one table whatever is drawn, so the sweeps move
+pairs seen twice or more and the others count as they are. Seating needs of a context only its number
+of tables, so its dishes are dealt over tasks like any other rows. After the first sweeps the
+predictive probabilities are averaged over the following ones.
 
 Texts are scored in blocks of some megabytes: a block asks once for each distinct word and pair it
-holds, and the answers meet it again. Counts, the pairs and their probabilities stay distributed;
-the driver holds the symbols, which ``share`` bounds.
+holds, and the answers meet it again. Words, counts, pairs, tables and probabilities stay in tables;
+the driver holds totals.
 
 Defined cases: a null text is the empty one and consists of the end token; without training texts all
 words are unknown and the model is uniform over its two symbols; repeated rows are separate texts;
@@ -26,22 +27,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import Scratch, binary_parts, crc_of_id, each_slice, mix, utf8
 
-START, END, RARE, FIRST = 0, 1, 2, 3  # symbols; START is only a context
+START, END, RARE, FIRST = 0, 1, 2, 3  # symbols of a numbered view; START is only a context, RARE all unknown words
 PARTY = 32
-WIDTH = 20  # bits of a symbol in a pair
+WIDTH = 32  # bits of a task's word number in a pair
 FLUSH = 1_000_000
 BLOCK_BYTES = 12 << 20
 END_HASH = 0x5851F42D4C957F2D
+START_HASH = 0x14057B7EF767814F
 
 
 def words_of(body: bytes) -> list[bytes]:
@@ -49,7 +52,7 @@ def words_of(body: bytes) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """XXH64 of each word, with the place of the end token left free."""
+    """XXH64 of each word."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -82,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Symbols:
-    """Hashes (ascending) of the words that are symbols of their own, and their counts."""
+    """Hashes (ascending) of the training words and their counts, for a model small enough to number."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -96,65 +99,65 @@ class Symbols:
 
 
 class Encoder:
-    """Texts as word numbers and symbols; each distinct word is hashed once."""
+    """Texts as a task's own word numbers, after those of START and END; each distinct word is hashed once."""
 
-    def __init__(self, symbols: Symbols):
-        self.symbols = symbols
+    def __init__(self):
         self.numbers: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.int64)
-        self.kinds = np.zeros(0, np.int64)
+        self.hashes = np.array([START_HASH, END_HASH], np.int64)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, word numbers (-1 for the end) and first positions of the texts' token sequences."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and first positions of the texts' token sequences."""
         split = [words_of(t) for t in texts]
         flat = list(chain.from_iterable(split))
         new = list(set(flat) - self.numbers.keys())
         if new:
-            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-            found = word_hashes(new)
-            self.hashes, self.kinds = np.append(self.hashes, found), np.append(self.kinds, self.symbols.of(found))
+            self.numbers.update(zip(new, range(len(self.hashes), len(self.hashes) + len(new))))
+            self.hashes = np.append(self.hashes, word_hashes(new))
         sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
         ends = np.cumsum(sizes) - 1
-        number = np.full(int(sizes.sum()), -1)
+        number = np.full(int(sizes.sum()), END)
         inside = np.ones(len(number), bool)
         inside[ends] = False
         number[inside] = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        symbol = np.full(len(number), END)
-        symbol[inside] = self.kinds[number[inside]]
-        return symbol, number, ends - sizes + 1
+        return number, ends - sizes + 1
 
 
-def _pairs(symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
-    before = np.append(START, symbol[:-1])
+def _pairs(number: np.ndarray, first: np.ndarray) -> np.ndarray:
+    before = np.append(START, number[:-1])
     before[first] = START
-    return (before << WIDTH) | symbol
+    return (before << WIDTH) | number
 
 
-def pair_counts(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """``u`` (context), ``w`` and ``c`` over the rows of ``docs`` (body)."""
+def _halves(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pair >> WIDTH, pair & ((1 << WIDTH) - 1)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """``before`` and ``after`` (hashes of a context and of what follows it) and ``c`` over the rows of ``docs`` (body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             pair, count = np.unique(np.concatenate(held), return_counts=True)
+            before, after = _halves(pair)
             return pa.RecordBatch.from_arrays(
-                [pa.array((pair >> WIDTH).astype(np.int32)), pa.array((pair & ((1 << WIDTH) - 1)).astype(np.int32)), pa.array(count)], names=["u", "w", "c"]
+                [pa.array(encode.hashes[before]), pa.array(encode.hashes[after]), pa.array(count)], names=["before", "after", "c"]
             )
 
-        encode, held, size = Encoder(symbols), [], 0
+        encode, held, size = Encoder(), [], 0
         for batch in each_slice(batches, "body"):
-            if len(encode.numbers) > FLUSH:
-                encode = Encoder(symbols)
             ends, raw = binary_parts(batch.column("body"))
-            symbol, _, first = encode([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
-            held.append(_pairs(symbol, first))
-            size += len(symbol)
-            if size > 4 * FLUSH:
+            number, first = encode([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+            held.append(_pairs(number, first))
+            size += len(number)
+            if size > 4 * FLUSH or len(encode.numbers) > FLUSH:
                 yield flush()
                 held, size = [], 0
+                if len(encode.numbers) > FLUSH:
+                    encode = Encoder()
         if held:
             yield flush()
 
-    return docs.select("body").mapInArrow(run, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    return docs.select("body").mapInArrow(run, "before long, after long, c long").groupBy("before", "after").agg(F.sum("c").alias("c"))
 
 
 def seat(customers: np.ndarray, expected: np.ndarray, others: np.ndarray, strength: float, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
@@ -187,117 +190,139 @@ def discount_of(ones: int, twos: int) -> float:
 
 @dataclass
 class Model:
-    symbols: Symbols
+    """Totals of the training texts and the restaurants; words and pairs have tables of their own."""
+
     tokens: int
     types: int
-    rare_strength: float
-    rare_discount: float
-    rare_tokens: int
-    rare_types: int
-    alone: np.ndarray  # samples x symbols: probabilities without context
-    open: np.ndarray  # samples x symbols: share of a context left to its parent
+    strength: float
+    discount: float
+    unknown: np.ndarray  # of each sample: probability of all unknown words without context
+    starts: int  # training texts
+    start_open: np.ndarray  # of each sample: share of the start of a text left to its parent
+    symbols: Symbols | None = None  # these only in a numbered view
+    alone: np.ndarray | None = None  # samples x symbols: probabilities without context
+    open: np.ndarray | None = None  # samples x symbols: share of a context left to its parent
 
     def unseen(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (self.open[:, u] * self.alone[:, w]).mean(axis=0)
 
     def rare(self, counts: np.ndarray) -> np.ndarray:
-        """Probability of rare words by their counts, 0 for an unknown one."""
-        total = self.rare_strength + self.rare_tokens
-        new = (self.rare_strength + self.rare_discount * self.rare_types) / total
-        return np.where(counts > 0, (counts - self.rare_discount) / total, new)
-
-
-def fit(training: DataFrame, scratch: Scratch, share: float = 5e-5, strength: float = 1.0, burn_in: int = 2, samples: int = 3) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the counts of words (key, count) and the probabilities of seen pairs (u, w, p)."""
-    if share * ((1 << WIDTH) - FIRST) < 1:
-        raise ValueError("share allows more symbols than a pair has room for")
-    words = scratch.write(word_counts(training))
-    tokens, types = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    lively = (F.col("count") > max(1.0, tokens * share)) & (F.col("key") != END_HASH)
-    often = words.filter(lively).toPandas().sort_values("key")  # at most 1 / share rows
-    symbols = Symbols(often["key"].to_numpy(np.int64), often["count"].to_numpy(np.int64), FIRST + len(often))
-    rare = words.filter(~lively & (F.col("key") != END_HASH)).agg(
-        F.coalesce(F.sum("count"), F.lit(0)),
-        F.count(F.lit(1)),
-        F.count_if(F.col("count") == 1),
-        F.count_if(F.col("count") == 2),
-    ).first()
-    rare_discount = discount_of(rare[2], rare[3])
-
-    pairs = pair_counts(training, symbols)
-    state = scratch.write(pairs.withColumn("t", F.lit(1).cast("long")).withColumn("sum_p", F.lit(0.0)).repartition("u"))
-    sizes = state.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount = discount_of(*sizes)
-    size = symbols.size
-    root_tables = np.zeros(size, np.int64)
-    alone_samples, open_samples = [], []
-
-    def root_state(root_customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Probabilities of symbols without context; START never follows anything."""
-        base = np.full(size, 1 / (size - 1))
-        p = (root_customers - discount * tables + (strength + discount * tables.sum()) * base) / (strength + root_customers.sum())
-        p[START] = 0
-        return p
-
-    def totals(df: DataFrame, key: str, *cols: str) -> list[np.ndarray]:
-        """Sums per symbol; at most 1 / share rows reach the driver."""
-        got = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-        out = []
-        for c in cols:
-            whole = np.zeros(size, np.int64)
-            whole[got[key].to_numpy()] = got[c].to_numpy()
-            out.append(whole)
-        return out
-
-    (root_customers,) = totals(state, "w", "t")
-    root_tables = np.minimum(root_customers, 1)
-    in_context, tables_of = totals(state, "u", "c", "t")
+        """Share of a word in the symbol of unknown words, which are one outcome."""
+        return np.ones(len(counts))
+
+
+def train(training: DataFrame, scratch: Scratch, strength: float = 1.0, burn_in: int = 2, samples: int = 3) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, its words and its pairs.
+
+    Words have ``key``, ``count`` and ``marks`` (of each sample the probability without context and the
+    share left to the parent as a context); pairs have ``before``, ``after`` and ``value`` (customers less
+    the discount of their tables, averaged over samples).
+    """
+    counts = scratch.write(word_counts(training))
+    tokens, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = counts.filter(F.col("key") == END_HASH).first()
+    starts = int(ends["count"]) if ends else 0
+    pairs = scratch.write(pair_counts(training))
+    discount = discount_of(*pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    base = 1 / (max(types, 1) + 1)
+
+    def of_words(key: str, *sums: Column) -> DataFrame:
+        return pairs.groupBy(F.col(key).alias("key")).agg(*sums)
+
+    # A word is a customer of the parent once a table: at first each pair has one.
+    once = F.count_if(F.col("c") == 1)
+    begin = training.sparkSession.createDataFrame([(START_HASH, starts)], "key long, count long")
+    words = counts.unionByName(begin).join(of_words("after", once.alias("once_after"), F.count(F.lit(1)).alias("guests")), "key", "left")
+    words = words.join(of_words("before", once.alias("once_before"), F.count(F.lit(1)).alias("tables")), "key", "left").na.fill(0)
+    words = words.withColumn("root", F.least("guests", F.lit(1).cast("long"))).withColumn("marks", F.array().cast("array<double>"))
+    words = scratch.write(words)
+    state = scratch.write(pairs.filter("c > 1").selectExpr("before", "after", "c", "1L t", "0L sum_t"))
+
+    def totals() -> tuple[int, int]:
+        return tuple(words.agg(F.coalesce(F.sum("guests"), F.lit(0)), F.coalesce(F.sum("root"), F.lit(0))).first())
+
+    guests, root = totals()
+    unknown = []
     for sweep in range(burn_in + samples):
-        alone = root_state(root_customers, root_tables)
-        moved = scratch.write(state.mapInArrow(_sweep(alone, tables_of, strength, discount, sweep), "u int, w int, c long, t long, sum_p double"))
+        nobody = (strength + discount * root) * base / (strength + guests)
+        alone = (F.col("guests") - discount * F.col("root")) / (strength + guests) + nobody
+        seats = state.join(words.select(F.col("key").alias("before"), "tables"), "before")
+        seats = seats.join(words.select(F.col("key").alias("after"), alone.alias("expected")), "after")
+        kept = sweep >= burn_in
+        moved = scratch.write(seats.mapInArrow(_sweep(strength, discount, sweep, kept), "before long, after long, c long, t long, sum_t long"))
         scratch.drop(state)
         state = moved
-        (root_customers,) = totals(state, "w", "t")
-        (tables_of,) = totals(state, "u", "t")
-        everyone = np.full(size, 1 / (size - 1))
-        root_tables = seat(root_customers, everyone, root_tables.sum() - root_tables, strength, discount, np.arange(size), sweep)
-        if sweep >= burn_in:
-            alone = root_state(root_customers, root_tables)
-            left = (strength + discount * tables_of) / (strength + in_context)
-            alone_samples.append(alone)
-            open_samples.append(left)
-            averaged = scratch.write(state.mapInArrow(_predict(alone, left, in_context, strength, discount), "u int, w int, c long, t long, sum_p double"))
-            scratch.drop(state)
-            state = averaged
-    model = Model(
-        symbols, int(tokens), int(types), strength, rare_discount, int(rare[0]), int(rare[1]), np.array(alone_samples), np.array(open_samples)
-    )
-    return model, words, state.select("u", "w", (F.col("sum_p") / samples).alias("p"))
-
-
-def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    return tuple(batch.column(c).to_numpy() for c in ("u", "w", "c", "t", "sum_p"))
+        after = state.groupBy(F.col("after").alias("key")).agg(F.sum("t").alias("moved_after"))
+        before = state.groupBy(F.col("before").alias("key")).agg(F.sum("t").alias("moved_before"))
+        seated = words.join(after, "key", "left").join(before, "key", "left").na.fill(0, ["moved_after", "moved_before"])
+        seated = seated.withColumn("guests", F.col("once_after") + F.col("moved_after")).withColumn("tables", F.col("once_before") + F.col("moved_before"))
+        seated = seated.select("key", "count", "once_after", "guests", "once_before", "tables", "root", "marks")
+        seated = scratch.write(seated.mapInArrow(_sweep_root(base, root, strength, discount, sweep), seated.schema))
+        scratch.drop(words)
+        words = seated
+        guests, root = totals()
+        if kept:
+            nobody = (strength + discount * root) * base / (strength + guests)
+            unknown.append(nobody)
+            alone = (F.col("guests") - discount * F.col("root")) / (strength + guests) + nobody
+            left = (strength + discount * F.col("tables")) / (strength + F.col("count"))
+            words = words.withColumn("marks", F.concat("marks", F.array(alone, left)))
+    start = words.filter(F.col("key") == START_HASH).first()
+    model = Model(int(tokens), int(types), strength, discount, np.array(unknown), starts, np.array(start["marks"][1::2]))
+    several = state.select("before", "after", (F.col("c") - discount * F.col("sum_t") / samples).alias("value"))
+    seen = pairs.filter("c = 1").select("before", "after", F.lit(1 - discount).alias("value")).unionByName(several)
+    return model, words.filter(F.col("key") != START_HASH).select("key", "count", "marks"), seen
+
+
+def fit(training: DataFrame, scratch: Scratch, strength: float = 1.0, burn_in: int = 2, samples: int = 3) -> tuple[Model, DataFrame, DataFrame]:
+    """As ``train``, with a numbered view to look into: symbols in the model, and pairs with ``u``, ``w`` and ``p``.
+
+    The view collects all words; ``digest`` goes without it.
+    """
+    model, words, pairs = train(training, scratch, strength, burn_in, samples)
+    found = words.toPandas().sort_values("key")
+    of_word = found[found["key"] != END_HASH]
+    model.symbols = Symbols(of_word["key"].to_numpy(np.int64), of_word["count"].to_numpy(np.int64), FIRST + len(of_word))
+    model.alone = np.repeat(model.unknown[:, None], model.symbols.size, axis=1)
+    model.alone[:, START] = 0
+    model.open = np.ones_like(model.alone)
+    model.open[:, START] = model.start_open
+    for place, rows in ((slice(FIRST, None), of_word), (slice(END, END + 1), found[found["key"] == END_HASH])):
+        if len(rows):
+            marks = np.stack(rows["marks"].to_list()).T
+            model.alone[:, place], model.open[:, place] = marks[0::2], marks[1::2]
+    customers = np.concatenate([[model.starts, 0, 0], model.symbols.counts])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after, value = (batch.column(c).to_numpy() for c in ("before", "after", "value"))
+            u = np.where(before == START_HASH, START, model.symbols.of(before))
+            w = np.where(after == END_HASH, END, model.symbols.of(after))
+            p = value / (strength + customers[u]) + model.unseen(u, w)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u), pa.array(w), pa.array(p)], names=[*batch.schema.names, "u", "w", "p"])
 
+    return model, words, pairs.mapInArrow(numbered, "before long, after long, value double, u long, w long, p double")
 
-def _state(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "w", "c", "t", "sum_p"])
 
+def _sweep(strength: float, discount: float, sweep: int, kept: bool) -> Callable:
+    """Tables of pairs seated again; they are added up in ``sum_t`` where the sweep counts."""
 
-def _sweep(alone: np.ndarray, tables_of: np.ndarray, strength: float, discount: float, sweep: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["before", "after", "c", "t", "sum_t"]
         for batch in batches:
-            u, w, c, t, p = _numbers(batch)
-            key = (u.astype(np.int64) << WIDTH) | w
-            yield _state(u, w, c, seat(c, alone[w], tables_of[u] - t, strength, discount, key, sweep), p)
+            before, after, c, t, total, tables, expected = (batch.column(x).to_numpy() for x in (*names, "tables", "expected"))
+            t = seat(c, expected, tables - t, strength, discount, pair_key(before, after), sweep)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before, after, c, t, total + kept * t)], names=names)
 
     return run
 
 
-def _predict(alone: np.ndarray, left: np.ndarray, in_context: np.ndarray, strength: float, discount: float) -> Callable:
+def _sweep_root(base: float, root: int, strength: float, discount: float, sweep: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w, c, t, p = _numbers(batch)
-            yield _state(u, w, c, t, p + (c - discount * t) / (strength + in_context[u]) + left[u] * alone[w])
+            guests, own = batch.column("guests").to_numpy(), batch.column("root").to_numpy()
+            tables = seat(guests, np.full(len(guests), base), root - own, strength, discount, batch.column("key").to_numpy(), sweep)
+            yield batch.set_column(batch.schema.names.index("root"), "root", pa.array(tables))
 
     return run
 
@@ -305,35 +330,32 @@ def _predict(alone: np.ndarray, left: np.ndarray, in_context: np.ndarray, streng
 PAIR_TAG = np.uint64(0xA0761D6478BD642F)
 
 
-def pair_key(pair: np.ndarray) -> np.ndarray:
-    return mix(pair.astype(np.uint64) ^ PAIR_TAG).view(np.int64)
+def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(mix(before.view(np.uint64) ^ PAIR_TAG) + after.view(np.uint64)).view(np.int64)
 
 
-def _asked(symbols: Symbols) -> Callable:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words and pairs of each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(block: int) -> pa.RecordBatch:
-            keys = np.concatenate([encode.hashes[encode.kinds == RARE], pair_key(np.unique(np.concatenate(held)))])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys)], names=["block", "key"])
-
-        encode, held, now = Encoder(symbols), [], None
-        for batch in each_slice(batches, "body"):
-            ends, raw = binary_parts(batch.column("body"))
-            texts = [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            blocks = batch.column("block").to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)), len(blocks))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and blocks[a] != now:
-                    yield flush(now)
-                    encode, held = Encoder(symbols), []
-                now = int(blocks[a])
-                symbol, _, first = encode(texts[a:b])
-                held.append(np.unique(_pairs(symbol, first)))
-        if held:
-            yield flush(now)
-
-    return run
+    def flush(block: int) -> pa.RecordBatch:
+        before, after = _halves(np.unique(np.concatenate(held)))
+        keys = np.concatenate([encode.hashes, pair_key(encode.hashes[before], encode.hashes[after])])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys)], names=["block", "key"])
+
+    encode, held, now = Encoder(), [], None
+    for batch in each_slice(batches, "body"):
+        ends, raw = binary_parts(batch.column("body"))
+        texts = [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        blocks = batch.column("block").to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)), len(blocks))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and blocks[a] != now:
+                yield flush(now)
+                encode, held = Encoder(), []
+            now = int(blocks[a])
+            held.append(np.unique(_pairs(*encode(texts[a:b]))))
+    if held:
+        yield flush(now)
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -344,56 +366,62 @@ def score(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) ->
     blocked = docs.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     # Fewer partitions than blocks even out how many blocks a hash puts into each.
     blocked = blocked.repartition(-(-blocks // 3), "block").sortWithinPartitions("block")
-    asked = blocked.mapInArrow(_asked(model.symbols), "block int, key long")
+    asked = blocked.mapInArrow(_asked, "block int, key long")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = (batch.column("u").to_numpy().astype(np.int64) << WIDTH) | batch.column("w").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(pair)), batch.column("p")], names=["key", "value"])
+            key = pair_key(batch.column("before").to_numpy(), batch.column("after").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("value")], names=["key", "value"])
 
-    known = words.select("key", F.col("count").cast("double").alias("value")).unionByName(pairs.mapInArrow(keyed, "key long, value double"))
-    answers = asked.join(known, "key").select("block", "key", "value")
+    seen = pairs.select("before", "after", "value").mapInArrow(keyed, "key long, value double")
+    known = words.select("key", F.col("count").cast("double").alias("value"), "marks").unionByName(seen.withColumn("marks", F.lit(None).cast("array<double>")))
+    answers = asked.join(known, "key").select("block", "key", "value", "marks")
+    small = replace(model, symbols=None, alone=None, open=None)
+    nothing = np.stack([model.unknown, np.ones(len(model.unknown))], axis=1).ravel()
 
-    def judge(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts, found = texts.combine_chunks(), found.combine_chunks()
-        keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
+    def sorted_by_key(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = found.column("key").to_numpy()
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        return keys[order], found.column("value").to_numpy()[order], order
 
-        def look(wanted: np.ndarray) -> np.ndarray:
-            if not len(keys):
-                return np.full(len(wanted), np.nan)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], np.nan)
+    def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted keys, the place after the last where there is none."""
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, len(keys))
 
-        encode, rows = Encoder(model.symbols), []
-        counts = np.zeros(0)
+    def judge(texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        is_word = found.column("marks").is_valid()
+        of_words, of_pairs = found.filter(is_word).combine_chunks(), found.filter(pc.invert(is_word)).combine_chunks()
+        word_keys, word_counts_, order = sorted_by_key(of_words)
+        word_marks = of_words.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, len(nothing))[order]
+        word_counts_, word_marks = np.append(word_counts_, 0), np.concatenate([word_marks, nothing[None]])
+        pair_keys, pair_values, _ = sorted_by_key(of_pairs)
+        pair_values = np.append(pair_values, 0)
+
+        encode, rows = Encoder(), []
+        at = np.zeros(0, np.int64)
         for batch in texts.to_batches():
             for part in each_slice([batch], "body", 1_000_000):
                 ends, raw = binary_parts(part.column("body"))
-                symbol, number, first = encode([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
-                fresh = slice(len(counts), len(encode.hashes))
-                own = np.nan_to_num(look(encode.hashes[fresh]))
-                frequent = encode.kinds[fresh] >= FIRST
-                own[frequent] = model.symbols.counts[encode.kinds[fresh][frequent] - FIRST]
-                counts = np.append(counts, own)
-                count = np.where(number >= 0, counts[number] if len(counts) else 0, model_ends)
-                pair, back = np.unique(_pairs(symbol, first), return_inverse=True)
-                p = look(pair_key(pair))
-                lost = np.isnan(p)
-                p[lost] = model.unseen(pair[lost] >> WIDTH, pair[lost] & ((1 << WIDTH) - 1))
-                log = np.log10(p)[back]
-                is_rare = symbol == RARE
-                log[is_rare] += np.log10(model.rare(count[is_rare]))
-                base = np.log10((count + 1) / (model.tokens + model.types + 1))
-                size = np.diff(np.append(first, len(symbol)))
+                number, first = encode([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+                at = np.append(at, place(word_keys, encode.hashes[len(at) :]))
+                count = word_counts_[at[number]]
+                pair, back = np.unique(_pairs(number, first), return_inverse=True)
+                before, after = _halves(pair)
+                left, alone, customers = word_marks[at[before], 1::2], word_marks[at[after], 0::2], word_counts_[at[before]]
+                left[before == START], customers[before == START] = small.start_open, small.starts
+                value = pair_values[place(pair_keys, pair_key(encode.hashes[before], encode.hashes[after]))]
+                log = np.log10(value / (small.strength + customers) + (left * alone).mean(axis=1))[back]
+                base = np.log10((count + 1) / (small.tokens + small.types + 1))
+                size = np.diff(np.append(first, len(number)))
                 rows.append((part.column("doc_id"), size, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(log, first)))
         return pa.concat_tables(
             [pa.table([r[0], *(pa.array(x) for x in r[1:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]) for r in rows]
         ) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    ends = words.filter(F.col("key") == END_HASH).first()
-    model_ends = int(ends["count"]) if ends else 0
     return (
         blocked.groupBy("block")
         .cogroup(answers.groupBy("block"))
@@ -406,7 +434,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scratch = Scratch(docs.sparkSession, "language-model")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
     held_out = F.pmod(crc_of_id("doc_id"), F.lit(7)) == 2
-    model, words, pairs = fit(slim.filter(~held_out), scratch)
+    model, words, pairs = train(slim.filter(~held_out), scratch)
     out = score(slim, model, words, pairs)
     return out.select(
         F.col("doc_id").alias(id_col),

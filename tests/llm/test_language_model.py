@@ -110,3 +110,19 @@ def test_empty(spark):
     only_held = documents(spark, ["a b"] * 40).filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2)
     got = plain(lm.digest(only_held))
     assert got and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in got)
+
+
+def test_every_word_has_its_context_however_large_the_corpus(spark):
+    # "key" is seen 40 times in 1.2 million tokens, 3e-5 of them, and always followed by "lock".
+    rng = random.Random(8)
+    common = ["c%d" % i for i in range(50)]
+    texts = [" ".join(rng.choice(common) for _ in range(600)) for _ in range(2000)]
+    texts = [t + f" key lock n{i} n{i}" if i % 50 == 0 else t for i, t in enumerate(texts)]
+    df = documents(spark, texts).select("doc_id", utf8("text").alias("body"))
+    model, words, pairs = lm.train(df, Scratch(spark, "t"))
+    probes = documents(spark, ["key lock", "lock key"], 5000).select("doc_id", utf8("text").alias("body"))
+    got = {r.doc_id: r.score for r in lm.score(probes, model, words, pairs).collect()}
+    assert got[5000] > got[5001] + 2
+    seen = {(r.before, r.after) for r in pairs.collect()}
+    key, lock, n0 = (int(h) for h in lm.word_hashes([b"key", b"lock", b"n0"]))
+    assert {(key, lock), (lock, n0), (n0, n0), (n0, lm.END_HASH)} <= seen and words.count() == 50 + 2 + 40 + 1
