@@ -5,10 +5,14 @@ Equal fingerprints form a class. Classes are dealt over bands by a hash, and eve
 meets in one cell, so each pair of classes is compared exactly, in one place. Inside a cell both
 sides are ordered by the bit counts of their blocks and cut into tiles; a pair of tiles is skipped
 when the counts alone put it beyond the radius, and the others are compared by exclusive-or and bit
-counts. Where a similarity is asked for, links found on the first ``SCREEN`` bits are checked on the
-whole, longer fingerprint, whose distance tells the similarity to a few hundredths. A cell returns a
-spanning forest of its links, so a group of thousands of near copies costs as many rows as it has
-members, and no link between different texts is lost to the components.
+counts. A cell returns a spanning forest of its links, so a group of thousands of near copies costs as
+many rows as it has members, and no link between different texts is lost to the components.
+
+Where a similarity is asked for, distinct shingles vote, texts with equal shingle sets form a class, and
+fingerprints only propose: pairs close on the first ``SCREEN`` bits and then on all, both ``SPREAD``
+deviations wide, are confirmed by the exact Jaccard similarity of their shingle sets. Cells propose
+``MOST`` pairs of each class first. Classes that wait with pairs not yet proposed, and are not yet in one
+component, are compared again by components with eight times as many, until nothing waits.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of what there is; repeated rows are in one class; a null identifier
@@ -32,13 +36,14 @@ from seriesloom.llm.components import components
 
 BAND = 32_768  # classes in a band, on average: bounds what one cell holds
 TILE_ROWS, TILE_COLS = 128, 2048
-SCREEN, SCREEN_SPREAD = 128, 5.0  # bits compared first for a similarity, and deviations allowed there
+SCREEN, SPREAD = 128, 5.0  # bits compared first for a similarity, and deviations allowed in all comparisons
+MOST = 3  # pairs of a class proposed in the first round
 
 
-def radius_of(similarity: float, bits: int, spread: float = 0.5) -> int:
-    """Bits in which sets of the given Jaccard similarity differ, plus ``spread`` deviations."""
+def reach_of(similarity: float, bits: int) -> int:
+    """Bits in which pairs of at least the similarity differ at most, ``SPREAD`` deviations allowed."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 
 def shingle_hashes(body: bytes, words: int) -> np.ndarray:
@@ -71,22 +76,46 @@ def fingerprint(hashes: np.ndarray, bits: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text_hash, fp (array of 64-bit words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, words: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """One row per input row: doc_id, text_hash, fp (array of 64-bit words), node.
+
+    With ``distinct`` repeated shingles vote once and ``node`` names the shingle set, else the fingerprint.
+    """
+    import xxhash
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.list_(pa.int64())), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_slice(batches, "body"):
             ends, raw = binary_parts(batch.column("body"))
-            found = [fingerprint(shingle_hashes(raw[a:b].tobytes(), words), bits) for a, b in zip(ends[:-1], ends[1:])]
+            found, names = [], []
+            for a, b in zip(ends[:-1], ends[1:]):
+                hashes = shingle_hashes(raw[a:b].tobytes(), words)
+                hashes = np.unique(hashes) if distinct else hashes
+                names.append(xxhash.xxh64_intdigest(hashes.tobytes()) if distinct else 0)
+                found.append(fingerprint(hashes, bits))
             signed = np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, bits // 64)
+            node = pa.array(np.array(names, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(signed.tolist(), pa.list_(pa.int64()))], schema=schema
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(signed.tolist(), pa.list_(pa.int64())), node], schema=schema
             )
 
     body = utf8(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp array<long>")
+    out = slim.mapInArrow(run, "doc_id long, text_hash long, fp array<long>, node long")
+    return out if distinct else out.withColumn("node", F.col("fp")[0] if bits == 64 else F.xxhash64("fp"))
+
+
+def shingle_sets(bodies: DataFrame, words: int) -> DataFrame:
+    """``node`` and its distinct shingle hashes, of rows with ``node`` and ``body``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_slice(batches, "body"):
+            ends, raw = binary_parts(batch.column("body"))
+            found = [np.unique(shingle_hashes(raw[a:b].tobytes(), words)).view(np.int64) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return bodies.select("node", "body").mapInArrow(run, "node long, shingles array<long>")
 
 
 class Forest:
@@ -154,46 +183,131 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, screen: tuple[
                 yield order_l[i + a], order_r[j + b]
 
 
-def links_of_cell(pdf: pd.DataFrame, radius: int, screen: tuple[int, int] | None = None) -> pd.DataFrame:
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of a cell and the rows of its two bands."""
+    fps = np.array(pdf["fp"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(pdf), -1)
+    sides, low, high = pdf["band"].to_numpy(), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+    one = np.flatnonzero(sides == low)
+    return fps, one, one if low == high else np.flatnonzero(sides == high)
+
+
+def links_of_cell(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Spanning forest, as node pairs, of the links between the two bands of a cell."""
     pdf = pdf.sort_values("node", kind="stable")
-    fps = np.array(pdf["fp"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(pdf), -1)
-    nodes, sides = pdf["node"].to_numpy(), pdf["band"].to_numpy()
-    same = int(pdf["low"].iloc[0]) == int(pdf["high"].iloc[0])
-    one = np.flatnonzero(sides == pdf["low"].iloc[0])
-    two = one if same else np.flatnonzero(sides == pdf["high"].iloc[0])
-    forest = Forest(len(pdf))
-    for a, b in close_pairs(fps[one], fps[two], radius, screen):
+    fps, one, two = _sides(pdf)
+    nodes, forest = pdf["node"].to_numpy(), Forest(len(pdf))
+    for a, b in close_pairs(fps[one], fps[two], radius):
         forest.link(one[a], two[b])
     roots = forest.roots(np.arange(len(pdf)))
     moved = np.flatnonzero(roots != np.arange(len(pdf)))
     return pd.DataFrame({"a": nodes[moved], "b": nodes[roots[moved]]})
 
 
+def proposals_of_cell(pdf: pd.DataFrame, radius: int, screen: tuple[int, int] | None, most: int) -> pd.DataFrame:
+    """Close pairs of different labels, ``most`` of each label at least, and a spanning forest of those that wait."""
+    pdf = pdf.sort_values("node", kind="stable")
+    fps, one, two = _sides(pdf)
+    nodes, forest = pdf["node"].to_numpy(), Forest(len(pdf))
+    label = pd.factorize(pdf["label"])[0]
+    given = np.zeros(label.max() + 1, np.int64)
+
+    def rank(of: np.ndarray) -> np.ndarray:
+        order = np.argsort(of, kind="stable")
+        out = np.empty(len(of), np.int64)
+        out[order] = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+        return out + given[of]
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in close_pairs(fps[one], fps[two], radius, screen):
+        a, b = one[a], two[b]
+        new = label[a] != label[b]
+        if one is two:
+            new &= a < b  # each pair comes both ways
+        a, b = a[new], b[new]
+        early = (given[label[a]] < most) | (given[label[b]] < most)
+        forest.link(a[~early], b[~early])
+        a, b = a[early], b[early]
+        early = (rank(label[a]) < most) | (rank(label[b]) < most)
+        forest.link(a[~early], b[~early])
+        a, b = a[early], b[early]
+        given += np.bincount(label[a], minlength=len(given)) + np.bincount(label[b], minlength=len(given))
+        left.append(a)
+        right.append(b)
+    roots = forest.roots(np.arange(len(pdf)))
+    waits = np.flatnonzero(roots != np.arange(len(pdf)))
+    left, right = np.concatenate(left), np.concatenate(right)
+    out = pd.DataFrame({"a": nodes[np.append(left, waits)], "b": nodes[np.append(right, roots[waits])], "waits": np.arange(len(left) + len(waits)) >= len(left)})
+    return out.assign(low=pdf["low"].iloc[0], high=pdf["high"].iloc[0])
+
+
+def _cells(classes: DataFrame) -> DataFrame:
+    """Rows of ``classes`` (node and more) once for every cell of two bands."""
+    bands = max(1, -(-classes.count() // BAND))
+    banded = classes.withColumn("band", F.pmod(F.xxhash64("node"), F.lit(bands)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    cells = banded.withColumn("other", other).withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other")).drop("other")
+    # The number is given: cells are small to move and costly to compare, so none are merged.
+    return cells.repartition(bands * (bands + 1) // 2, "low", "high")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have at least the Jaccard similarity."""
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
+    common = F.size(F.array_intersect("one", "two"))
+    both = both.select("a", "b", common.alias("common"), (F.size("one") + F.size("two")).alias("sizes"))
+    return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def similar_roots(docs: DataFrame, classes: DataFrame, words: int, bits: int, similarity: float, text_col: str, scratch: Scratch) -> DataFrame:
+    """``node`` and ``root`` of the classes linked by their exact similarity; classes alone may be absent."""
+    reach = reach_of(similarity, bits)
+    screen = (SCREEN // 64, reach_of(similarity, SCREEN)) if bits > SCREEN else None
+    body = utf8(text_col)
+    texts = docs.select(F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    pending, most, links = classes.select("node", "fp", F.col("node").alias("label")), MOST, None
+    while True:
+        kind = "a long, b long, waits boolean, low int, high int"
+        # Written before ``most`` changes.
+        found = scratch.write(_cells(pending).groupBy("low", "high").applyInPandas(lambda pdf: proposals_of_cell(pdf, reach, screen, most), kind))
+        pairs = found.filter("not waits")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = wanted.join(classes.select("node", F.col("first.text_hash").alias("text_hash")), "node")
+        sets = scratch.write(shingle_sets(texts.join(wanted, "text_hash").dropDuplicates(["node"]), words))
+        similar = similar_pairs(pairs, sets, similarity)
+        links = scratch.write(similar if links is None else links.unionByName(similar))
+        scratch.drop(sets)
+        roots = scratch.write(components(links, scratch))
+        # A tree of waiting pairs is settled when it lies in one component.
+        waiting = found.filter("waits")
+        for end in ("a", "b"):
+            own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            waiting = waiting.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        unsettled = waiting.filter("root_a <> root_b").select("low", "high", "b").distinct()
+        again = found.filter("waits").join(unsettled, ["low", "high", "b"]).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        again = classes.join(again, "node").join(roots, "node", "left")
+        pending = scratch.write(again.select("node", "fp", F.coalesce("root", "node").alias("label")))
+        if pending.isEmpty():
+            return roots
+        most *= 8
+
+
 def groups(docs: DataFrame, words: int = 5, bits: int = 2048, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, text_hash, fp, component_id, keep_hash.
 
     ``component_id`` is the smallest identifier reachable over links, and ``keep_hash`` the hash of
-    the text that has it. Without ``radius`` the one belonging to ``similarity`` is taken.
+    the text that has it. Without ``radius`` pairs of at least the Jaccard ``similarity`` are linked.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    reach = radius_of(similarity, bits) if radius is None else radius
-    screen = (SCREEN // 64, radius_of(similarity, SCREEN, SCREEN_SPREAD)) if radius is None and bits > SCREEN else None
-    node = F.col("fp")[0] if bits == 64 else F.xxhash64("fp")
-    found = scratch.write(fingerprints(docs, words, bits, id_col, text_col).withColumn("node", node))
+    found = scratch.write(fingerprints(docs, words, bits, id_col, text_col, distinct=radius is None))
     classes = scratch.write(
         found.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
     )
-    bands = max(1, -(-classes.count() // BAND))
-    banded = classes.select("node", "fp", F.pmod(F.xxhash64("node"), F.lit(bands)).cast("int").alias("band"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    cells = banded.withColumn("other", other).select(
-        "node", "fp", "band", F.least("band", "other").alias("low"), F.greatest("band", "other").alias("high")
-    )
-    # The number is given: cells are small to move and costly to compare, so none are merged.
-    cells = cells.repartition(bands * (bands + 1) // 2, "low", "high")
-    links = scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: links_of_cell(pdf, reach, screen), "a long, b long"))
-    roots = components(links, scratch)
+    if radius is None:
+        roots = similar_roots(docs, classes, words, bits, similarity, text_col, scratch)
+    else:
+        cells = _cells(classes.select("node", "fp"))
+        roots = components(scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: links_of_cell(pdf, radius), "a long, b long")), scratch)
     labelled = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("least"))
     labels = labelled.select("node", "root").join(firsts, "root").select("node", "least")

@@ -122,3 +122,54 @@ def test_empty_and_awkward(spark):
     assert simhash.digest(empty).count() == 0 and simhash.distinct_rows(empty).count() == 0
     kept = {r.doc_id for r in simhash.distinct_rows(awkward(spark)).collect()}
     assert {1, 4, 5, 8, None, -4, 9} == kept
+
+
+def shingles(text, words=5):
+    tokens = text.split()
+    return {tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.distinct_rows(documents(spark, texts)).collect()}
+
+
+def test_repeated_lines_neither_link_nor_part(spark):
+    rng = random.Random(11)
+    vocab = ["v%d" % i for i in range(5000)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    line = say(14)
+    own = [say(300) + (" " + line) * 20 for _ in range(6)]
+    x, y = say(200), say(200)
+    assert jaccard(own[0], own[1]) < 0.1 and jaccard(x + " " + y, " ".join([x] * 5 + [y])) > 0.9
+    texts = [*own, x + " " + y, " ".join([x] * 5 + [y])]
+    assert kept(spark, texts) == set(range(7))
+
+
+@pytest.mark.parametrize("band", [32_768, 60])
+def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch, band):
+    monkeypatch.setattr(simhash, "BAND", band)
+    monkeypatch.setattr(simhash, "MOST", 1)
+    rng = random.Random(13)
+    vocab = ["v%d" % i for i in range(5000)]
+    texts = []
+    for _ in range(4):
+        base = [rng.choice(vocab) for _ in range(120)]
+        for _ in range(50):
+            copy = list(base)
+            for _ in range(2):
+                copy[rng.randrange(120)] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+    label = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert 20 < len(set(label)) < 180
+    assert kept(spark, texts) == set(label)
