@@ -41,8 +41,12 @@ MOST = 3  # pairs of a class proposed in the first round
 
 
 def reach_of(similarity: float, bits: int) -> int:
-    """Bits in which pairs of at least the similarity differ at most, ``SPREAD`` deviations allowed."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Bits in which pairs of at least the similarity differ at most, ``SPREAD`` deviations allowed.
+
+    Very small sets differ in more bits than large ones, as ties count as no majority: four shingles of
+    five in 3/16 of them, two of three in a quarter.
+    """
+    share = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16 if similarity >= 0.75 else 1 / 4)
     return int(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 

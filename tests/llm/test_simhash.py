@@ -150,6 +150,27 @@ def test_repeated_lines_neither_link_nor_part(spark):
     assert kept(spark, texts) == set(range(7))
 
 
+def test_pairs_around_the_similarity_are_decided_exactly(spark):
+    rng = random.Random(12)
+    vocab = ["v%d" % i for i in range(5000)]
+    texts, gone, near = [], set(), []
+    # 200 shingles; n new words at one end of the copy take n out of either set, so (200 - n) / (200 + n) are common.
+    for new in [24, 23, 22, 20] * 40:
+        base = [rng.choice(vocab) for _ in range(204)]
+        texts += [" ".join(base), " ".join(base[:-new] + [rng.choice(vocab) for _ in range(new)])]
+        near.append(round(jaccard(*texts[-2:]), 3))
+        if jaccard(*texts[-2:]) >= 0.8:
+            gone.add(len(texts) - 1)
+    # Exactly 0.8, on four shingles of five and on 80 of 100.
+    for size in [8] * 30 + [84] * 30:
+        base = [rng.choice(vocab) for _ in range(size + size // 80 * 20 + (size == 8))]
+        texts += [" ".join(base), " ".join(base[:size])]
+        assert jaccard(*texts[-2:]) == 0.8
+        gone.add(len(texts) - 1)
+    assert min(near) < 0.79 and 0.8 <= max(near) < 0.83
+    assert kept(spark, texts) == set(range(len(texts))) - gone
+
+
 @pytest.mark.parametrize("band", [32_768, 60])
 def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch, band):
     monkeypatch.setattr(simhash, "BAND", band)
