@@ -117,24 +117,24 @@ def window_names(raw: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _packed(sub: np.ndarray, low: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return (sub << 50) | (low << 16) | (n << 8) | offset
+def _packed(low: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return (low << 16) | (n << 8) | offset
 
 
 def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
-    return packed >> 50, (packed >> 16) & ((1 << 34) - 1), (packed >> 8) & 255, packed & 255
+    return packed >> 16, (packed >> 8) & 255, packed & 255
 
 
-RUNS = "place long, kind byte, bucket long, context long, doc long, packed long"
+RUNS = "place long, kind byte, bucket long, context long, doc long, sub long, packed long"
 
 
 def _runs_of_task(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Anchored runs of a task's documents, one row per context and flush, and the repeats among them."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, packed, bucket, context = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((packed, doc, context, bucket))
-        doc, packed, bucket, context = doc[order], packed[order], bucket[order], context[order]
+        doc, sub, packed, bucket, context = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((packed, sub, doc, context, bucket))
+        doc, sub, packed, bucket, context = doc[order], sub[order], packed[order], bucket[order], context[order]
         new_bucket = np.ones(len(doc), bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
         new = new_bucket.copy()
@@ -144,7 +144,7 @@ def _runs_of_task(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         crowded = np.bincount(number, weights=new) >= SPREAD
         kind[new & crowded[number]] = SPREAD_OUT
         place = np.where(kind == PLAIN, bucket, _pair(bucket, context))
-        place = np.where(kind == REPEAT, mix(packed.view(np.uint64) + doc.view(np.uint64)), place)
+        place = np.where(kind == REPEAT, mix(packed.view(np.uint64) + doc.view(np.uint64) + sub.view(np.uint64)), place)
         witness = np.flatnonzero(new_bucket)[crowded]
         columns = [
             np.append(place, bucket[witness]).view(np.int64),
@@ -152,9 +152,10 @@ def _runs_of_task(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             np.append(bucket, bucket[witness]).view(np.int64),
             np.append(context, context[witness]).view(np.int64),
             np.append(doc, np.full(len(witness), np.iinfo(np.int64).max)),  # after every row of its context
+            np.append(sub, sub[witness]),
             np.append(packed, packed[witness]),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "kind", "bucket", "context", "doc", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "kind", "bucket", "context", "doc", "sub", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -162,8 +163,7 @@ def _runs_of_task(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             ends, raw = binary_parts(batch.column("body"))
             number, low, n, offset, bucket, context = anchors(raw, ends, window)
             ids = batch.column("doc").to_numpy()[number]
-            sub = batch.column("sub").to_numpy()[number].astype(np.int64)
-            parts.append((ids, _packed(sub, low, n, offset), bucket, context))
+            parts.append((ids, batch.column("sub").to_numpy()[number], _packed(low, n, offset), bucket, context))
             held += len(ids)
             if held >= FLUSH:
                 yield flush(parts)
@@ -179,7 +179,7 @@ def _first_refinement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     last_bucket = last_context = None
     pending: tuple | None = None  # the only context so far of the last bucket
     for batch in batches:
-        kind, bucket, context, doc, packed = (batch.column(c).to_numpy() for c in ("kind", "bucket", "context", "doc", "packed"))
+        kind, bucket, context, doc, sub, packed = (batch.column(c).to_numpy() for c in ("kind", "bucket", "context", "doc", "sub", "packed"))
         again = kind == REPEAT
         rows = np.flatnonzero(~again)
         if len(rows):
@@ -203,20 +203,20 @@ def _first_refinement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 tail = heads[-1]
                 alone = new_bucket[tail] and not shared[tail]
                 if alone or b[tail] != last_bucket or len(heads):
-                    pending = (bucket[rows[tail]], doc[rows[tail]], packed[rows[tail]]) if alone and kind[rows[tail]] == PLAIN else None
+                    pending = (bucket[rows[tail]], doc[rows[tail]], sub[rows[tail]], packed[rows[tail]]) if alone and kind[rows[tail]] == PLAIN else None
             shared |= new & (kind[rows] == SPREAD_OUT)
             shared &= ~is_witness
             last_bucket, last_context = b[-1], c[-1]
             out = np.concatenate([np.flatnonzero(again), rows[shared]])
         else:
             out = np.flatnonzero(again)
-        yield _found(again[out], bucket[out], doc[out], packed[out])
+        yield _found(again[out], bucket[out], doc[out], sub[out], packed[out])
 
 
-def _found(repeat, bucket, doc, packed) -> pa.RecordBatch:
+def _found(repeat, bucket, doc, sub, packed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(repeat, pa.bool_()), pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(packed, pa.int64())],
-        names=["repeat", "bucket", "doc", "packed"],
+        [pa.array(repeat, pa.bool_()), *(pa.array(x, pa.int64()) for x in (bucket, doc, sub, packed))],
+        names=["repeat", "bucket", "doc", "sub", "packed"],
     )
 
 
@@ -231,12 +231,12 @@ def _fetch(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             fields = wanted.values.flatten()
             bucket, packed = (f.to_numpy()[cuts[0] : cuts[-1]] for f in fields)
             number = np.repeat(np.arange(len(batch)), np.diff(cuts))
-            _, low, n, _ = _unpacked(packed)
+            low, n, _ = _unpacked(packed)
             start = ends[:-1][number] + low
             bytes_ = [raw[a : a + m].tobytes() for a, m in zip(start.tolist(), (n - 1 + window).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(batch.column("doc").to_numpy()[number]), pa.array(packed), pa.array(bytes_, pa.binary())],
-                names=["bucket", "doc", "packed", "context"],
+                [pa.array(bucket), *(pa.array(batch.column(c).to_numpy()[number]) for c in ("doc", "sub")), pa.array(packed), pa.array(bytes_, pa.binary())],
+                names=["bucket", "doc", "sub", "packed", "context"],
             )
 
     return run
@@ -266,8 +266,8 @@ def _last_refinement(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def refine(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, inside, name = _windows(batch, window)
-        bucket, doc, packed = (batch.column(c).to_numpy() for c in ("bucket", "doc", "packed"))
-        sub, low, _, _ = _unpacked(packed)
+        bucket, doc, sub, packed = (batch.column(c).to_numpy() for c in ("bucket", "doc", "sub", "packed"))
+        low, _, _ = _unpacked(packed)
         order = np.lexsort((low[row] + inside, sub[row], doc[row], name, bucket[row]))
         b, m = bucket[row][order], name[order]
         repeated = np.zeros(len(row), bool)
@@ -307,9 +307,10 @@ def _each_window(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_slice(batches, "context"):
             row, inside, name = _windows(batch, window)
-            sub, low, _, _ = _unpacked(batch.column("packed").to_numpy()[row])
+            doc, sub = (batch.column(c).to_numpy()[row] for c in ("doc", "sub"))
+            low, _, _ = _unpacked(batch.column("packed").to_numpy()[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (batch.column("bucket").to_numpy()[row], name.view(np.int64), batch.column("doc").to_numpy()[row], sub, low + inside)],
+                [pa.array(x) for x in (batch.column("bucket").to_numpy()[row], name.view(np.int64), doc, sub, low + inside)],
                 names=["bucket", "name", "doc", "sub", "low"],
             )
 
@@ -325,17 +326,16 @@ def repeated_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         raise ValueError("windows of 64 to 128 bytes are supported")
     runs = docs.select("doc", "sub", "body").mapInArrow(_runs_of_task(window), RUNS)
     # The number is given: rows are small, and a later merge of partitions would undo the spreading.
-    dealt = runs.repartition(F.col("place")).sortWithinPartitions("bucket", "context", "doc", "packed")
-    found = scratch.write(dealt.mapInArrow(_first_refinement, "repeat boolean, bucket long, doc long, packed long"))
-    low = F.shiftrightunsigned("packed", 16).bitwiseAND((1 << 34) - 1)
+    dealt = runs.repartition(F.col("place")).sortWithinPartitions("bucket", "context", "doc", "sub", "packed")
+    found = scratch.write(dealt.mapInArrow(_first_refinement, "repeat boolean, bucket long, doc long, sub long, packed long"))
+    low = F.shiftrightunsigned("packed", 16)
     n = F.shiftrightunsigned("packed", 8).bitwiseAND(255)
-    sub = F.shiftrightunsigned("packed", 50)
-    whole = found.filter("repeat").select("doc", sub.alias("sub"), low.alias("low"), (low + n - 1 + window).alias("high"))
+    whole = found.filter("repeat").select("doc", "sub", low.alias("low"), (low + n - 1 + window).alias("high"))
 
-    shared = found.filter("not repeat").withColumn("sub", sub)
+    shared = found.filter("not repeat")
     wanted = shared.groupBy("doc", "sub").agg(F.collect_list(F.struct("bucket", "packed")).alias("wanted"))
     texts = docs.select("doc", "sub", "body").join(wanted, ["doc", "sub"])
-    contexts = scratch.write(texts.mapInArrow(_fetch(window), "bucket long, doc long, packed long, context binary"))
+    contexts = scratch.write(texts.mapInArrow(_fetch(window), "bucket long, doc long, sub long, packed long, context binary"))
     crowded = contexts.groupBy("bucket").count().filter(F.col("count") > LIMIT).select("bucket")
     few = contexts.join(crowded, "bucket", "left_anti")
     few = few.repartition(F.col("bucket")).sortWithinPartitions("bucket")
@@ -367,7 +367,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(body).bitwiseAND(0x1FFF).alias("sub"),
+        F.xxhash64(body).alias("sub"),
         body.alias("body"),
     )
 

@@ -80,3 +80,15 @@ def test_texts_keep_whole_characters_and_columns(spark):
     assert suffix_dedup.without_repeats(df).columns == df.columns
     assert got[0].text == texts[0] and got[2].text is None and got[3].text == "short" and got[1].row == "own"
     assert len(got[1].text) < 20 and got[1].text.startswith("ä") and got[1].text.endswith("tail ß")
+
+
+def test_many_texts_under_one_identifier(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    say = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    shared = say(30)
+    texts = [f"{k} " + say(rng.randrange(0, 40)) + shared * (k % 3) + say(5) for k in range(500)]
+    df = spark.createDataFrame([(None, t, "en", "s", len(t)) for t in texts], SCHEMA)
+    # Texts of one identifier come in order of their hashes.
+    rows = sorted(((r.h, r.text) for r in df.selectExpr("xxhash64(cast(text as binary)) h", "text").collect()))
+    assert fast(df) == slow([(None, text) for _, text in rows])
