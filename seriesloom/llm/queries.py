@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language_id, language_model, packing, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, merkle, packing, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,83 @@ def op9(spark, folder):
 @query("op10_toxicity")
 def op10(spark, folder):
     return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op11_merkle_manifest",
+    """
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER () AS n, doc_id, lang,
+            coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+            || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+            CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS given,
+            CASE WHEN text IS NULL THEN '-'
+                ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS altered,
+        FROM documents
+    ),
+    crc_step AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+        UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_step WHERE k < 8),
+    crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8),
+    crc AS (
+        SELECT doc_id, xor(list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+            lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS crc
+        FROM (SELECT DISTINCT doc_id FROM d), crc_table
+    ),
+    leaves AS MATERIALIZED (
+        SELECT n, doc_id, lang, sha256(head || given) AS leaf,
+            sha256(head || CASE WHEN coalesce(crc, 0) % 3 = 0 THEN altered ELSE given END) AS offered
+        FROM d LEFT JOIN crc USING (doc_id)
+    ),
+    placed AS MATERIALIZED (
+        SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+        FROM leaves
+    ),
+    nodes AS (
+        SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS alive FROM placed
+        UNION ALL
+        SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(alive) + 7) // 8
+        FROM nodes WHERE alive > 1 GROUP BY tree, level, place // 8
+    ),
+    kept AS MATERIALIZED (SELECT * FROM nodes),
+    subroots AS MATERIALIZED (SELECT tree, max(level) AS height, arg_max(digest, level) AS subroot FROM kept GROUP BY tree),
+    upper AS (
+        SELECT 0 AS level, tree AS place, subroot AS digest, count(*) OVER () AS alive FROM subroots
+        UNION ALL
+        SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(alive) + 7) // 8
+        FROM upper WHERE alive > 1 GROUP BY level, place // 8
+    ),
+    kept_upper AS MATERIALIZED (SELECT * FROM upper),
+    top AS (SELECT max(level) AS height, arg_max(digest, level) AS root FROM kept_upper),
+    beside AS MATERIALIZED (
+        SELECT a.tree, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+            coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+        FROM kept a JOIN kept b ON a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 GROUP BY ALL
+    ),
+    beside_upper AS MATERIALIZED (
+        SELECT a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+            coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+        FROM kept_upper a JOIN kept_upper b ON a.level = b.level AND a.place // 8 = b.place // 8 GROUP BY ALL
+    ),
+    sides AS MATERIALIZED (
+        SELECT p.n, b.level, b.l, b.r FROM placed p JOIN subroots s USING (tree)
+        JOIN beside b ON b.tree = p.tree AND b.level < s.height AND b.place = p.place // CAST(pow(8, b.level) AS BIGINT)
+        UNION ALL
+        SELECT p.n, s.height + b.level, b.l, b.r FROM placed p JOIN subroots s USING (tree), top t
+        JOIN beside_upper b ON b.level < t.height AND b.place = p.tree // CAST(pow(8, b.level) AS BIGINT)
+    ),
+    proofs AS (SELECT n, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256, count(*) AS steps FROM sides GROUP BY n),
+    folds AS (
+        SELECT n, 0 AS level, offered AS digest FROM placed
+        UNION ALL
+        SELECT f.n, f.level + 1, sha256(s.l || f.digest || s.r) FROM folds f JOIN sides s ON s.n = f.n AND s.level = f.level
+    ),
+    folded AS (SELECT n, arg_max(digest, level) AS folded_root FROM folds GROUP BY n)
+    SELECT p.doc_id, p.leaf, s.subroot, t.root, coalesce(r.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.root AS verified
+    FROM placed p JOIN subroots s USING (tree) JOIN folded f USING (n) LEFT JOIN proofs r USING (n), top t
+    """,
+)
+def op11(spark, folder):
+    return merkle.digest(table(spark, folder, "documents"))
