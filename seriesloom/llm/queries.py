@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language_id, language_model, merkle, packing, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, merkle, packing, ranked_search, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,34 @@ def op10(spark, folder):
 )
 def op11(spark, folder):
     return merkle.digest(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+    ),
+    s AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+    q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ),
+    p AS (SELECT nr, unnest(terms) AS term FROM d),
+    f AS (SELECT nr, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM f, s GROUP BY term
+    ),
+    m AS (SELECT nr, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, s),
+    c AS (
+        SELECT q.item_id, m.nr, m.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) AS BIGINT) AS score
+        FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (nr) GROUP BY ALL
+    ),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+)
+def op12(spark, folder):
+    return ranked_search.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 50)
