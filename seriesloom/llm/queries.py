@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language_id, language_model, merkle, packing, ranked_search, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
+from seriesloom.llm import exact_dedup, language_id, language_model, merkle, packing, pii, ranked_search, sentencepiece_codec, sharding, simhash, suffix_dedup, topk, toxicity
 from seriesloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,8 @@ def op11(spark, folder):
 )
 def op12(spark, folder):
     return ranked_search.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 50)
+
+
+@query("op13_personal_data")
+def op13(spark, folder):
+    return pii.digest(table(spark, folder, "documents"))
