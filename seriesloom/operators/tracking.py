@@ -8,7 +8,6 @@ a row for every frame.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
@@ -59,18 +58,19 @@ ROW_FIELDS = (
     + [(c, "double") for c in ("posterior_growth_mean_cm_day", "posterior_growth_sd_cm_day", "predictive_mean_before_cm", "predictive_sd_before_cm")]
     + [(c, "double") for c in ("outlier_posterior_probability", "effective_sample_size", "x_fraction", "root_y")]
     + [("candidate_index", "bigint"), ("detection_confidence", "double")]
+    + [("calibration_filename", "string"), ("extrapolation_bands", "double"), ("days_after_first_image", "double")]
 )
 ROW_SCHEMA = ", ".join(f"{n} {k}" for n, k in ROW_FIELDS)
 
 
-def measure(c: Mapping, root_y: float, fit: Mapping | None, s: TrackSettings) -> tuple[float, float, str]:
-    """Height, its standard deviation and the quality label of one candidate."""
+def measure(c: Mapping, root_y: float, fit: Mapping | None, s: TrackSettings) -> tuple[float, float, str, float]:
+    """Height, its standard deviation, the quality label and the bands beyond the marks of one candidate."""
     pose = s.base_sd / math.sqrt(max(c["confidence"], 0.05))
     if s.scale is not None:
         height = max(root_y - c["y_top"], 0.0) * s.scale
-        return height, pose, "pass" if 0 < height <= 450 else "height_out_of_range"
+        return height, pose, "pass" if 0 < height <= 450 else "height_out_of_range", 0.0
     if fit is None or not math.isfinite(fit["fit_a"]):
-        return math.nan, math.nan, "no_past_passing_pole_calibration"
+        return math.nan, math.nan, "no_past_passing_pole_calibration", math.nan
 
     def level(y):
         u = (y - fit["fit_y_center"]) / fit["fit_y_scale"]
@@ -81,8 +81,8 @@ def measure(c: Mapping, root_y: float, fit: Mapping | None, s: TrackSettings) ->
     bands = max(low - c["y_top"], c["y_top"] - high, low - root_y, root_y - high, 0.0) / fit["fit_gap"]
     sd = math.hypot(pose, math.sqrt(2) * fit["fit_rmse"] * s.depth_factor, bands * s.band_sd, height * fit["fit_regularity"])
     if not 0 < height <= 450:
-        return height, sd, "height_out_of_range"
-    return height, sd, "pole_extrapolation_over_three_bands" if bands > 3 else "pass"
+        return height, sd, "height_out_of_range", bands
+    return height, sd, "pole_extrapolation_over_three_bands" if bands > 3 else "pass", bands
 
 
 @dataclass
@@ -129,27 +129,15 @@ def start_picks(frame: Sequence[Mapping], s: TrackSettings, expected: int) -> li
 
 
 class CameraTracker:
-    """Tracks of one camera; can be stored as bytes between micro-batches."""
+    """Tracks of one camera."""
 
     def __init__(self, camera: str, s: TrackSettings):
         self.camera, self.s = camera, s
         self.tracks: list[Track] = []
         self.now_us: int | None = None
+        self.first_us: int | None = None
 
-    def dump(self) -> bytes:
-        head = [[t.number, t.uid, t.x, t.root_y, t.outlier, t.particles.dump().hex() if t.particles else None] for t in self.tracks]
-        return json.dumps({"now": self.now_us, "tracks": head}).encode()
-
-    @classmethod
-    def load(cls, blob: bytes, camera: str, s: TrackSettings) -> CameraTracker:
-        out, data = cls(camera, s), json.loads(blob)
-        out.now_us = data["now"]
-        for number, uid, x, root_y, outlier, state in data["tracks"]:
-            particles = Particles.load(bytes.fromhex(state), uid, s.filter) if state else None
-            out.tracks.append(Track(number, uid, x, root_y, particles, outlier))
-        return out
-
-    def log_score(self, track: Track, c: Mapping, m: tuple[float, float, str], distance: float) -> float:
+    def log_score(self, track: Track, c: Mapping, m: tuple[float, float, str, float], distance: float) -> float:
         s = self.s
         score = math.log(max(c["confidence"], 1e-12)) - 0.5 * (distance / s.position_sd) ** 2
         if s.use_prior and track.particles is not None and m[2] == "pass":
@@ -162,6 +150,8 @@ class CameraTracker:
     def frame(self, when_us: int, filename: str, candidates: Sequence[Mapping], fit: Mapping | None) -> list[dict]:
         s = self.s
         self.now_us = when_us
+        if self.first_us is None:
+            self.first_us = when_us
         if not self.tracks:
             picks = start_picks(candidates, s, int(s.expected_by_camera.get(self.camera, s.expected)))
             rows = []
@@ -172,7 +162,7 @@ class CameraTracker:
                     track.take(m[0], m[1], when_us, s)
                 self.tracks.append(track)
                 status = "measured" if m[2] == "pass" else "calibration_unavailable"
-                rows.append(self.row(when_us, filename, track, c, m, status))
+                rows.append(self.row(when_us, filename, track, c, m, status, fit))
             return rows
         for track in self.tracks:
             track.predict(when_us)
@@ -191,7 +181,7 @@ class CameraTracker:
             if i not in chosen:
                 waiting = track.particles is None
                 status = "waiting_for_first_measurement" if waiting else "prediction_only_no_matched_detection"
-                rows.append(self.row(when_us, filename, track, None, None, status))
+                rows.append(self.row(when_us, filename, track, None, None, status, fit))
                 continue
             c, m = candidates[chosen[i]], seen[i, chosen[i]]
             track.x += s.gain * (c["x_root_fraction"] - track.x)
@@ -201,11 +191,12 @@ class CameraTracker:
                 status = "measured"
             else:
                 status = "calibration_unavailable" if track.particles is None else "prediction_only_measurement_failed_qc"
-            rows.append(self.row(when_us, filename, track, c, m, status))
+            rows.append(self.row(when_us, filename, track, c, m, status, fit))
         return rows
 
-    def row(self, when_us, filename, track, c, m, status) -> dict:
+    def row(self, when_us, filename, track, c, m, status, fit) -> dict:
         p = track.particles
+        reference = "fixed_scale" if self.s.scale is not None else fit and fit.get("filename")
         out = {
             "camera_id": self.camera, "plant_number": track.number, "plant_uid": track.uid,
             "capture_datetime": pd.Timestamp(when_us, unit="us"), "filename": filename,
@@ -215,6 +206,8 @@ class CameraTracker:
             "x_fraction": track.x, "root_y": track.root_y,
             "candidate_index": c["candidate_index"] if c else None,
             "detection_confidence": c["confidence"] if c else None,
+            "calibration_filename": reference if m else None, "extrapolation_bands": m[3] if m else None,
+            "days_after_first_image": round((when_us - self.first_us) / 86_400_000_000, 6),
         }
         if p is not None:
             out |= p.posterior() | {
@@ -245,7 +238,7 @@ def frame_rows(frames: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def track(frames: DataFrame, candidates: DataFrame, settings: TrackSettings = TrackSettings()) -> DataFrame:
     """Batch tracker. ``frames`` has camera_id, capture_datetime, filename and, for calibrated heights,
-    the ``fit_*`` columns of its best earlier fit."""
+    the ``fit_*`` columns of its best earlier fit (``fit_filename`` names it)."""
     plain = asdict(settings)
     plain["expected_by_camera"] = dict(settings.expected_by_camera)
     with_fit = settings.scale is None
@@ -269,7 +262,7 @@ def track(frames: DataFrame, candidates: DataFrame, settings: TrackSettings = Tr
                     if tracker is None or tracker.camera != key[0]:
                         tracker = CameraTracker(key[0], s)
                     open_frame, found = key, []
-                    fit = {c: float(r[c]) if r[c] is not None else math.nan for c in FIT} if with_fit else None
+                    fit = {c: float(r[c]) if r[c] is not None else math.nan for c in FIT} | {"filename": r.get("fit_filename")} if with_fit else None
                 if r["candidate_index"] is not None and not pd.isna(r["candidate_index"]):
                     found.append({c: float(r[c]) for c in CANDIDATE} | {"candidate_index": int(r["candidate_index"])})
             if out:
@@ -289,6 +282,23 @@ def candidate_log_score(value: str, mean: str, latent_sd: str, sd: str, gate_z:
     return z * z * F.lit(-0.5) - F.ln(total) + F.when(z > gate_z, F.lit(GATE_PENALTY)).otherwise(F.lit(0.0))
 
 
+def selected_candidates(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """The candidates with ``selected`` and the plant that took them."""
+    taken = rows.filter("candidate_index IS NOT NULL").select("filename", "candidate_index", F.col("plant_uid").alias("selected_plant_uid"))
+    marked = candidates.join(taken, ["filename", "candidate_index"], "left")
+    return marked.withColumn("selected", F.col("selected_plant_uid").isNotNull())
+
+
+def start_warnings(frames: DataFrame, rows: DataFrame, settings: TrackSettings) -> DataFrame:
+    """Cameras whose tracking could not start, with the reason."""
+    idle = frames.select("camera_id").distinct().join(rows.select("camera_id").distinct(), "camera_id", "left_anti")
+    number = F.lit(settings.expected)
+    for camera, expected in settings.expected_by_camera.items():
+        number = F.when(F.col("camera_id") == camera, expected).otherwise(number)
+    text = F.format_string("%s: no image contained %d distinct plant detections, so tracking could not start.", "camera_id", number)
+    return idle.select("camera_id", text.alias("warning"))
+
+
 def compare_selection(frames: DataFrame, candidates: DataFrame, settings: TrackSettings) -> DataFrame:
     """The same candidates tracked with and without the height prior in the selection."""
     keys = ["camera_id", "plant_uid", "capture_datetime", "filename"]

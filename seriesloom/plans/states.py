@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators import audit, folds, windows
+from seriesloom.operators import joins as J
 from seriesloom.operators import metrics as M
 from seriesloom.operators import particle as PF
 from seriesloom.operators import tracking as TR
@@ -104,14 +105,44 @@ def t14(t):
 TRACK = TR.TrackSettings(expected=3)
 
 
+def camera_of(user):
+    return F.concat(F.lit("C-"), F.format_string("%06d", F.floor(user / 12).cast("bigint")))
+
+
+_CAMERA_SQL = "'C-' || lpad(CAST(user_id // 12 AS VARCHAR), 6, '0')"
+
+
+def pole_fits(t) -> DataFrame:
+    """Passing fits at the times of error events: nearly linear scales of about a third of a centimetre a pixel."""
+    n = F.col("event_id")
+    return t.events.filter("event_type = 'error' AND event_id % 5 <> 0").select(
+        camera_of(F.col("user_id")).alias("camera_id"),
+        F.col("ts").cast("timestamp_ntz").alias("capture_datetime"),
+        F.concat(F.lit("pole"), F.lpad(n.cast("string"), 9, "0")).alias("filename"),
+        (n % 9 + 4).cast("double").alias("n_landmarks"),
+        F.floor("value").cast("double").alias("span_px"),
+        (F.lit(0.3) + n % 20 / 10).alias("rmse"),
+        (F.lit(-38.8) - n % 7 / 10).alias("fit_a"),
+        F.lit(-38.8).alias("fit_b"),
+        (n % 3 / 1000).alias("fit_c"),
+        F.lit(300.0).alias("fit_y_center"),
+        F.lit(100.0).alias("fit_y_scale"),
+        (F.lit(0.3) + n % 20 / 10).alias("fit_rmse"),
+        F.lit(60.0).alias("fit_gap"),
+        (n % 5 / 100).alias("fit_regularity"),
+        F.lit(100.0).alias("fit_low"),
+        F.lit(420.0).alias("fit_high"),
+    )
+
+
 def frames_and_candidates(t) -> tuple[DataFrame, DataFrame]:
-    """Six-hour frames per camera; every event of the camera in that time is a detection."""
-    camera = F.concat(F.lit("C-"), F.lpad((F.col("user_id") % 12).cast("string"), 3, "0"))
+    """Six-hour frames per camera of twelve users; every event of the camera in that time is a detection."""
+    camera = camera_of(F.col("user_id"))
     slot = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000) * 21600)
     e = t.events.select("event_id", "user_id", "event_type", "value", camera.alias("camera_id"), slot.cast("timestamp_ntz").alias("capture_datetime"))
     e = e.withColumn("filename", F.concat_ws("_", "camera_id", F.date_format("capture_datetime", "yyyy-MM-dd-HH")))
     frames = e.select("camera_id", "capture_datetime", "filename").distinct()
-    lane = F.floor(F.col("user_id") / 12) % 4
+    lane = F.col("user_id") % 4
     candidates = e.filter("event_type <> 'error'").select(
         "filename",
         F.col("event_id").alias("candidate_index"),
@@ -129,6 +160,45 @@ def t06(t):
     return TR.track(*frames_and_candidates(t), TRACK)
 
 
+CALIBRATED = replace(TRACK, scale=None)
+
+
+def calibrated(t) -> DataFrame:
+    """Batch form: every frame has its best earlier fit beside it."""
+    frames, candidates = frames_and_candidates(t)
+    columns = [c for c in TR.FIT if c != "fit_rmse"]
+    with_fit = J.best_earlier_fit(frames, pole_fits(t), "camera_id", "capture_datetime", ["filename"], columns)
+    return TR.track(with_fit, candidates, CALIBRATED)
+
+
+@query("t06_calibrated_tracker")
+def t06_calibrated(t):
+    return calibrated(t)
+
+
+@query("t06_selected_candidates")
+def t06_selected(t):
+    frames, candidates = frames_and_candidates(t)
+    return TR.selected_candidates(candidates, TR.track(frames, candidates, TRACK))
+
+
+_CROWDED = 8
+
+
+@query(
+    "t07_start_warnings",
+    f"""WITH f AS (SELECT {_CAMERA_SQL} AS camera_id, epoch_us(ts) // 21600000000 AS slot, count(*) FILTER (event_type <> 'error') AS n FROM events GROUP BY 1, 2),
+    m AS (SELECT camera_id, max(n) AS most FROM f GROUP BY 1)
+    SELECT camera_id, camera_id || ': no image contained {_CROWDED * 2} distinct plant detections, so tracking could not start.' AS warning FROM m WHERE most < {_CROWDED * 2}""",
+)
+def t07_warnings(t):
+    """Without a separation a frame with enough detections starts its camera."""
+    frames, candidates = frames_and_candidates(t)
+    few = PF.FilterSettings(particles=50, quantiles=False)
+    settings = replace(TRACK, expected=_CROWDED * 2, separation=0.0, filter=few)
+    return TR.start_warnings(frames, TR.track(frames, candidates, settings), settings)
+
+
 @query("t07_prediction_only_rows")
 def t07(t):
     rows = TR.track(*frames_and_candidates(t), TRACK)
@@ -316,13 +386,77 @@ def t13(t):
     return finish(t, ST.enrich_stream(rows, side, "user_id"))
 
 
-@query("t06_streaming_tracker")
-def t06_stream(t):
+def frame_stream(t, fits: DataFrame | None = None) -> DataFrame:
+    """Frames with their candidates, and fits, written as files and read as a stream."""
     frames, candidates = frames_and_candidates(t)
     packed = frames.join(
         candidates.groupBy("filename").agg(F.collect_list(F.struct(*TR.CANDIDATE)).alias("candidates")), "filename", "left"
     ).withColumn("candidates", F.coalesce("candidates", F.array()))
+    packed = packed if fits is None else ST.with_fits(packed, fits)
     folder = f"{checkpoint_dir(t.spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
     packed.write.parquet(folder)
-    source = ST.stream_table(t.spark, folder, packed.schema, "capture_datetime")
-    return finish(t, ST.stateful_track(source, TRACK))
+    return ST.stream_table(t.spark, folder, packed.schema, "capture_datetime")
+
+
+@query("t06_streaming_tracker")
+def t06_stream(t):
+    return finish(t, ST.stateful_track(frame_stream(t), TRACK))
+
+
+@query("t06_calibrated_stream")
+def t06_calibrated_stream(t):
+    """Heights from a stream: fits and frames arrive together, state is freed after 90 idle days."""
+    rows = frame_stream(t, pole_fits(t))
+    return finish(t, ST.stateful_track(rows, CALIBRATED, ST.Hygiene("30 days", "90 days")))
+
+
+@query(
+    "t10_calibrated_stream_equals_batch",
+    f"SELECT DISTINCT {_CAMERA_SQL} AS camera_id, 0::BIGINT AS mismatches FROM events",
+)
+def t10_equal(t):
+    """Rows of either form that the other does not have, heights to a millionth, for every camera."""
+    compared = ["camera_id", "plant_uid", "capture_datetime", "status", "measurement_qc", "candidate_index", "calibration_filename"]
+    figures = ["image_measurement_cm", "measurement_sd_cm", "posterior_mean_cm", "predictive_mean_before_cm", "extrapolation_bands", "days_after_first_image"]
+    side = lambda d, sign: d.select(*compared, *[F.round(c, 6).alias(c) for c in figures], F.lit(sign).alias("sign"))
+    both = side(calibrated(t), 1).unionByName(side(t06_calibrated_stream(t), -1))
+    wrong = both.groupBy(*compared, *figures).agg(F.sum("sign").alias("left")).filter("left <> 0")
+    wrong = wrong.groupBy("camera_id").agg(F.sum(F.abs("left")).cast("bigint").alias("mismatches"))
+    frames, _ = frames_and_candidates(t)
+    cameras = frames.select("camera_id").distinct()
+    return cameras.join(wrong, "camera_id", "left").select("camera_id", F.coalesce("mismatches", F.lit(0)).cast("bigint").alias("mismatches"))
+
+
+_WAVES, _DELAY_HOURS, _IDLE_HOURS = 6, 6, 12
+
+
+@query(
+    "t11_watermark_and_expiry",
+    f"""WITH c AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+    e AS (SELECT user_id, epoch_us(ts) AS us, least({_WAVES - 1}, (epoch_us(ts) - a) * {_WAVES} // (b - a + 1) + CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 23 = 0 THEN 3 ELSE 0 END) AS wave FROM events, c),
+    k AS (SELECT unnest(range(0, {_WAVES} + 1)) AS wave),
+    w AS (SELECT k.wave, coalesce(max(us) // 1000 - {_DELAY_HOURS * 3_600_000}, 0) AS mark FROM k LEFT JOIN e ON e.wave < k.wave GROUP BY 1),
+    s AS (SELECT e.*, w.mark, max(us) FILTER (us >= mark * 1000) OVER (PARTITION BY user_id ORDER BY wave RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e JOIN w USING (wave)),
+    r AS (SELECT user_id, wave, us, CASE WHEN us < mark * 1000 THEN CASE WHEN us < seen AND seen // 1000 + {_IDLE_HOURS * 3_600_000} > mark THEN 'late' ELSE 'behind_watermark' END
+        WHEN us < seen THEN 'late' ELSE 'applied' END AS arrival FROM s),
+    l AS (SELECT user_id, wave, max(us) AS last, lead(wave, 1, {_WAVES}) OVER (PARTITION BY user_id ORDER BY wave) AS upto FROM r WHERE arrival = 'applied' GROUP BY 1, 2),
+    x AS (SELECT user_id, 'closed' AS arrival FROM l JOIN w ON w.wave = l.upto WHERE last // 1000 + {_IDLE_HOURS * 3_600_000} <= mark),
+    u AS (SELECT user_id, arrival FROM r UNION ALL SELECT * FROM x)
+    SELECT user_id, arrival, count(*) AS n FROM u GROUP BY 1, 2""",
+)
+def t11_hygiene(t):
+    """The events in waves, some late by one or three of them, under a watermark and with idle series closed."""
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = t.events.agg(F.min(us), F.max(us)).first()
+    n = F.col("event_id")
+    behind = F.when(n % 10 == 0, 1).when(n % 23 == 0, 3).otherwise(0)
+    wave = F.floor((us - F.lit(first)) * _WAVES / F.lit(last - first + 1)) + behind
+    events = t.events.withColumn("wave", F.least(F.lit(_WAVES - 1), wave))
+    few = replace(SETTINGS, particles=100, quantiles=False)
+    hygiene = ST.Hygiene(f"{_DELAY_HOURS} hours", f"{_IDLE_HOURS} hours")
+    for k in range(_WAVES):
+        events.filter(F.col("wave") == k).select(*EVENTS.names).write.mode("append").parquet(f"{base}/in")
+        rows = ST.stream_table(t.spark, f"{base}/in", EVENTS, "ts").select("user_id", "event_id", "ts", "value")
+        done = ST.run_to_end(ST.stateful_filter(rows, "user_id", "ts", "value", ["event_id"], few, hygiene=hygiene), f"{base}/out", f"{base}/checkpoint")
+    return done.groupBy("user_id", "arrival").agg(F.count(F.lit(1)).alias("n"))

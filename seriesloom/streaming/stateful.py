@@ -1,8 +1,8 @@
 """Structured Streaming forms: filter, tracker and calibration choice with state per key.
 
 Rows of a key inside one micro-batch are sorted before use; a row older than what the key has already
-seen is not applied but returned with a reason, because an emitted row never changes. State is one
-binary value per key; use the RocksDB state store for large key counts.
+seen is not applied but returned with a reason, because an emitted row never changes. Filter and tracker
+are stateful processors (:mod:`seriesloom.streaming.processors`) on the RocksDB store.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from seriesloom.operators.particle import FilterSettings, OUTPUTS, Particles, output_fields, observed
-from seriesloom.operators.tracking import CANDIDATE, ROW_SCHEMA, CameraTracker, TrackSettings, rows_to_pandas, settings_from
+from seriesloom.operators.particle import FilterSettings, output_fields
+from seriesloom.operators.tracking import FIT, ROW_SCHEMA, TrackSettings
+from seriesloom.streaming.processors import SIDE, US, FilterProcessor, Hygiene, Keyed, TrackProcessor, with_clock
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = T.StructType([T.StructField("state", T.BinaryType())])
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_table(
@@ -38,6 +39,9 @@ def stream_table(
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Append everything available to a parquet table and return it."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, ROCKSDB)  # read when the query starts
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -46,6 +50,7 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
+    conf.set(_PROVIDER, before) if before else conf.unset(_PROVIDER)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
@@ -68,41 +73,30 @@ def stateful_filter(
     ties: Sequence[str] = (),
     settings: FilterSettings = FilterSettings(),
     columns: Mapping[str, str | None] | None = None,
+    hygiene: Hygiene | None = None,
 ) -> DataFrame:
-    """The particle filter on arrival. ``arrival`` is ``applied`` or ``late`` (estimates NULL)."""
-    columns = dict(columns or {})
-    plain = asdict(settings)
-    names = list(stream.columns)
+    """The particle filter on arrival. ``arrival`` is ``applied`` or ``late`` (estimates NULL).
+
+    With ``hygiene`` there is a watermark: rows behind it are returned as ``behind_watermark``, and a series
+    that stays idle is ``closed`` by a row with its last time and forgotten.
+    """
     schema = T.StructType([*stream.schema.fields, *output_fields(), T.StructField("arrival", T.StringType())])
+    idle = hygiene.idle if hygiene else None
+    step = FilterProcessor(asdict(settings), stream.columns, time, value, entity, ties, columns or {}, schema, idle)
+    return _keyed(stream, entity, time, step, schema, hygiene)
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = FilterSettings(**{**plain, "field": tuple(map(tuple, plain["field"]))})
-        p = Particles.load(bytes(state.get[0]), str(key[0]), s) if state.exists else Particles(str(key[0]), s)
-        out = []
-        for r in _batch(frames, [time, *ties]).to_dict("records"):
-            when = r["__us"]
-            row = {n: r[n] for n in names}
-            if p.now_us is not None and when < p.now_us:
-                out.append(row | dict.fromkeys(OUTPUTS) | {"arrival": "late"})
-                continue
-            out.append(row | observed(p, r, r[value], columns) | {"arrival": "applied"})
-        state.update((p.dump(),))
-        yield _typed(out, schema)
-
-    rows = stream.withColumn("__us", F.unix_micros(F.col(time).cast("timestamp")))
-    return rows.groupBy(entity).applyInPandasWithState(
-        run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+
+def _keyed(stream: DataFrame, key: str, time: str, step: Keyed, schema: T.StructType | str, hygiene: Hygiene | None) -> DataFrame:
+    if hygiene:
+        return with_clock(stream, time, hygiene.delay).groupBy(key).transformWithStateInPandas(step, schema, "append", "eventtime")
+    rows = stream.withColumn(US, F.unix_micros(F.col(time).cast("timestamp")))
+    return rows.groupBy(key).transformWithStateInPandas(step, schema, "append", "none")
 
 
-def _typed(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=schema.names)
-    for f in schema.fields:
-        if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = out[f.name].astype("float64")
-        elif isinstance(f.dataType, T.LongType):
-            out[f.name] = out[f.name].astype("Int64")
-    return out
+def rows_by_arrival(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The applied rows, and the side table of those that came too late or closed a series."""
+    applied = F.col("arrival") == "applied"
+    return done.filter(applied).drop("arrival"), done.filter(~applied)
 
 
 FIT_RANK = ("over_cap", "neg_landmarks", "neg_span", "rmse", "us", "filename")
@@ -140,31 +134,26 @@ def stateful_best_fit(stream: DataFrame, key: str, time: str, row_id: str) -> Da
     )
 
 
-def stateful_track(stream: DataFrame, settings: TrackSettings = TrackSettings()) -> DataFrame:
+#: Columns of a fit in the tracker's stream, besides camera, time and file name.
+FIT_COLUMNS = ("n_landmarks", "span_px", "rmse", *FIT)
+
+
+def with_fits(frames: DataFrame, fits: DataFrame) -> DataFrame:
+    """Frames and passing fits of the same cameras as one stream (or table) for :func:`stateful_track`."""
+    side = fits.select("camera_id", "capture_datetime", "filename", *[F.col(c).cast("double").alias(c) for c in FIT_COLUMNS], F.lit(0).alias(SIDE))
+    return frames.withColumn(SIDE, F.lit(1)).unionByName(side, allowMissingColumns=True)
+
+
+def stateful_track(stream: DataFrame, settings: TrackSettings = TrackSettings(), hygiene: Hygiene | None = None) -> DataFrame:
     """The tracker on arrival. A stream row is one frame: camera_id, capture_datetime, filename and
-    ``candidates``, an array of candidate structs that may be empty."""
+    ``candidates``, an array of candidate structs that may be empty; or, with :func:`with_fits`, a fit. Where
+    ``settings.scale`` is None heights are measured by the best fit up to the frame's time.
+    """
     plain = asdict(settings)
     plain["expected_by_camera"] = dict(settings.expected_by_camera)
-    fit = None
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = settings_from(plain)
-        t = CameraTracker.load(bytes(state.get[0]), key[0], s) if state.exists else CameraTracker(key[0], s)
-        out: list[dict] = []
-        for r in _batch(frames, ["__us", "filename"]).to_dict("records"):
-            if t.now_us is not None and r["__us"] < t.now_us:
-                late = {"camera_id": key[0], "capture_datetime": pd.Timestamp(r["__us"], unit="us"), "filename": r["filename"]}
-                out.append(late | {"status": "late_frame", "measurement_used": False})
-                continue
-            found = [
-                {c: float(x[c]) for c in CANDIDATE} | {"candidate_index": int(x["candidate_index"])}
-                for x in r["candidates"]
-            ]
-            out += t.frame(int(r["__us"]), r["filename"], sorted(found, key=lambda c: c["candidate_index"]), fit)
-        state.update((t.dump(),))
-        yield rows_to_pandas(out)
-
-    rows = stream.withColumn("__us", F.unix_micros(F.col("capture_datetime").cast("timestamp")))
-    return rows.groupBy("camera_id").applyInPandasWithState(
-        run, ROW_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    if SIDE not in stream.columns:
+        stream = stream.withColumn(SIDE, F.lit(1))
+    missing = [c for c in FIT_COLUMNS if c not in stream.columns]
+    stream = stream.withColumns({c: F.lit(None).cast("double") for c in missing})
+    step = TrackProcessor(plain, hygiene.idle if hygiene else None)
+    return _keyed(stream, "camera_id", "capture_datetime", step, ROW_SCHEMA, hygiene)
