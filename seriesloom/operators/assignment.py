@@ -1,8 +1,9 @@
-"""Optimal one-to-one assignment, by position within a gate or by a small score table."""
+"""Optimal one-to-one assignment, by position with a gate before or after it, or by a small score table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.ordering import SeriesOrder, previous, running
-from seriesloom.session import materialize, spread_by_key
+from seriesloom.session import materialize, sorted_by_key, spread_by_key
 
 
 def match_on_line(left: np.ndarray, right: np.ndarray, gate: float) -> list[tuple[int, int]]:
@@ -86,6 +87,141 @@ def assign_by_position(
     return spread_by_key(pieces, [*keys, "piece"]).groupBy(*keys, "piece").applyInPandas(solve, schema)
 
 
+class LineMatcher:
+    """Least total distance on a line when every point of one side must be matched, point by point from the left.
+
+    Let d be the points so far that must be matched, less the chosen points of the other side. Crossing a
+    gap costs its length times abs(d), so the least cost of everything to the left is a convex function of
+    d, held as its slopes: ``left`` those below d = 0, ``right`` those above, each in order with the ones next
+    to 0 at the end. A gap adds to the right and takes from the left, which both hold by reference to the
+    current position; a point of the must side shifts the function, one of the other side puts in a slope of
+    zero. Whether that point is chosen depends on d alone, through one threshold, so a later pass from the
+    right needs a number for each point and no table. Slopes that the points still to come cannot use are
+    dropped: there are never more of them than points on the must side.
+    """
+
+    def __init__(self, must: int):
+        self.remaining = must
+        self.low = 0  # least d that can occur
+        self.left: list[float] = []  # slope + position
+        self.right: list[float] = []  # position - slope, so that it also ascends towards 0
+
+    def must(self) -> None:
+        self.remaining -= 1
+        if self.low < 0 and self.left:
+            self.right.append(self._at - (self.left.pop() - self._at))
+        self.low += 1
+
+    def other(self) -> int:
+        """The threshold: the point is chosen if d after it is smaller."""
+        x = self._at
+        negative = bisect.bisect_left(self.left, x)
+        below = len(self.right) - bisect.bisect_right(self.right, x)  # slopes under zero on the right
+        threshold = self.low + negative + below
+        self.low -= 1
+        if below:
+            self.right.insert(len(self.right) - below, x)
+            if self.low < 0:
+                self.left.append(2 * x - self.right.pop())
+        elif self.low < 0:
+            self.left.append(x)
+        else:
+            self.right.append(x)
+        # Choosing more ahead than there are points left to match is of no use.
+        if -self.low > self.remaining:
+            self.left.pop(0)
+            self.low += 1
+        return threshold
+
+    def move(self, x: float) -> None:
+        self._at = x
+
+
+def _keyed_batches(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
+    for pdf in batches:
+        columns = [[None if pd.isna(v) else v for v in pdf[k]] for k in keys]
+        yield pdf, list(zip(*columns)) if keys else [()] * len(pdf)
+
+
+def assign_then_gate(
+    candidates: DataFrame,
+    anchors: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    candidate_id: str,
+    anchor_id: str,
+    gate: float | None,
+) -> DataFrame:
+    """Assignment of least total distance over all pairs of a group; pairs beyond the gate go afterwards.
+
+    All points of the smaller side are matched (the candidates, where both are equal in number). Both
+    sides stream through one sorted partition, left to right and back; what is kept is one slope for each
+    point that waits. On a line some best assignment keeps both orders, so the k-th matched point of one
+    side belongs to the k-th of the other.
+    """
+    keys = list(keys)
+    side = lambda d, name, i: d.select(
+        *keys, F.col(position).cast("double").alias("x"), F.col(name).alias("id"), F.lit(i).alias("side")
+    ).filter("x IS NOT NULL")
+    both = side(candidates, candidate_id, 0).unionByName(side(anchors, anchor_id, 1))
+    groups = [F.col(k).alias(f"__{k}") for k in keys]
+    sizes = both.groupBy(*groups).agg(*[F.sum(F.when(F.col("side") == i, 1).otherwise(0)).alias(f"n{i}") for i in (0, 1)])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = both.join(sizes.filter("n0 > 0 AND n1 > 0"), same).select(
+        *keys, "x", "id", "side", F.when(F.col("n0") <= F.col("n1"), 0).otherwise(1).alias("must"), F.least("n0", "n1").alias("n")
+    )
+    kinds = {f.name: f.dataType for f in both.schema.fields}
+    base = T.StructType([T.StructField(c, kinds[c]) for c in (*keys, "x", "id", "side", "must", "n")])
+    forward_schema = T.StructType([*base.fields, T.StructField("threshold", T.LongType())])
+    backward_schema = T.StructType([*base.fields, T.StructField("rank", T.LongType())])
+
+    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, matcher = None, None
+        for pdf, names in _keyed_batches(batches, keys):
+            out = []
+            for key, x, own, must, n in zip(names, pdf["x"].tolist(), pdf["side"].tolist(), pdf["must"].tolist(), pdf["n"].tolist()):
+                if matcher is None or key != now:
+                    now, matcher = key, LineMatcher(n)
+                matcher.move(x)
+                if own == must:
+                    matcher.must()
+                    out.append(0)
+                else:
+                    out.append(matcher.other())
+            yield pdf.assign(threshold=out)
+
+    def backward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, d, ranks = None, 0, [0, 0]
+        for pdf, names in _keyed_batches(batches, keys):
+            out = []
+            for key, own, must, threshold in zip(names, pdf["side"].tolist(), pdf["must"].tolist(), pdf["threshold"].tolist()):
+                if now is None or key != now:
+                    now, d, ranks = key, 0, [0, 0]
+                if own == must:
+                    d -= 1
+                elif d < threshold:
+                    d += 1
+                else:
+                    out.append(-1)
+                    continue
+                out.append(ranks[own])
+                ranks[own] += 1
+            yield pdf.assign(rank=out)[backward_schema.names]
+
+    order = ["x", "side", "id"]
+    passed = sorted_by_key(both, keys, order).mapInPandas(forward, forward_schema)
+    # Rows of a key are still in one partition, so the way back needs no shuffle.
+    back = passed.sortWithinPartitions(*keys, *[F.desc(c) for c in order]).mapInPandas(backward, backward_schema)
+    pick = lambda c, i: F.max(F.when(F.col("side") == i, F.col(c)))
+    pairs = back.filter("rank >= 0").groupBy(*keys, "rank").agg(
+        pick("id", 0).alias(candidate_id), pick("id", 1).alias(anchor_id), F.abs(pick("x", 0) - pick("x", 1)).alias("distance")
+    )
+    pairs = pairs.drop("rank")
+    return pairs if gate is None else pairs.filter(F.col("distance") <= gate)
+
+
 def solve_scores(cost: np.ndarray) -> dict[int, int]:
     """Least-cost row to column assignment of a small table (inf = not allowed).
 

@@ -15,7 +15,7 @@ from seriesloom.operators import joins as J
 from seriesloom.operators import metrics as M
 from seriesloom.operators import particle as PF
 from seriesloom.operators import tracking as TR
-from seriesloom.operators.assignment import assign_by_position
+from seriesloom.operators.assignment import assign_by_position, assign_then_gate
 from seriesloom.operators.ordering import SeriesOrder
 from seriesloom.plans.registry import EVENT_ORDER, query, rnd, sql_rnd
 from seriesloom.plans.scores import rounded
@@ -26,12 +26,59 @@ from seriesloom.streaming import stateful as ST
 SETTINGS = PF.FilterSettings(level_sd=8.78, outlier_probability=0.065, outlier_sd=59.04)
 
 
+def nation_points(t) -> tuple[DataFrame, DataFrame]:
+    a = t.customer.select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("x"))
+    return a, t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", F.col("s_acctbal").alias("x"))
+
+
 @query("j11_position_assignment")
 def j11(t):
-    a = t.customer.select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("x"))
-    b = t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", F.col("s_acctbal").alias("x"))
-    d = assign_by_position(a, b, ["c_nationkey"], "x", "c_custkey", "s_suppkey", 80.0)
-    return rounded(d, 4)
+    return rounded(assign_by_position(*nation_points(t), ["c_nationkey"], "x", "c_custkey", "s_suppkey", 80.0), 4)
+
+
+#: Points of a nation numbered along the line; every nation has fewer suppliers (a) than customers (b).
+_LINE = """a AS (SELECT s_nationkey AS g, s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i FROM supplier),
+    b AS (SELECT c_nationkey AS g, c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS j FROM customer),
+    n AS (SELECT g, count(*) AS n FROM a GROUP BY 1), m AS (SELECT g, count(*) AS m FROM b GROUP BY 1)"""
+
+
+@query(
+    "j11_gate_first_totals",
+    f"""WITH RECURSIVE {_LINE}, p AS (SELECT g, 80.0::DOUBLE * (least(n, m) + 1) + 1 AS prize FROM n JOIN m USING (g)),
+    z AS (SELECT g, 0::BIGINT AS i, unnest(range(0, m + 1)) AS j, 0.0::DOUBLE AS best FROM m JOIN p USING (g)
+      UNION ALL
+      SELECT g, i, j, max(v) OVER (PARTITION BY g ORDER BY j) FROM (
+        SELECT q.g, q.i + 1 AS i, q.j, greatest(q.best, CASE WHEN abs(a.x - b.x) <= 80 THEN r.best + prize - abs(a.x - b.x) ELSE 0 END) AS v
+        FROM z q JOIN a ON a.g = q.g AND a.i = q.i + 1 JOIN p ON p.g = q.g LEFT JOIN z r ON r.g = q.g AND r.j = q.j - 1 LEFT JOIN b ON b.g = q.g AND b.j = q.j)),
+    e AS (SELECT z.g, max(best) AS best, any_value(prize) AS prize FROM z JOIN n ON n.g = z.g AND n.n = z.i JOIN p ON p.g = z.g GROUP BY 1)
+    SELECT g AS c_nationkey, CAST(ceil(best / prize) AS BIGINT) AS pairs, {sql_rnd('ceil(best / prize) * prize - best', 4)} AS total FROM e WHERE best > 0""",
+)
+def j11_totals(t):
+    """Pairs of each nation and their total distance, which all best assignments share."""
+    d = assign_by_position(*nation_points(t), ["c_nationkey"], "x", "c_custkey", "s_suppkey", 80.0)
+    return d.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("pairs"), rnd(F.sum("distance"), 4).alias("total"))
+
+
+@query(
+    "j11_assign_then_gate",
+    f"""WITH RECURSIVE {_LINE},
+    z AS (SELECT g, 0::BIGINT AS i, unnest(range(0, m + 1)) AS j, 0.0::DOUBLE AS cost FROM m
+      UNION ALL
+      SELECT g, i, j, min(v) OVER (PARTITION BY g ORDER BY j) FROM (
+        SELECT z.g, z.i + 1 AS i, z.j + 1 AS j, z.cost + abs(a.x - b.x) AS v FROM z JOIN a ON a.g = z.g AND a.i = z.i + 1 JOIN b ON b.g = z.g AND b.j = z.j + 1)),
+    t AS MATERIALIZED (SELECT * FROM z),
+    w AS (SELECT g, n AS i, m + 1 AS j FROM n JOIN m USING (g)
+      UNION ALL
+      SELECT g, i, j FROM (
+        SELECT w.g, w.i - 1 AS i, q.j, row_number() OVER (PARTITION BY w.g ORDER BY q.j) AS first FROM (SELECT g, i + CASE WHEN j > (SELECT m FROM m WHERE m.g = w.g) THEN 1 ELSE 0 END AS i, j FROM w) w
+        JOIN t e ON e.g = w.g AND e.i = w.i - 1 AND e.j = w.j - 1 JOIN t q ON q.g = w.g AND q.i = w.i - 1 AND q.j < w.j AND q.cost = e.cost AND w.i > 1) WHERE first = 1),
+    k AS (SELECT w.g, w.i, w.j FROM w JOIN m USING (g) WHERE w.j <= m.m)
+    SELECT k.g AS c_nationkey, b.id AS c_custkey, a.id AS s_suppkey, {sql_rnd('abs(a.x - b.x)', 4)} AS distance
+    FROM k JOIN a ON a.g = k.g AND a.i = k.i JOIN b ON b.g = k.g AND b.j = k.j WHERE abs(a.x - b.x) <= 80""",
+)
+def j11_after(t):
+    """Least total distance over all pairs first; pairs beyond 80 go afterwards."""
+    return rounded(assign_then_gate(*nation_points(t), ["c_nationkey"], "x", "c_custkey", "s_suppkey", 80.0), 4)
 
 
 @query(
