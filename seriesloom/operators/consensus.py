@@ -1,25 +1,30 @@
 """Find the mark sequence of a pole: the best line through pairs of marks.
 
 All marks of an image are looked at; a caller who wants only the best ones applies ``top_k`` before.
-Pairs only seed lines inside the call, a block of seeds at a time; none is emitted.
+Pairs only seed lines inside a task, one mark's partners at a time; none is emitted. Seeds of one image
+are spread over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.fitting import GRID_FROM, GRID_MATCH, GRID_SIZE, GRID_TO, RUN_HIGH, RUN_LOW
+from seriesloom.operators.ordering import SeriesOrder, number_rows
 from seriesloom.session import spread_by_key
 
 # Limits of seeds, alignment and accepted sequences, and the score weights.
 MIN_RISE, MAX_SLOPE, ALIGN_PX, MERGE_PX, MIN_BANDS = 70.0, 0.35, 7.0, 8.0, 5
 MAX_LINE_RMSE, MAX_IRREGULAR, MIN_SPAN = 8.0, 0.32, 90.0
 PER_BAND, PER_SPAN, PER_AREA, PER_RMSE, PER_IRREGULAR = 25.0, 0.08, 0.05, -8.0, -35.0
+BLOCK = 512  # seed marks of one task
 GRID = np.linspace(GRID_FROM, GRID_TO, GRID_SIZE)
 
 
@@ -81,60 +86,137 @@ def rate(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
     return float(score), marks, {"base_gap": base, "regularity": irregular, "line_rmse": rmse, "span": span}
 
 
-def best_line(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
-    """Best sequence over all lines through two marks; equal inlier sets are rated once."""
+@dataclass
+class Line:
+    """A rated sequence, and the earliest pair of marks whose line finds it."""
+
+    score: float
+    seed: tuple[int, int]
+    marks: np.ndarray
+    info: dict
+
+
+def aligned(marks: np.ndarray, i: int, slope: float) -> np.ndarray:
     x, y = marks[:, 0], marks[:, 1]
-    sets: dict[bytes, np.ndarray] = {}
-    block = max(1, 2_000_000 // max(1, len(marks)))
-    for first in range(0, len(marks), block):
-        i = np.arange(first, min(first + block, len(marks)))
-        i, j = (np.repeat(i, len(marks)), np.tile(np.arange(len(marks)), len(i)))
-        later = j > i
-        i, j = i[later], j[later]
-        rise = y[j] - y[i]
-        steep = np.abs(rise) >= MIN_RISE
-        i, rise, j = i[steep], rise[steep], j[steep]
-        slope = (x[j] - x[i]) / rise
-        keep = np.abs(slope) <= MAX_SLOPE
-        i, slope = i[keep], slope[keep]
-        seeds = max(1, 1_000_000 // max(1, len(marks)))
-        for k in range(0, len(i), seeds):
-            s, at = slope[k : k + seeds], i[k : k + seeds]
-            near = np.abs(x[None, :] - (s[:, None] * y[None, :] + (x[at] - s * y[at])[:, None])) <= ALIGN_PX
-            for row in near[near.sum(axis=1) >= MIN_BANDS]:
-                sets.setdefault(row.tobytes(), row)
-    if not sets:
-        return None
-    # No sequence can score above this, so sets are rated from the most promising on.
-    inside = np.array(list(sets.values()))
-    span = np.where(inside, y, -np.inf).max(axis=1) - np.where(inside, y, np.inf).min(axis=1)
-    bound = PER_BAND * inside.sum(axis=1) + PER_SPAN * span + PER_AREA * (inside @ marks[:, 2]) / MIN_BANDS
-    best, best_at = None, -1
-    for at in np.argsort(-bound, kind="stable"):
-        if best is not None and bound[at] < best[0]:
-            break
-        got = rate(marks[inside[at]])
-        if got and (best is None or got[0] > best[0] or (got[0] == best[0] and at < best_at)):
-            best, best_at = got, at
-    return best
-
-
-def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    return np.abs(x - (slope * y + (x[i] - slope * y[i]))) <= ALIGN_PX
+
+
+def promises(marks: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Partners of mark ``i`` whose line may hold a sequence, their slopes, and a score none can exceed.
+
+    Each mark lies near the lines through ``i`` of an interval of slopes. With the ends of all intervals
+    in order, the number and area of the marks near every partner's line are differences of running
+    sums, so one mark costs a sort and not a comparison of all partners with all marks.
+    """
+    x, y, area = marks[:, 0], marks[:, 1], marks[:, 2]
+    dx, dy = x - x[i], y - y[i]
+    j = np.flatnonzero((np.abs(dy) >= MIN_RISE) & (np.arange(len(marks)) > i))
+    slope = dx[j] / dy[j]
+    j, slope = j[np.abs(slope) <= MAX_SLOPE], slope[np.abs(slope) <= MAX_SLOPE]
+    level = dy == 0
+    ends = np.sort((dx[~level, None] + [-ALIGN_PX, ALIGN_PX]) / dy[~level, None], axis=1)
+    ends += np.array([-1e-9, 1e-9]) * (1 + np.abs(ends))  # never too few
+    always = level & (np.abs(dx) <= ALIGN_PX)
+    found = []
+    for amount in (np.ones(len(x)), area):
+        total = np.full(len(j), amount[always].sum())
+        for side, sign, where in ((0, 1, "right"), (1, -1, "left")):
+            order = np.argsort(ends[:, side], kind="stable")
+            before = np.concatenate([[0.0], np.cumsum(amount[~level][order])])
+            total += sign * before[np.searchsorted(ends[order, side], slope, side=where)]
+        found.append(total)
+    many = found[0] > MIN_BANDS - 0.5
+    bound = PER_BAND * found[0] + PER_SPAN * np.ptp(y) + PER_AREA * found[1] * (1 + 1e-9) / MIN_BANDS
+    return j[many], slope[many], bound[many]
+
+
+def best_of(marks: np.ndarray, seeds: Iterable[int]) -> Line | None:
+    """Best sequence over the lines through one of ``seeds`` and a later mark; equal sets of marks are rated once."""
+    best: Line | None = None
+    level: dict[bytes, Line] = {}  # sets that share the best score so far
+    rated: set[bytes] = set()  # of one mark's lines
+    y, area = marks[:, 1], marks[:, 2]
+    for i in seeds:
+        partners, slopes, bounds = promises(marks, i)
+        rated.clear()
+        for at in np.argsort(-bounds, kind="stable"):
+            if best is not None and bounds[at] < best.score:
+                break
+            inside = aligned(marks, i, slopes[at])
+            if inside.sum() < MIN_BANDS:
+                continue
+            if best is not None:
+                bound = PER_BAND * inside.sum() + PER_SPAN * np.ptp(y[inside]) + PER_AREA * area[inside].sum() * (1 + 1e-9) / MIN_BANDS
+                if bound < best.score:
+                    continue
+            name, seed = inside.tobytes(), (int(i), int(partners[at]))
+            if name in level:
+                level[name].seed = min(level[name].seed, seed)
+                continue
+            if name in rated:
+                continue
+            rated.add(name)
+            got = rate(marks[inside])
+            if got is None or (best is not None and got[0] < best.score):
+                continue
+            line = Line(got[0], seed, *got[1:])
+            if best is not None and line.score > best.score:
+                level.clear()
+            level[name] = line
+            best = min(level.values(), key=lambda s: s.seed)
+    return min(level.values(), key=lambda s: s.seed) if level else None
+
+
+def best_line(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
+    """Best sequence over all lines through two marks."""
+    found = best_of(marks, range(len(marks)))
+    return (found.score, found.marks, found.info) if found else None
+
+
+FIGURES = ("base_gap", "regularity", "line_rmse", "span")
+
+
+def pole_sequences(df: DataFrame, keys: Sequence[str], ties: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Marks (x, y, area) of the best sequence per image, with its figures; images without one are
-    absent. Input columns: ``x``, ``y``, ``area``, ``component_score``."""
+    absent. Input columns: ``x``, ``y``, ``area``, ``component_score``.
+
+    Marks are numbered by score, and seeds dealt in blocks of ``block`` marks: a task gets an image's
+    marks and one block, and returns the best line of these seeds. The best of the blocks is the image's.
+    An image of many marks is thus many tasks, each with work of block x marks x log(marks).
+    """
     keys = list(keys)
-    figures = ("base_gap", "regularity", "line_rmse", "span")
-    names = ("score", "x", "y", "area", *figures)
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+    columns = ("x", "y", "area", "component_score")
+    rows = df.select(*keys, *[c for c in ties if c not in columns], *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__down", -F.col("component_score"))
+    rows = number_rows(rows, SeriesOrder.by_value(tuple(keys), "__down", tuple(ties)), "__n")
+    last = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("__n").alias("__count"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__count") - 1) / block))
+    dealt = rows.join(last, same).select(*keys, *columns, "__n", F.explode(blocks).alias("__block"))
+    parts = T.StructType(
+        [df.schema[k] for k in keys]
+        + [T.StructField("score", T.DoubleType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())]
+        + [T.StructField(n, T.DoubleType()) for n in FIGURES]
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("xs", "ys", "areas")]
+    )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["component_score", *ties], ascending=[False, *[True] * len(ties)], kind="stable")
-        found = best_line(pdf[["x", "y", "area", "component_score"]].to_numpy(float))
+        pdf = pdf.sort_values("__n", kind="stable")
+        first = int(key[-1]) * block
+        found = best_of(pdf[list(columns)].to_numpy(float), range(first, min(first + block, len(pdf))))
         if found is None:
-            return pd.DataFrame(columns=[*keys, *names])
-        score, marks, info = found
-        out = {k: [v] * len(marks) for k, v in zip(keys, key)}
-        out |= {"score": score, "x": marks[:, 0], "y": marks[:, 1], "area": marks[:, 2]}
-        return pd.DataFrame(out).assign(**info)
-
-    return spread_by_key(df, keys).groupBy(*keys).applyInPandas(run, schema)
+            return pd.DataFrame(columns=parts.names)
+        out = {k: [v] for k, v in zip(keys, key)} | {"score": [found.score], "i": [found.seed[0]], "j": [found.seed[1]]}
+        out |= {n: [found.info[n]] for n in FIGURES}
+        out |= {name: [found.marks[:, c].tolist()] for c, name in enumerate(("xs", "ys", "areas"))}
+        return pd.DataFrame(out)
+
+    found = spread_by_key(dealt, [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(run, parts)
+    # One row for each block of an image.
+    rank = F.struct("score", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("score", *FIGURES, "xs", "ys", "areas"), rank).alias("best"))
+    each = best.select(*keys, "best", F.explode(F.arrays_zip("best.xs", "best.ys", "best.areas")).alias("mark"))
+    return each.select(
+        *keys, "best.score", F.col("mark.xs").alias("x"), F.col("mark.ys").alias("y"), F.col("mark.areas").alias("area"), *[f"best.{n}" for n in FIGURES]
+    )
