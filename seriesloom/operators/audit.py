@@ -58,7 +58,7 @@ def isotonic_fit(df: DataFrame, by: SeriesOrder, value: str) -> DataFrame:
     only their blocks are pooled per series.
     """
     keys = list(by.keys)
-    rows = df.withColumn(CHUNK, by.chunk()).withColumn("__at", F.row_number().over(by.window()).cast("bigint"))
+    rows = by.chunked(df).withColumn("__at", F.row_number().over(by.window()).cast("bigint"))
     entries = rows.select(*keys, CHUNK, "__at", F.col(value).cast("double").alias("total"), F.lit(1).cast("bigint").alias("n"))
     pieces = materialize(_pool_adjacent(entries, [*keys, CHUNK], "__at"))
     in_series = Window.partitionBy(*keys).orderBy(CHUNK, "first")

@@ -7,8 +7,14 @@ per ``(key, chunk)``, and the little that has to cross a chunk border travels as
 * ``with_halo``  - the last ``n`` rows before the chunk, for lag and short ROWS frames;
 * ``running``    - one row holding the aggregate of all earlier chunks, for cumulative frames.
 
-The extra rows come from a map-side reduced pass, so the full rows are shuffled once. Chunk borders
+The extra rows come from a map-side reduced pass, so the full rows are shuffled once. These borders
 do not depend on the data, so a later row never changes the chunk of an earlier one.
+
+Where a chunk may hold too much (a third of all rows in one hour, or with one value), :func:`plan_chunks`
+counts the rows of every chunk and divides the heavy ones further, by the same order columns: evenly between
+the least and greatest value of the first column that varies in them, again and again until each part is
+small. Rows of equal time or value are thus divided by the tie-breaks. Results are the same whatever
+the borders.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seriesloom.session import materialize
+
 CHUNK = "__chunk"
 HALO = "__halo"
 
@@ -42,6 +50,7 @@ class SeriesOrder:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     chunk: Callable[[], Column]  # built late: columns need a running session
+    heavy: tuple[DataFrame, ...] = ()  # of each round of plan_chunks: chunks to divide, and how
 
     @classmethod
     def by_time(
@@ -59,6 +68,76 @@ class SeriesOrder:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
 
+    def chunked(self, df: DataFrame) -> DataFrame:
+        """``df`` with its chunk: a number, or after planning an array that grows where chunks were divided."""
+        if not self.heavy:
+            return df.withColumn(CHUNK, self.chunk())
+        out = df.withColumn(CHUNK, F.array(self.chunk().cast("bigint")))
+        for table in self.heavy:
+            out = _divided(out, self, table)
+        return out
+
+
+PARTS = 64  # of a heavy chunk in each round
+_MEASURABLE = ("timestamp", "timestamp_ntz", "date", "double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
+
+
+def _measure(column: str, kind: str) -> Column:
+    """An order column as a number that grows with it."""
+    return micros(column).cast("double") if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    return F.floor((value - low) / (high - low) * (PARTS - 0.5))
+
+
+def _divided(df: DataFrame, by: SeriesOrder, table: DataFrame) -> DataFrame:
+    kinds = dict(df.dtypes)
+    same = F.col(CHUNK) == F.col("__of")
+    for k in by.keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    part = F.lit(None).cast("bigint")
+    for i, c in enumerate(by.order):
+        if kinds[c].startswith(_MEASURABLE):
+            part = F.when(F.col("__by") == i, _part(_measure(c, kinds[c]), F.col("__low"), F.col("__high"))).otherwise(part)
+    finer = F.when(F.col("__of").isNull(), F.col(CHUNK)).otherwise(F.concat(CHUNK, F.array(part)))
+    # The table has one row for each heavy chunk, at most the number of rows divided by their size.
+    return df.join(table, same, "left").withColumn(CHUNK, finer).drop(*table.columns)
+
+
+def plan_chunks(df: DataFrame, by: SeriesOrder, most: int = 1_000_000, rounds: int = 24) -> SeriesOrder:
+    """``by`` with chunks of ``df`` above ``most`` rows divided, in as many counting passes as that takes.
+
+    A pass reads keys and order columns only; usually the first finds nothing heavy and is the last. What
+    cannot be told apart by a number (rows equal in all order columns, or up to a text) stays together.
+    """
+    kinds = dict(df.dtypes)
+    slim = df.select(*by.keys, *by.order)
+    planned = SeriesOrder(by.keys, by.order, by.chunk)
+    for _ in range(rounds):
+        cells = planned.chunked(slim)
+        if not planned.heavy:
+            cells = cells.withColumn(CHUNK, F.array(F.col(CHUNK).cast("bigint")))
+        ends = []
+        for i, c in enumerate(by.order):
+            if not kinds[c].startswith(_MEASURABLE):
+                break  # what follows a text cannot divide before it
+            v = _measure(c, kinds[c])
+            ends += [F.min(v).alias(f"__low{i}"), F.max(v).alias(f"__high{i}")]
+        counted = cells.groupBy(*[F.col(k).alias(f"__k_{k}") for k in by.keys], F.col(CHUNK).alias("__of")).agg(F.count(F.lit(1)).alias("__rows"), *ends)
+        pick = F.lit(None).cast("struct<i:int,low:double,high:double>")
+        for i in reversed(range(len(ends) // 2)):
+            low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+            pick = F.when(high > low, F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))).otherwise(pick)
+        heavy = counted.filter(F.col("__rows") > most).withColumn("__pick", pick).filter("__pick IS NOT NULL")
+        heavy = materialize(
+            heavy.select(*[f"__k_{k}" for k in by.keys], "__of", F.col("__pick.i").alias("__by"), F.col("__pick.low").alias("__low"), F.col("__pick.high").alias("__high"))
+        )
+        if heavy.isEmpty():
+            break
+        planned = SeriesOrder(by.keys, by.order, by.chunk, (*planned.heavy, heavy))
+    return planned
+
 
 def value_bucket(value: Column, per_unit: int = 64) -> Column:
     """Monotone bucket number that needs no knowledge of the range: even steps in asinh(1000 v)."""
@@ -71,7 +150,7 @@ def with_halo(df: DataFrame, by: SeriesOrder, columns: Sequence[str], n: int = 1
     Window functions over ``by.window()`` that look back at most ``n`` rows are then exact; drop
     the flagged rows with :func:`without_halo` afterwards.
     """
-    base = df.withColumn(CHUNK, by.chunk())
+    base = by.chunked(df)
     payload = list(dict.fromkeys([*by.order, *[c for c in columns if c not in by.keys]]))
     newest_first = Window.partitionBy(*by.keys, CHUNK).orderBy(*[F.desc(c) for c in by.order])
     tails = (
@@ -117,7 +196,7 @@ def running(
     keep_chunk: bool = False,
 ) -> DataFrame:
     """Cumulative ``sum`` / ``min`` / ``max`` up to and including the current row."""
-    base = df.withColumn(CHUNK, by.chunk()).select(
+    base = by.chunked(df).select(
         "*", *[expr.alias(f"__in_{o}") for o, (_, expr) in outputs.items()]
     )
     totals = base.groupBy(*by.keys, CHUNK).agg(

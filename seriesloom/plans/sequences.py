@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesloom.operators import folds, windows
-from seriesloom.operators.ordering import number_rows, previous, running, with_halo, without_halo
+from seriesloom.operators.ordering import SeriesOrder, number_rows, plan_chunks, previous, running, with_halo, without_halo
 from seriesloom.plans.registry import EVENT_ORDER, EVENT_WINDOW, query, rnd, sql_rnd
 
 DAY = "86400000000::DOUBLE"
@@ -237,3 +237,26 @@ def w15(t):
         rnd("position").alias("position"),
         rnd(F.abs(F.col("value") - F.col("anchor"))).alias("frozen_distance"),
     )
+
+
+_CROWD = """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS series, value,
+    CASE WHEN user_id % 3 = 0 THEN date_trunc('month', ts) ELSE ts END AS moment FROM events"""
+
+
+@query(
+    "w05_crowded_month",
+    f"""WITH e AS ({_CROWD}) SELECT event_id, series, row_number() OVER w AS number, lag(value) OVER w AS before,
+    {sql_rnd('sum(value) OVER (w ROWS UNBOUNDED PRECEDING)', 3)} AS total FROM e WINDOW w AS (PARTITION BY series ORDER BY moment, event_id)""",
+)
+def w05_crowded(t):
+    """A third of all rows in one series and at one time: only the tie-break can divide them."""
+    hot = F.col("user_id") % 3 == 0
+    e = t.events.select(
+        "event_id",
+        F.when(hot, -1).otherwise(F.col("user_id")).cast("bigint").alias("series"),
+        "value",
+        F.when(hot, F.date_trunc("month", "ts").cast("timestamp_ntz")).otherwise(F.col("ts").cast("timestamp_ntz")).alias("moment"),
+    )
+    by = plan_chunks(e, SeriesOrder.by_time(("series",), "moment", ("event_id",)), most=1_000)
+    d = running(previous(e, by, {"before": ("value", 1)}), by, {"number": ("sum", F.lit(1).cast("bigint")), "total": ("sum", F.col("value"))})
+    return d.select("event_id", "series", "number", "before", rnd("total", 3).alias("total"))

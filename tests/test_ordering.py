@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import audit, folds, windows
-from seriesloom.operators.ordering import SeriesOrder, number_rows, previous, running
+from seriesloom.operators.ordering import SeriesOrder, number_rows, plan_chunks, previous, running
 from seriesloom.operators.quantiles import exact_quantiles, quantile_columns, weighted_quantiles
 
 
@@ -157,7 +157,69 @@ def test_first_row_has_no_elapsed_time(df):
     assert (d.elapsed_days == 0).all() and len(d) == 5
 
 
-def test_no_task_gets_a_whole_hot_key(df):
-    """The final window is partitioned by key and chunk, never by the key alone on full rows."""
-    plan = previous(df, BY, {"p": ("v", 1)})._jdf.queryExecution().executedPlan().toString()
-    assert "__chunk" in plan and "hashpartitioning(k#" in plan
+def crowded(spark, kind):
+    """A third of all rows lie in one hour (or have one time and one value) of one key; ties are told apart by i."""
+    rng = np.random.default_rng(8)
+    n = 6_000
+    d = pd.DataFrame({"k": np.where(np.arange(n) < n // 3, "hot", rng.choice(list("abcdefgh"), n)), "i": rng.permutation(n)})
+    late = pd.Timestamp("2021-03-01") + pd.to_timedelta(rng.integers(0, 90 * 86_400, n), unit="s")
+    near = pd.Timestamp("2021-04-01 12:00") + pd.to_timedelta(rng.integers(0, 3_600_000_000, n), unit="us")
+    hot = d.k == "hot"
+    d["t"] = np.where(hot, near if kind == "hour" else near.floor("h"), late)
+    d["v"] = np.where(hot & (kind == "value"), 7.0, np.round(rng.gamma(2, 15, n), 2))
+    rows = spark.createDataFrame(d.assign(t=d.t.astype("datetime64[us]"))).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    return rows.repartition(9), d
+
+
+def most_in_a_task(df):
+    """All columns are read, so that no window is pruned away."""
+    rows = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*df.columns)).alias("h"))
+    return rows.agg(F.max("n"), F.max("h")).first()[0]
+
+
+@pytest.mark.parametrize("kind", ["hour", "value"])
+def test_crowded_hours_and_values_are_divided_between_tasks(spark, kind):
+    df, d = crowded(spark, kind)
+    by = SeriesOrder.by_time(("k",), "t", ("i",)) if kind == "hour" else SeriesOrder.by_value(("k",), "v", ("i",))
+    first = "t" if kind == "hour" else "v"
+    planned = plan_chunks(df, by, most=100)
+    assert planned.heavy and not by.heavy
+    assert planned.chunked(df).groupBy("k", "__chunk").count().agg(F.max("count")).first()[0] <= 100
+    assert by.chunked(df).groupBy("k", "__chunk").count().agg(F.max("count")).first()[0] >= 2_000
+    want = d.sort_values(["k", first, "i"]).reset_index(drop=True)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        lagged = previous(df, planned, {"p": ("i", 2)})
+        summed = running(df, planned, {"s": ("sum", F.col("i"))})
+        assert most_in_a_task(lagged) < 700 and most_in_a_task(summed) < 700
+        assert most_in_a_task(previous(df, by, {"p": ("i", 2)})) >= 2_000
+        order = lambda x: x.toPandas().sort_values(["k", first, "i"]).reset_index(drop=True)
+        np.testing.assert_array_equal(order(lagged).p, want.groupby("k").i.shift(2))
+        np.testing.assert_array_equal(order(summed).s, want.groupby("k").i.cumsum())
+        numbers = order(number_rows(df, planned)).sequence_number
+        np.testing.assert_array_equal(numbers, want.groupby("k").cumcount() + 1)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+
+
+def test_planning_without_heavy_chunks_changes_nothing(df):
+    planned = plan_chunks(df, BY)
+    assert planned.heavy == () and "__chunk" not in number_rows(df, planned).columns
+
+
+def test_rows_equal_in_all_order_columns_stay_together(spark):
+    same = spark.range(500).select(F.lit("x").alias("k"), F.lit(3.0).alias("v"), F.lit(1).alias("i"))
+    planned = plan_chunks(same, SeriesOrder.by_value(("k",), "v", ("i",)), most=10)
+    assert planned.heavy == ()
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_scans_over_planned_chunks(df, base, block):
+    planned = plan_chunks(df, BY, most=9)
+    assert planned.heavy
+    got = pull(folds.scan(df, planned, folds.ewma("v"), ["v"], block))
+    want = sequential(base, lambda s, v, dt: v if s is None else 0.5 * v + 0.5 * s)
+    np.testing.assert_allclose(got.ewma, want, rtol=1e-12)
