@@ -15,19 +15,28 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Scratch, binary_parts, each_slice, utf8
+from seriesloom.llm.common import Scratch, binary_parts, each_slice, release, utf8
 
 GROUP = 65_536  # pieces packed by one task, on average
 REGROUP = 64
-_CLOSING = b".,!?;:*#$%&"
+_CLOSING = ".,!?;:*#$%&"
+
+
+def _values(column: pa.Array) -> list[bytes]:
+    ends, raw = binary_parts(column)
+    first = int(ends[0])
+    own = raw[first : int(ends[-1])].tobytes()
+    cuts = (ends - first).tolist()
+    return [own[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 class WordIds:
@@ -39,7 +48,7 @@ class WordIds:
     punctuation is a word of its own. What is learnt is dropped when it passes ``most`` stretches.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 800_000):
+    def __init__(self, tokenizer_path: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,39 +106,46 @@ class WordIds:
                 self._encode_each(some)
 
     def _learn(self, new: list[bytes]) -> None:
-        cores, tails = [], []
-        for stretch in new:
-            core = stretch.rstrip(_CLOSING)
-            if core.isalpha():
-                tails.append(stretch[len(core) :])
-                core = core.lower()
-            elif core and (text := core.decode("utf-8")).isalpha() and text.lower().isalpha():
-                # Letters beyond ASCII are left to the encoder, whose lower case is its own.
-                tails.append(stretch[len(core) :])
-            else:
-                core = b""
-                tails.append(stretch)
-            cores.append(core)
+        stretches = pa.array(new, pa.binary()).cast(pa.string())
+        core = pc.utf8_rtrim(stretches, _CLOSING)
+        ascii_word = pc.and_(pc.string_is_ascii(core), pc.ascii_is_alpha(core))
+        # Letters beyond ASCII are left to the encoder, whose lower case is its own; one of them becomes two.
+        other_word = pc.and_not(pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(pc.utf8_lower(core))), pc.match_substring(core, "\u0130"))
+        core = pc.if_else(ascii_word, pc.ascii_lower(core), pc.if_else(other_word, core, ""))
+        cut = pc.binary_length(core).to_numpy()
+        whole = pc.binary_length(stretches).to_numpy()
+        tails = [b""] * len(new)
+        for i in np.flatnonzero(cut < whole).tolist():
+            tails[i] = new[i][cut[i] :]
+        found = pc.dictionary_encode(core.cast(pa.binary()))
+        cores = _values(found.dictionary)
         self._encode_words(list(set(cores) - self.parts.keys()))
         self._encode_each(list(set(tails) - self.parts.keys()))
         both = np.empty(2 * len(new), np.int64)
-        both[0::2] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(new))
+        both[0::2] = np.fromiter(map(self.parts.__getitem__, cores), np.int64, len(cores))[found.indices.to_numpy()]
         both[1::2] = np.fromiter(map(self.parts.__getitem__, tails), np.int64, len(new))
         sizes = self.sizes[both]
         self.stretches.update(zip(new, self._keep(self._joined(both), sizes[0::2] + sizes[1::2])))
 
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+    def of(self, texts: pa.Array | list[bytes]) -> list[np.ndarray]:
+        """Token ids of each UTF-8 text."""
         if len(self.stretches) > self.most:
             self.reset()
-        split = [t.split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        new = list(set(flat) - self.stretches.keys())
-        if new:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        # Each distinct stretch is looked up once; empty ones at the ends of a text have no ids.
+        found = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+        distinct = _values(found.dictionary)
+        numbers = np.fromiter(map(self.stretches.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
             self._learn(new)
-        numbers = np.fromiter(map(self.stretches.__getitem__, flat), np.int64, len(flat))
+            numbers[unknown] = np.fromiter(map(self.stretches.__getitem__, new), np.int64, len(new))
+        numbers = numbers[found.indices.to_numpy()]
         ids = self._joined(numbers)
         token_ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
-        word_ends = np.cumsum([0] + [len(w) for w in split])
+        word_ends = split.offsets.to_numpy() - split.offsets[0].as_py()
         cuts = token_ends[word_ends]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -142,16 +158,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, budget: int, id_col: str = "doc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer_path)
-        for batch in each_slice(batches, "body", 1_000_000):
-            ends, raw = binary_parts(batch.column("body"))
-            texts = [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        for batch in each_slice(batches, "body", 2_000_000):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.of(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("body"))):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), budget)):
                     piece = ids[start : start + budget]
                     rows.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECES.types)], schema=PIECES)
+        words.reset()
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
     return slim.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
