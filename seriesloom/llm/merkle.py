@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import Scratch, crc_of_id, partitions
 
 FAN = 8
-DEEP = 6
+DEEP = 5
 HEIGHTS = 22  # levels of the largest tree that 63-bit numbers can address
 
 

@@ -79,7 +79,7 @@ def test_addresses_are_a_permutation_with_subtrees_in_one_piece(height):
 
 
 def test_layers_cut_at_half_height():
-    assert merkle.layers(6) == [6] and merkle.layers(7) == [4, 3]
+    assert merkle.layers(5) == [5] and merkle.layers(7) == [4, 3]
     assert merkle.layers(7, 2) == [2, 2, 2, 1] and sum(merkle.layers(20)) == 20
 
 
