@@ -1,8 +1,9 @@
 """Exact quantiles for groups of any size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here values are
-first counted per ``(group, value)``, the counts are located in value buckets, and only the buckets
-that hold a wanted rank are ordered. Linear interpolation between closest ranks throughout.
+first counted per ``(group, value)``, the counts are located in value buckets, the buckets that hold a
+wanted rank are narrowed by counting again in even parts of their range, and only the parts that still
+hold one are ordered. Linear interpolation between closest ranks throughout.
 """
 
 from __future__ import annotations
@@ -17,16 +18,50 @@ from seriesloom.operators.ordering import SeriesOrder, running, value_bucket
 _GROUP = "__g"
 
 
+PARTS = 4096  # of a bucket in a narrowing round
+
+
+def _holding(buckets: DataFrame) -> DataFrame:
+    """Buckets that hold a wanted rank, with the ranks: __before, __n, __min, __max, __want."""
+    last = F.col("__before") + F.col("__bc") - 1
+    return (
+        buckets.filter(F.col("__lo").between(F.col("__before"), last) | F.col("__hi").between(F.col("__before"), last))
+        .groupBy(_GROUP, "__b")
+        .agg(
+            *[F.first(c).alias(c) for c in ("__before", "__n", "__min", "__max")],
+            F.collect_list(F.struct("__p", "__lo", "__hi")).alias("__want"),
+        )
+    )
+
+
+def _narrowed(counts: DataFrame, targets: DataFrame, sizes: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """Each wanted bucket cut into even parts of its range, and those parts that hold a wanted rank."""
+    low, high = F.col("__min"), F.col("__max")
+    part = F.when(high > low, F.floor((F.col("__v") - low) / (high - low) * (PARTS - 0.5))).otherwise(F.lit(0).cast("bigint"))
+    held = targets.select(_GROUP, "__b", "__min", "__max")
+    counts = counts.join(held, [_GROUP, "__b"]).withColumn("__b", F.concat("__b", F.array(part))).drop("__min", "__max")
+    parts = counts.groupBy(_GROUP, "__b").agg(*sizes).withColumn("__of", F.slice("__b", 1, F.size("__b") - 1))
+    # At most PARTS rows for each bucket.
+    earlier = Window.partitionBy(_GROUP, "__of").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__upto", F.coalesce(F.sum("__bc").over(earlier), F.lit(0)))
+    above = targets.select(_GROUP, F.col("__b").alias("__of"), F.col("__before").alias("__start"), "__n", "__want")
+    parts = parts.join(above, [_GROUP, "__of"]).withColumn("__before", F.col("__start") + F.col("__upto"))
+    return counts, _holding(parts.select("*", F.explode("__want").alias("__w")).select("*", "__w.*"))
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str | Column,
     probabilities: Sequence[float],
     freq: str | Column | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """Long result: ``by``, ``probability``, ``n``, ``quantile`` (NULL values are ignored).
 
-    ``freq`` gives whole-number multiplicities. Grouping treats NULL keys as one group.
+    ``freq`` gives whole-number multiplicities. Grouping treats NULL keys as one group. Each of ``rounds``
+    narrows the wanted buckets ``PARTS`` times before what is left of them is ordered; more of them suit
+    values that crowd far closer than a bucket is wide.
     """
     by = list(by)
     col = F.col(value) if isinstance(value, str) else value
@@ -41,33 +76,22 @@ def exact_quantiles(
     counts = (
         keyed.groupBy(_GROUP, "__v")
         .agg(F.sum("__f").alias("__c"))
-        .withColumn("__b", value_bucket(F.col("__v")))
+        .withColumn("__b", F.array(value_bucket(F.col("__v"))))
     )
+    sizes = [F.sum("__c").alias("__bc"), F.min("__v").alias("__min"), F.max("__v").alias("__max")]
     earlier = Window.partitionBy(_GROUP).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(_GROUP)
     buckets = (
         counts.groupBy(_GROUP, "__b")
-        .agg(F.sum("__c").alias("__bc"))
+        .agg(*sizes)
         .withColumn("__before", F.coalesce(F.sum("__bc").over(earlier), F.lit(0)))
         .withColumn("__n", F.sum("__bc").over(whole))
     )
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     position = F.col("__p") * (F.col("__n") - 1)
-    targets = (
-        buckets.withColumn("__p", wanted)
-        .withColumn("__lo", F.floor(position))
-        .withColumn("__hi", F.ceil(position))
-        .filter(
-            F.col("__lo").between(F.col("__before"), F.col("__before") + F.col("__bc") - 1)
-            | F.col("__hi").between(F.col("__before"), F.col("__before") + F.col("__bc") - 1)
-        )
-        .groupBy(_GROUP, "__b")
-        .agg(
-            F.first("__before").alias("__before"),
-            F.first("__n").alias("__n"),
-            F.collect_list(F.struct("__p", "__lo", "__hi")).alias("__want"),
-        )
-    )
+    targets = _holding(buckets.withColumn("__p", wanted).withColumn("__lo", F.floor(position)).withColumn("__hi", F.ceil(position)))
+    for _ in range(rounds):
+        counts, targets = _narrowed(counts, targets, sizes)
     inside = Window.partitionBy(_GROUP, "__b").orderBy("__v")
     ranked = (
         counts.join(targets, [_GROUP, "__b"])

@@ -223,3 +223,33 @@ def test_scans_over_planned_chunks(df, base, block):
     got = pull(folds.scan(df, planned, folds.ewma("v"), ["v"], block))
     want = sequential(base, lambda s, v, dt: v if s is None else 0.5 * v + 0.5 * s)
     np.testing.assert_allclose(got.ewma, want, rtol=1e-12)
+
+
+def test_crowded_values_are_narrowed_before_they_are_ordered(spark):
+    """A third of all rows within a millionth, in one bucket; the last window sees few of them."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([5 + rng.random(20_000) * 1e-6, rng.gamma(2, 15, 40_000)])
+    d = pd.DataFrame({"k": np.where(rng.random(len(v)) < 0.8, "hot", "b"), "v": v})
+    df = spark.createDataFrame(d).repartition(6)
+    wanted = [0.0, 0.11, 0.25, 0.5, 0.9, 1.0]
+    for rounds in (0, 1, 2):
+        got = {(r.k, r.probability): r["quantile"] for r in exact_quantiles(df, ["k"], "v", wanted, rounds=rounds).collect()}
+        for key, g in d.groupby("k"):
+            np.testing.assert_allclose([got[key, p] for p in wanted], np.quantile(g.v, wanted), rtol=1e-12)
+
+    from seriesloom.operators import quantiles
+
+    seen = []
+    original = quantiles._narrowed
+
+    def watched(counts, targets, sizes):
+        out = original(counts, targets, sizes)
+        seen.append(out[0].join(out[1].select("__g", "__b"), ["__g", "__b"]).groupBy("__g", "__b").count().agg(F.max("count")).first()[0])
+        return out
+
+    quantiles._narrowed = watched
+    try:
+        exact_quantiles(df, ["k"], "v", wanted, rounds=2)
+    finally:
+        quantiles._narrowed = original
+    assert seen[1] <= 100 and seen[1] <= seen[0]
