@@ -3,6 +3,7 @@
 import datetime as dt
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,26 @@ def test_rows_without_a_time_change_nothing(spark, tmp_path):
 def test_every_kind_of_arrival_is_met(spark, folder):
     kinds = {r.arrival for r in states.t11_hygiene(Tables(spark, folder)).collect()}
     assert kinds == {"applied", "late", "behind_watermark", "closed"}
+
+
+def test_linear_filter_in_the_selection_and_truth_of_its_own(spark):
+    """Two detections at one place: the likelier height wins over confidence; errors are taken against a third table."""
+    found = lambda h, c: {"candidate_index": int(h), "confidence": c, "x_root_fraction": 0.5, "y_top": 400.0 - h / 0.33, "y_root": 400.0, "height_px": h / 0.33}
+    shots = [(1, [(100, 0.9)]), (3, [(110, 0.6), (300, 0.95)]), (4, [(115, 0.9)])]
+    rows = [("cam", day(at), f"g{at}", [found(float(h), c) for h, c in items]) for at, items in shots]
+    kind = ", ".join(f"{c}: {'bigint' if c == 'candidate_index' else 'double'}" for c in TR.CANDIDATE)
+    frames = spark.createDataFrame(rows, f"camera_id string, capture_datetime timestamp_ntz, filename string, candidates array<struct<{kind}>>")
+    candidates = frames.select("filename", F.explode("candidates").alias("c")).select("filename", "c.*")
+    settings = TR.TrackSettings(expected=1, linear=True)
+    truth = spark.createDataFrame([("cam", day(3).date(), 111.0), ("cam", day(4).date(), 116.0)], "camera_id string, day date, truth double")
+    got = TR.compare_selection(frames.drop("candidates"), candidates, settings, truth, ["camera_id", "day"]).toPandas().sort_values("day")
+    assert got.truth.tolist() == [111.0, 116.0]
+    assert got.guided_candidate.tolist() == [110, 115] and got.plain_candidate.tolist() == [300, 115]
+    # The plain two-step recursion.
+    state, cov = np.array([100.0, 0.0]), np.diag([settings.base_sd**2, 8.0**2])
+    for days, value, confidence in ((2.0, 110.0, 0.6), (1.0, 115.0, 0.9)):
+        move = np.array([[1, days], [0, 1]])
+        state, cov = move @ state, move @ cov @ move.T + np.diag([8.78**2 * days, 0.35**2 * days])
+        gain = cov[:, 0] / (cov[0, 0] + settings.base_sd**2 / confidence)
+        state, cov = state + gain * (value - state[0]), cov - np.outer(gain, cov[0])
+    assert got.guided_height.iloc[-1] == pytest.approx(state[0])
