@@ -11,8 +11,9 @@ many rows as it has members, and no link between different texts is lost to the
 Where a similarity is asked for, distinct shingles vote, texts with equal shingle sets form a class, and
 fingerprints only propose: pairs close on the first ``SCREEN`` bits and then on all, both ``SPREAD``
 deviations wide, are confirmed by the exact Jaccard similarity of their shingle sets. Cells propose
-``MOST`` pairs of each class first. Classes that wait with pairs not yet proposed, and are not yet in one
-component, are compared again by components with eight times as many, until nothing waits.
+``MOST`` pairs of each class, which are joined with their sets. Further pairs only matter where their classes
+are not yet in one component: those classes are dealt in pieces of their own, by trees of waiting pairs, and
+take their shingle sets along, so all of their close pairs are decided inside a task and never become rows.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words
 than a shingle make one shingle of what there is; repeated rows are in one class; a null identifier
@@ -37,7 +38,8 @@ from seriesloom.llm.components import components
 BAND = 32_768  # classes in a band, on average: bounds what one cell holds
 TILE_ROWS, TILE_COLS = 128, 2048
 SCREEN, SPREAD = 128, 5.0  # bits compared first for a similarity, and deviations allowed in all comparisons
-MOST = 3  # pairs of a class proposed in the first round
+MOST = 3  # pairs of a class that are joined with their sets
+PIECE_ROWS, PIECE_SHINGLES = 1024, 1 << 20  # classes and shingles, on average, of a piece that brings its sets
 
 
 def reach_of(similarity: float, bits: int) -> int:
@@ -263,37 +265,93 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
 
 
+def links_of_piece(pdf: pd.DataFrame, radius: int, screen: tuple[int, int] | None, similarity: float) -> pd.DataFrame:
+    """Spanning forest of the pairs of a cell that are close and have the Jaccard similarity; equal labels are linked already."""
+    pdf = pdf.sort_values("node", kind="stable")
+    fps, one, two = _sides(pdf)
+    nodes, forest = pdf["node"].to_numpy(), Forest(len(pdf))
+    label, first = np.unique(pdf["label"].to_numpy(), return_index=True)
+    forest.link(np.arange(len(pdf)), first[np.searchsorted(label, pdf["label"])])
+    sizes = pdf["shingles"].map(len).to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(pdf["shingles"].tolist()), return_inverse=True)[1]
+    mark = np.zeros(len(ids), bool)
+    for a, b in close_pairs(fps[one], fps[two], radius, screen):
+        a, b = one[a], two[b]
+        open_ = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+        open_ &= forest.roots(a) != forest.roots(b)
+        if one is two:
+            open_ &= a < b  # each pair comes both ways
+        a, b = a[open_], b[open_]
+        order = np.argsort(a, kind="stable")
+        rows, cuts = np.unique(a[order], return_index=True)
+        for row, others in zip(rows, np.split(b[order], cuts[1:])):
+            others = others[forest.roots(others) != forest.roots(row)]
+            if not len(others):
+                continue
+            mark[ids[starts[row] : starts[row] + sizes[row]]] = True
+            ends = np.cumsum(sizes[others])
+            at = np.repeat(starts[others] - ends + sizes[others], sizes[others]) + np.arange(ends[-1])
+            seen = np.concatenate([[0], np.cumsum(mark[ids[at]])])
+            common = seen[ends] - seen[ends - sizes[others]]
+            mark[ids[starts[row] : starts[row] + sizes[row]]] = False
+            alike = others[common >= similarity * (sizes[row] + sizes[others] - common) - 1e-9]
+            forest.link(np.full(len(alike), row), alike)
+    roots = forest.roots(np.arange(len(pdf)))
+    moved = np.flatnonzero(roots != np.arange(len(pdf)))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[roots[moved]]})
+
+
+def links_by_pieces(near: DataFrame, radius: int, screen: tuple[int, int] | None, similarity: float) -> DataFrame:
+    """Links (a, b) among ``near`` (node, tree, label, fp, shingles) that hold each tree of it together.
+
+    A tree is cut in pieces by count and by shingles, and every two of its pieces meet in one cell.
+    """
+    share = F.greatest(F.count("*") / PIECE_ROWS, F.sum(F.size("shingles")) / PIECE_SHINGLES)
+    trees = near.groupBy("tree").agg(share.alias("share")).withColumn("pieces", F.greatest(F.ceil("share"), F.lit(1)).cast("int"))
+    whole = trees.agg(F.sum(F.when(F.col("pieces") > 1, F.col("pieces") * (F.col("pieces") + 1) / 2).otherwise(F.col("share")))).first()[0]
+    banded = near.join(trees, "tree").withColumn("band", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    cells = banded.withColumn("other", other).withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other"))
+    cells = cells.select("tree", "low", "high", "band", "node", "label", "fp", "shingles").repartition(16 + 2 * math.ceil(whole or 0), "tree", "low", "high")
+    return cells.groupBy("tree", "low", "high").applyInPandas(lambda pdf: links_of_piece(pdf, radius, screen, similarity), "a long, b long")
+
+
 def similar_roots(docs: DataFrame, classes: DataFrame, words: int, bits: int, similarity: float, text_col: str, scratch: Scratch) -> DataFrame:
     """``node`` and ``root`` of the classes linked by their exact similarity; classes alone may be absent."""
     reach = reach_of(similarity, bits)
     screen = (SCREEN // 64, reach_of(similarity, SCREEN)) if bits > SCREEN else None
     body = utf8(text_col)
     texts = docs.select(F.xxhash64(body).alias("text_hash"), body.alias("body"))
-    pending, most, links = classes.select("node", "fp", F.col("node").alias("label")), MOST, None
-    while True:
-        kind = "a long, b long, waits boolean, low int, high int"
-        # Written before ``most`` changes.
-        found = scratch.write(_cells(pending).groupBy("low", "high").applyInPandas(lambda pdf: proposals_of_cell(pdf, reach, screen, most), kind))
-        pairs = found.filter("not waits")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = wanted.join(classes.select("node", F.col("first.text_hash").alias("text_hash")), "node")
-        sets = scratch.write(shingle_sets(texts.join(wanted, "text_hash").dropDuplicates(["node"]), words))
-        similar = similar_pairs(pairs, sets, similarity)
-        links = scratch.write(similar if links is None else links.unionByName(similar))
-        scratch.drop(sets)
-        roots = scratch.write(components(links, scratch))
-        # A tree of waiting pairs is settled when it lies in one component.
-        waiting = found.filter("waits")
-        for end in ("a", "b"):
-            own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-            waiting = waiting.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        unsettled = waiting.filter("root_a <> root_b").select("low", "high", "b").distinct()
-        again = found.filter("waits").join(unsettled, ["low", "high", "b"]).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        again = classes.join(again, "node").join(roots, "node", "left")
-        pending = scratch.write(again.select("node", "fp", F.coalesce("root", "node").alias("label")))
-        if pending.isEmpty():
-            return roots
-        most *= 8
+    named = classes.select("node", F.col("first.text_hash").alias("text_hash"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return shingle_sets(texts.join(named.join(nodes, "node"), "text_hash").dropDuplicates(["node"]), words)
+
+    kind = "a long, b long, waits boolean, low int, high int"
+    cells = _cells(classes.select("node", "fp", F.col("node").alias("label")))
+    found = scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: proposals_of_cell(pdf, reach, screen, MOST), kind))
+    pairs, waiting = found.filter("not waits"), found.filter("waits")
+    sets = scratch.write(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    links = scratch.write(similar_pairs(pairs, sets, similarity))
+    scratch.drop(sets)
+    roots = scratch.write(components(links, scratch))
+    # A tree of waiting pairs is settled when it lies in one component.
+    ended = waiting
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        ended = ended.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    unsettled = ended.filter("root_a <> root_b").select("low", "high", "b").distinct()
+    edges = scratch.write(waiting.join(unsettled, ["low", "high", "b"]).select("a", "b"))
+    if edges.isEmpty():
+        return roots
+    # Trees of different cells that share a class are one tree.
+    trees = scratch.write(components(edges, scratch).withColumnRenamed("root", "tree"))
+    near = classes.select("node", "fp").join(trees, "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    near = scratch.write(near.drop("root").join(sets_of(trees.select("node")), "node"))
+    links = scratch.write(links.unionByName(links_by_pieces(near, reach, screen, similarity)))
+    scratch.drop(near)
+    return scratch.write(components(links, scratch))
 
 
 def groups(docs: DataFrame, words: int = 5, bits: int = 2048, radius: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:

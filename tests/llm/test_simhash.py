@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -171,10 +172,34 @@ def test_pairs_around_the_similarity_are_decided_exactly(spark):
     assert kept(spark, texts) == set(range(len(texts))) - gone
 
 
-@pytest.mark.parametrize("band", [32_768, 60])
-def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch, band):
+def test_pieces_decide_pairs_as_their_sets_do():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(120)]
+    pdf = pd.DataFrame({"node": rng.permutation(120), "tree": 0, "low": 0, "high": 1, "band": rng.integers(0, 2, 120)})
+    # Fingerprints are all close, so that the sets alone decide; labels of the last ten are one.
+    pdf = pdf.assign(label=np.minimum(np.arange(120), 110), fp=[np.zeros(1, np.int64)] * 120, shingles=sets)
+    found = simhash.links_of_piece(pdf, 0, None, 0.6)
+    forest = simhash.Forest(120)
+    forest.link(found["a"].to_numpy(), found["b"].to_numpy())
+    plain = simhash.Forest(120)
+    node = pdf["node"].to_numpy()
+    for i in range(120):
+        for j in range(i):
+            one, two = set(sets[i]), set(sets[j])
+            linked = pdf["band"][i] != pdf["band"][j] and len(one & two) >= 0.6 * len(one | two) - 1e-9
+            if linked or min(i, j) >= 110:
+                plain.link(node[[i]], node[[j]])
+    everyone = np.arange(120)
+    assert np.array_equal(forest.roots(everyone), plain.roots(everyone))
+    assert 20 < len(set(plain.roots(everyone).tolist())) < 110
+
+
+@pytest.mark.parametrize("band, rows, weight", [(32_768, 1024, 1 << 20), (60, 7, 1 << 20), (32_768, 1024, 2000)])
+def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch, band, rows, weight):
     monkeypatch.setattr(simhash, "BAND", band)
     monkeypatch.setattr(simhash, "MOST", 1)
+    monkeypatch.setattr(simhash, "PIECE_ROWS", rows)
+    monkeypatch.setattr(simhash, "PIECE_SHINGLES", weight)
     rng = random.Random(13)
     vocab = ["v%d" % i for i in range(5000)]
     texts = []
