@@ -70,6 +70,37 @@ def a31(t):
     return rounded(B.quantile_replicates(rows, "camera", "value", [0.5, 0.9], 400, SEED))
 
 
+@query(
+    "a31_bootstrap_quantile_intervals",
+    f"""WITH cl AS (SELECT camera, {_IDX} FROM (SELECT DISTINCT user_id % 12 AS camera FROM events)), {draws_sql(20000)},
+    m AS (SELECT rep, camera, count(*) AS m FROM dr JOIN cl USING (idx) GROUP BY ALL),
+    ct AS (SELECT user_id % 12 AS camera, value AS v, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY ALL),
+    nv AS (SELECT v, (row_number() OVER (ORDER BY v) - 1) // 100 AS b FROM (SELECT DISTINCT v FROM ct)),
+    cells AS (SELECT camera, b, v, c FROM ct JOIN nv USING (v)),
+    bw AS (SELECT rep, b, sum(c * m)::BIGINT AS w FROM (SELECT camera, b, sum(c) AS c FROM cells GROUP BY ALL) JOIN m USING (camera) GROUP BY ALL),
+    loc AS (SELECT rep, b, w, sum(w) OVER (PARTITION BY rep ORDER BY b)::BIGINT - w AS bef, sum(w) OVER (PARTITION BY rep)::BIGINT AS n FROM bw),
+    ask AS (SELECT rep, b, bef, p, n, p * (n - 1) AS pos, CAST(CASE side WHEN 0 THEN floor(p * (n - 1)) ELSE ceil(p * (n - 1)) END AS BIGINT) AS k FROM loc, (SELECT unnest([0.5, 0.9]::DOUBLE[]) AS p), (SELECT unnest([0, 1]) AS side)
+      WHERE k >= bef AND k < bef + w),
+    fw AS (SELECT DISTINCT rep, b, bef FROM ask),
+    vw AS (SELECT rep, b, bef, v, sum(c * m)::BIGINT AS w FROM fw JOIN m USING (rep) JOIN cells USING (camera, b) GROUP BY ALL),
+    ends AS (SELECT rep, b, v, bef + sum(w) OVER (PARTITION BY rep, b ORDER BY v)::BIGINT AS upto, w FROM vw),
+    hit AS (SELECT a.rep, p, pos, k, v FROM ask a JOIN ends e ON a.rep = e.rep AND a.b = e.b AND k < upto AND k >= upto - w),
+    rp AS (SELECT rep, p, min(v) + (max(v) - min(v)) * (any_value(pos) - floor(any_value(pos))) AS x FROM hit GROUP BY ALL)
+    SELECT p AS probability, {sql_rnd('avg(x)', 4)} AS mean_quantile, {sql_rnd('quantile_cont(x, 0.025)')} AS ci_low, {sql_rnd('quantile_cont(x, 0.975)')} AS ci_high,
+      count(*) AS replicates FROM rp GROUP BY 1""",
+)
+def a31_intervals(t):
+    """Median and upper decile with their intervals over 20,000 replicates."""
+    rows = t.events.select((F.col("user_id") % 12).alias("camera"), "value")
+    reps = B.quantile_replicates(rows, "camera", "value", [0.5, 0.9], 20000, SEED)
+    return reps.groupBy("probability").agg(
+        rnd(F.avg("quantile"), 4).alias("mean_quantile"),
+        rnd(F.percentile("quantile", F.lit(0.025))).alias("ci_low"),
+        rnd(F.percentile("quantile", F.lit(0.975))).alias("ci_high"),
+        F.count("quantile").alias("replicates"),
+    )
+
+
 @query(
     "a32_entity_bootstrap",
     f"""WITH {FC}, cl AS (SELECT user_id, CAST(row_number() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS BIGINT) AS idx,

@@ -1,6 +1,7 @@
 """Contracts, fits, joins and text rules on small cases."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,43 @@ def test_bootstrap_quantiles_equal_resampling(spark):
         np.testing.assert_allclose([mine[0.5], mine[0.9]], np.quantile(v, [0.5, 0.9]))
 
 
+def test_bootstrap_quantiles_over_levels_and_blocks(spark, monkeypatch):
+    for name, size in (("REPLICATES", 8), ("CLUSTERS", 4), ("FANOUT", 3)):
+        monkeypatch.setattr(B, name, size)
+    rng = np.random.default_rng(5)
+    n = 900
+    d = pd.DataFrame({"c": np.where(np.arange(n) < 300, "c0", [f"c{i}" for i in rng.integers(0, 14, n)])})
+    d["v"] = np.where(np.arange(n) % 3 == 0, 1.5, np.round(rng.normal(0, 30, n), 1))  # a third of the rows is one value
+    d.loc[:4, "v"] = [np.nan, -0.0, 0.0, np.inf, -np.inf]
+    d = pd.concat([d, pd.DataFrame({"c": ["empty", None], "v": [np.nan, 7.0]})])
+    df = spark.createDataFrame(d)
+    got = B.quantile_replicates(df, "c", "v", [0.0, 0.37, 0.5, 1.0], 30, 11).toPandas()
+    assert len(got) == 30 * 4
+    indexed = B.index_clusters(df.select("c").distinct(), "c")
+    drawn = B.draws(indexed, 30, 11).join(indexed, "idx").toPandas()
+    for rep, g in drawn.groupby("rep"):
+        v = np.sort(np.concatenate([d[(d.c == c) & d.v.notna()].v for c in g.c.dropna()]))
+        mine = got[got.rep == rep].set_index("probability")["quantile"]
+        assert (mine[0.0], mine[1.0]) == (v[0], v[-1])
+        np.testing.assert_allclose([mine[0.37], mine[0.5]], np.quantile(v, [0.37, 0.5]))
+
+
+def test_bootstrap_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("b", float("nan"))], "c string, v double")
+    assert B.quantile_replicates(df, "c", "v", [0.5], 5, 1).count() == 0
+    assert B.quantile_replicates(df.filter("false"), "c", "v", [0.5], 5, 1).count() == 0
+
+
+def test_cluster_numbers_with_a_common_prefix(spark):
+    names = [f"device-{i:05d}" for i in range(3000)] + ["d", "device-", "é", "z"]
+    df = spark.createDataFrame([(x,) for x in names], "c string")
+    length = B.prefix_length(df, "c", 120)
+    assert df.groupBy(F.substring("c", 1, length)).count().agg(F.max("count")).first()[0] == 100
+    assert B.prefix_length(df, "c", len(names)) == 3 and B.prefix_length(df, "c", 0) == 128
+    got = B.index_clusters(df, "c", most=120).toPandas().sort_values("idx")
+    assert got.c.tolist() == sorted(names, key=lambda x: x.encode()) and got.idx.tolist() == list(range(len(names)))
+
+
 @pytest.mark.parametrize("noise", [0.4, 3.0, 60.0])
 def test_pair_errors_need_no_pairs(spark, noise):
     rng = np.random.default_rng(4)
@@ -195,3 +233,30 @@ def test_results_round_trip(spark, tmp_path):
     IO.write_results({"t": spark.range(3)}, path, {"a": 1}, {"in": "digest"}, ["w"], causal=True)
     meta = spark.read.parquet(f"{path}/run_metadata").first()
     assert meta.settings == '{"a": 1}' and meta.tables == ["t"] and meta.causal and meta.warnings == ["w"]
+
+
+def test_manifest_streams_long_files(spark, tmp_path):
+    bodies = {"empty.bin": b"", "a/short.bin": b"x" * 99, "a/edge.bin": b"y" * 100, "b c/long %41.bin": bytes(range(256)) * 70_000, "b c/other.txt": b"z"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    counts = spark.createDataFrame([("short.bin",), ("short.bin",)], "filename string")
+    got = IO.file_manifest(spark, str(tmp_path), [".bin"], counts, whole=100).collect()
+    want = {n.split("/")[-1]: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items() if b and n.endswith(".bin")}
+    assert {r.filename: (r.length, r.sha256) for r in got} == want
+    assert {r.filename: r.candidates for r in got} == {n: 2 * (n == "short.bin") for n in want}
+    assert IO.file_manifest(spark, str(tmp_path), ["none"]).count() == 0
+
+
+def test_manifest_of_a_file_above_two_gigabytes(spark, tmp_path):
+    size, tail = (3 << 30) + 5, b"end"
+    with open(tmp_path / "sparse.bin", "wb") as f:
+        f.truncate(size - len(tail))
+        f.seek(size - len(tail))
+        f.write(tail)
+    digest, zeros = hashlib.sha256(), bytes(1 << 24)
+    for at in range(0, size - len(tail), len(zeros)):
+        digest.update(zeros[: min(len(zeros), size - len(tail) - at)])
+    digest.update(tail)
+    row = IO.file_manifest(spark, str(tmp_path)).first()
+    assert (row.filename, row.length, row.sha256) == ("sparse.bin", size, digest.hexdigest())
