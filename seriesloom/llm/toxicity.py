@@ -2,7 +2,8 @@
 
 Two strings are alike when they share many subsequences of three letters; each counts less the more
 letters lie between its first and last. A word with letters inserted or left out stays close to
-the original, and single letters set apart are read together. Landmarks are words of the labelled
+the original, and single letters set apart are read together. What punctuation joins is read as one word
+and as its parts. Landmarks are words of the labelled
 texts that mark the class; a sentence is described by its largest kernel value with each of them,
 mapped by the Nyström root so that inner products approximate the kernel. A linear machine with
 squared hinge loss is fitted to labelled sentences: of a toxic text those that respond most, chosen
@@ -51,6 +52,12 @@ def letters_of(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalpha())
 
 
+def readings(token: str) -> str:
+    """All letters of a token as one word, then the words that punctuation divides it into, if any."""
+    parts = "".join(c if c.isalpha() else " " for c in token.lower()).split()
+    return " ".join(["".join(parts), *(p for p in parts if len(p) >= 3 and len(parts) > 1)])
+
+
 def pieces_of(unit: str) -> list[str]:
     """A word with a mark before it, in overlapping pieces if it is long."""
     unit = MARK + unit
@@ -157,8 +164,8 @@ class Reader:
         self.count = 1
 
     def _learn_units(self, units: list[str]) -> None:
-        """Kernel rows of new words: the largest values over the pieces of a long one."""
-        pieces = [pieces_of(u) for u in units]
+        """Kernel rows of new words: the largest values over the readings and pieces of each."""
+        pieces = [list(itertools.chain.from_iterable(map(pieces_of, u.split(" ")))) for u in units]
         owner = np.repeat(np.arange(len(units)), [len(p) for p in pieces])
         numbers, rows = self.landmarks.kernel(list(itertools.chain.from_iterable(pieces)))
         place = np.zeros(len(units), np.int64)
@@ -180,7 +187,7 @@ class Reader:
                 units.append(core.lower().decode("ascii"))
             else:
                 text = core.decode("utf-8").lower()
-                units.append(text if text.isalpha() else letters_of(text))
+                units.append(text if text.isalpha() else readings(text))
         self._learn_units(list(set(units) - self.units.keys()))
         # Number of the kernel row (0: none), whether it is a single letter, whether it ends a sentence.
         ends = [(len(u) == 1) | (2 * (t[-1] in b".!?")) for u, t in zip(units, tokens)]

@@ -35,6 +35,11 @@ def test_kernel_equals_brute_force():
     assert got["^idiot"][0] > 0.999 and got["^idxiot"][0] > 0.4 and "^aaaa" not in got
 
 
+def test_readings_of_a_token():
+    assert toxicity.readings("You-Absolute-Idiot") == "youabsoluteidiot you absolute idiot"
+    assert [toxicity.readings(x) for x in ("cl-own", "i.d.i.o.t", "12", "7idiot", "a-")] == ["clown own", "idiot", "", "idiot", "a"]
+
+
 def corpus(n=700, seed=3):
     rng = random.Random(seed)
     vocab = ["".join(rng.choice("aeilnorstdhm") for _ in range(rng.randrange(3, 9))) for _ in range(500)]
@@ -54,16 +59,16 @@ def corpus(n=700, seed=3):
 
 def test_held_out_accuracy_and_gapped_insults(spark):
     texts, toxic = corpus()
-    extra = ["la lenno i d i o t ras m o r o n sitola. henna", "ratto idxiot lenna mor.on. ssira clo-wn rat", "", None, "12 !!"]
+    extra = ["la lenno i d i o t ras m o r o n sitola. henna", "ratto idxiot lenna mor.on. ssira clo-wn rat"]
+    extra += ["la lenno idiot/moron/clown sitola", "ratto lenna you-absolute-idiot, see moron...dorle", "", None, "12 !!"]
     df = clashing(documents(spark, texts + extra), "row", "score", "body")
     labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     rows = {r["doc_id"]: r for r in plain(toxicity.digest(df, labels))}
-    assert len(rows) == len(texts) + 5
+    assert len(rows) == len(texts) + 7
     held = [i for i in range(len(texts)) if rows[i]["held_out"]]
     assert len(held) > 90 and np.mean([rows[i]["predicted"] == toxic[i] for i in held]) > 0.97
     n = len(texts)
-    assert rows[n]["predicted"] == 1 and rows[n + 1]["predicted"] == 1
-    assert all(rows[n + k]["predicted"] == 0 for k in (2, 3, 4))
+    assert [rows[n + k]["predicted"] for k in range(7)] == [1, 1, 1, 1, 0, 0, 0]
     kept = toxicity.clean_rows(df, labels)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r["score"] < 0.5}
