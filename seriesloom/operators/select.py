@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quantiles import exact_quantiles
+from seriesloom.session import materialize
 
 
 def stable_order(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
@@ -36,22 +37,22 @@ def spaced_top_k(
     At most one pick can lie in a cell of width ``separation``, and the best-ranked row of a cell
     beats the others of that cell unless an earlier pick blocks it. Picks are found in ``k`` rounds:
     each takes the best remaining row per group and drops what it blocks, so a group is only ever
-    reduced, never gathered. With ``complete`` a group that cannot fill ``k`` picks yields none.
+    reduced, never gathered. The picks of a round are written, one row per group, so the plan of a round
+    does not hold those before it; jobs run when called. With ``complete`` a group that cannot fill ``k`` picks yields none.
     """
     keys = list(keys)
     rank = F.struct(*order)
     pool = df.select(*keys, F.col(position).alias("__x"), rank.alias("__rank"), F.struct(*carry).alias("__row"))
     best = lambda d: d.groupBy(*keys).agg(F.min(F.struct("__rank", "__x", "__row")).alias("b"))
-    chosen = best(pool).select(*keys, F.array("b").alias("__picks"))
+    pool = materialize(pool)
+    chosen = materialize(best(pool).select(*keys, F.array("b").alias("__picks")))
     for _ in range(k - 1):
         free = pool.join(chosen, keys).filter(
             F.forall("__picks", lambda p: F.abs(p["__x"] - F.col("__x")) >= separation)
         )
         nxt = best(free)
-        chosen = chosen.join(nxt, keys, "left").select(
-            *keys,
-            F.when(F.col("b").isNotNull(), F.concat("__picks", F.array("b"))).otherwise(F.col("__picks")).alias("__picks"),
-        )
+        longer = F.when(F.col("b").isNotNull(), F.concat("__picks", F.array("b"))).otherwise(F.col("__picks"))
+        chosen = materialize(chosen.join(nxt, keys, "left").select(*keys, longer.alias("__picks")))
     if complete:
         chosen = chosen.filter(F.size("__picks") == k)
     return chosen.select(*keys, F.posexplode("__picks").alias("i", "p")).select(
