@@ -236,8 +236,9 @@ def base_gap(df: DataFrame, keys: Sequence[str], gap: str = "gap") -> DataFrame:
     """Spacing that explains most gaps: best grid value by (matches, smallest median relative
     error, value), refined to the median of its matching gaps.
 
-    Each gap is copied only to the grid values it matches, and copies are counted map-side. The
-    useful gaps and the result are written out, as several later steps read them.
+    Each gap is copied only to the grid values it matches, and copies are counted map-side. Medians are
+    taken only for grid values with the most matches of their group. What several later steps read is
+    written out.
     """
     keys = list(keys)
     useful = materialize(
@@ -247,23 +248,29 @@ def base_gap(df: DataFrame, keys: Sequence[str], gap: str = "gap") -> DataFrame:
     )
     step = (GRID_TO - GRID_FROM) / (GRID_SIZE - 1)
     g = F.col("g")
+    rel = F.abs(g / F.col("candidate") - 1)
     low = F.greatest(F.floor((g / (1 + GRID_MATCH) - GRID_FROM) / step) - 1, F.lit(0))
     high = F.least(F.ceil((g / (1 - GRID_MATCH) - GRID_FROM) / step) + 1, F.lit(GRID_SIZE - 1))
     matched = (
-        useful.withColumn("k", F.explode(F.sequence(low, high)))
-        .withColumn("candidate", F.lit(GRID_FROM) + F.col("k") * F.lit(step))
-        .withColumn("rel", F.abs(g / F.col("candidate") - 1))
-        .filter(F.col("rel") <= GRID_MATCH)
+        useful.withColumn("__k", F.explode(F.sequence(low, high)))
+        .withColumn("candidate", F.lit(GRID_FROM) + F.col("__k") * F.lit(step))
+        .filter(rel <= GRID_MATCH)
     )
     enough = useful.groupBy(*keys).agg(F.count(F.lit(1)).alias("useful")).filter("useful >= 3")
     votes = matched.groupBy(*keys, "candidate").agg(F.count(F.lit(1)).alias("votes")).filter("votes >= 2")
-    medians = exact_quantiles(matched, [*keys, "candidate"], "rel", [0.5])
-    best = (
-        votes.join(medians, [*keys, "candidate"])
-        .groupBy(*keys)
-        .agg(F.max(F.struct("votes", (-F.col("quantile")).alias("q"), "candidate")).alias("b"))
+    # A list holds at most the grid.
+    most = votes.groupBy(*keys).agg(F.collect_list(F.struct("votes", "candidate")).alias("all"))
+    top = materialize(
+        most.join(enough, keys, "left_semi")
+        .select(*keys, F.explode(F.expr("filter(all, x -> x.votes = array_max(all).votes)")).alias("t"))
+        .select(*keys, "t.*")
+    )
+    near = useful.join(top, keys).filter(rel <= GRID_MATCH)
+    medians = exact_quantiles(near, [*keys, "candidate", "votes"], rel, [0.5])
+    best = materialize(
+        medians.groupBy(*keys)
+        .agg(F.max(F.struct((-F.col("quantile")).alias("q"), "candidate", "votes")).alias("b"))
         .select(*keys, F.col("b.candidate").alias("candidate"), F.col("b.votes").alias("votes"))
-        .join(enough, keys, "left_semi")
     )
     final = useful.join(best, keys).filter(F.abs(g / F.col("candidate") - 1) <= GRID_MATCH)
     return materialize(best.join(quantile_columns(final, keys, "g", {"base_gap": 0.5}), keys))
@@ -277,10 +284,10 @@ def best_run(df: DataFrame, keys: Sequence[str], base: DataFrame) -> DataFrame:
     """Marks of the best unbroken run per group, by (length, summed score, span, lowest start)."""
     keys = list(keys)
     order = SeriesOrder.by_value(tuple(keys), "y", ("x",))
-    marks = gaps(df, keys).join(base.select(*keys, "base_gap"), keys)
+    marks = materialize(gaps(df, keys).join(base.select(*keys, "base_gap"), keys))
     ratio = F.col("gap") / F.col("base_gap")
     breaks = F.when(ratio.between(RUN_LOW, RUN_HIGH), 0).otherwise(1).cast("bigint")
-    marks = running(marks, order, {"run": ("sum", breaks)})
+    marks = materialize(running(marks, order, {"run": ("sum", breaks)}))
     runs = marks.groupBy(*keys, "run").agg(
         F.count(F.lit(1)).alias("len"),
         F.sum("component_score").alias("score"),
@@ -303,7 +310,7 @@ def band_levels(df: DataFrame, keys: Sequence[str], interval: float = FT_TO_CM)
     step = F.when(F.col("gap").isNull(), F.lit(0.0)).otherwise(
         F.greatest(F.lit(1.0), F.rint(F.col("gap") / F.col("base_gap")))
     )
-    levels = running(df, order, {"level": ("sum", step.cast("bigint"))})
+    levels = materialize(running(materialize(df), order, {"level": ("sum", step.cast("bigint"))}))
     deepest = levels.groupBy(*keys).agg(F.max("level").alias("__max"))
     return (
         levels.join(deepest, keys)
@@ -315,7 +322,7 @@ def band_levels(df: DataFrame, keys: Sequence[str], interval: float = FT_TO_CM)
 def sequence_metrics(df: DataFrame, keys: Sequence[str], base: DataFrame) -> DataFrame:
     """Straightness, spacing regularity and span of a mark sequence, with the accept rule."""
     keys = list(keys)
-    marks = gaps(df, keys).join(base.select(*keys, "base_gap"), keys)
+    marks = materialize(gaps(df, keys).join(base.select(*keys, "base_gap"), keys))
     line = marks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("marks"),
         F.first("base_gap").alias("base_gap"),
