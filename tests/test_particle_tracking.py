@@ -218,3 +218,11 @@ def test_line_consensus_finds_seven_bands():
     score, marks, info = best_line(np.vstack([bands, clutter]))
     np.testing.assert_allclose(marks[:, 1], bands[:, 1])
     assert info["base_gap"] == pytest.approx(50) and info["regularity"] < 1e-9
+
+
+def test_calibration_reads_filtered_rows_that_were_written_once(spark, folder):
+    from seriesloom.plans import catalog
+
+    d = catalog.QUERIES["t02_forecast_quantile_calibration"](spark, folder)
+    assert "InPandas" not in d._jdf.queryExecution().toString()
+    assert [r["level_percent"] for r in d.orderBy("level_percent").collect()] == [50, 95]
