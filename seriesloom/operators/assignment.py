@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,27 +16,75 @@ from seriesloom.operators.ordering import SeriesOrder, previous, running
 from seriesloom.session import materialize, sorted_by_key, spread_by_key
 
 
+CELLS = 1 << 22  # cells of the alignment table whose marks are held at once, unless rows are very wide
+
+
 def match_on_line(left: np.ndarray, right: np.ndarray, gate: float) -> list[tuple[int, int]]:
     """Most pairs within the gate, and among those the least total distance, of sorted positions.
 
-    On a line some best matching keeps both orders, so an alignment table finds it.
+    On a line some best matching keeps both orders, so an alignment table finds it. A row of the table differs
+    from the one before only where ``right`` is within the gate, and is level beyond; only these cells are
+    computed, in one running row. The way back needs two marks for each cell: rows are taken in blocks, the
+    running row is kept at the start of each, and a block's marks are made again when the way back gets there.
     """
-    prize = gate * (min(len(left), len(right)) + 1) + 1.0
-    gain = np.abs(left[:, None] - right[None, :])
-    gain = np.where(gain <= gate, prize - gain, -np.inf)
-    best = np.zeros((len(left) + 1, len(right) + 1))
-    for i in range(len(left)):
-        row = np.maximum(best[i, 1:], best[i, :-1] + gain[i])
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(row, 0.0))
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
+    n, m = len(left), len(right)
+    if not n or not m:
+        return []
+    prize = gate * (min(n, m) + 1) + 1.0
+    slack = 1e-9 * (np.abs(left) + gate)  # never too narrow; the gate itself is applied to the distances
+    low = np.searchsorted(right, left - gate - slack, side="left")
+    high = np.maximum.accumulate(np.searchsorted(right, left + gate + slack, side="right"))
+    width = high - low
+    most = max(CELLS, int(math.sqrt(4.0 * width.sum() * width.max())))
+    block = np.cumsum(width) // most
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+
+    best = np.zeros(m + 1)
+    known = 0  # the running row is level from here on
+
+    def step(i: int, known: int, marks: list | None = None) -> int:
+        lo, hi = low[i], high[i]
+        if hi > known:
+            best[known + 1 : hi + 1] = best[known]
+            known = hi
+        if lo == hi:
+            if marks is not None:
+                marks.append(None)
+            return known
+        gain = np.abs(left[i] - right[lo:hi])
+        gain = np.where(gain <= gate, prize - gain, -np.inf)
+        row = np.maximum.accumulate(np.maximum(best[lo + 1 : hi + 1], best[lo:hi] + gain))
+        if marks is not None:
+            above = row == best[lo + 1 : hi + 1]
+            beside = np.empty(hi - lo, bool)
+            beside[0], beside[1:] = row[0] == best[lo], row[1:] == row[:-1]
+            marks.append((above, beside))
+        best[lo + 1 : hi + 1] = row
+        return known
+
+    kept = []
+    for first, last in zip(starts, [*starts[1:], n]):
+        at = min(low[first], known)
+        kept.append((known, at, best[at : known + 1].copy()))
+        for i in range(first, last):
+            known = step(i, known)
+    pairs, j = [], m
+    for first, last, (known, at, row) in zip(starts[::-1], [n, *starts[:0:-1]], kept[::-1]):
+        best[at : known + 1] = row
+        marks: list = []
+        for i in range(first, last):
+            known = step(i, known, marks)
+        for i in range(last - 1, first - 1, -1):
+            if marks[i - first] is None:
+                continue
+            lo, (above, beside) = low[i], marks[i - first]
+            if j > high[i] and not above[-1]:
+                j = int(high[i])
+            while lo < j <= high[i] and not above[j - 1 - lo]:
+                j -= 1
+                if not beside[j - lo]:
+                    pairs.append((i, j))
+                    break
     return pairs[::-1]
 
 

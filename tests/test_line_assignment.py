@@ -1,12 +1,14 @@
 """Assignment on a line: all pairs first, gate afterwards."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from seriesloom.operators.assignment import LineMatcher, assign_by_position, assign_then_gate
+from seriesloom.operators import assignment
+from seriesloom.operators.assignment import LineMatcher, assign_by_position, assign_then_gate, match_on_line
 
 
 def least(a, b):
@@ -82,3 +84,48 @@ def test_one_group_with_many_points_streams(spark):
     for v in x:
         cost = np.append(np.inf, np.minimum.accumulate(cost[:-1] + np.abs(v - y)))
     assert got.distance.sum() == pytest.approx(cost[-1]) and got.aid.is_unique and len(got) == len(x)
+
+
+def whole_table(left, right, gate):
+    """The alignment table with all its cells."""
+    prize = gate * (min(len(left), len(right)) + 1) + 1.0
+    gain = np.abs(left[:, None] - right[None, :])
+    gain = np.where(gain <= gate, prize - gain, -np.inf)
+    best = np.zeros((len(left) + 1, len(right) + 1))
+    for i in range(len(left)):
+        row = np.maximum(best[i, 1:], best[i, :-1] + gain[i])
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(row, 0.0))
+    pairs, i, j = [], len(left), len(right)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 22])
+def test_gated_match_equals_the_whole_table(monkeypatch, cells):
+    monkeypatch.setattr(assignment, "CELLS", cells)
+    rng = np.random.default_rng(11)
+    for k in range(1500):
+        n, m = rng.integers(0, 40, 2)
+        span = float(rng.choice([5, 60, 400]))
+        draw = (lambda size: rng.integers(0, span, size).astype(float)) if k % 2 else (lambda size: np.round(rng.random(size) * span, 2))
+        a, b = np.sort(draw(n)), np.sort(draw(m))
+        gate = float(rng.choice([0.0, 1.0, 7.0, 80.0]))
+        assert match_on_line(a, b, gate) == whole_table(a, b, gate)
+
+
+def test_memory_of_a_large_piece_follows_its_points():
+    """Its whole table has 180 million cells, more than 2.8 GB with the distances."""
+    rng = np.random.default_rng(12)
+    a, b = np.sort(rng.random(4_000) * 11_000), np.sort(rng.random(45_000) * 11_000)
+    tracemalloc.start()
+    pairs = match_on_line(a, b, 80.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == len(a) and peak < 64 << 20
