@@ -7,6 +7,7 @@ are spread over tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -25,13 +26,19 @@ MIN_RISE, MAX_SLOPE, ALIGN_PX, MERGE_PX, MIN_BANDS = 70.0, 0.35, 7.0, 8.0, 5
 MAX_LINE_RMSE, MAX_IRREGULAR, MIN_SPAN = 8.0, 0.32, 90.0
 PER_BAND, PER_SPAN, PER_AREA, PER_RMSE, PER_IRREGULAR = 25.0, 0.08, 0.05, -8.0, -35.0
 BLOCK = 512  # seed marks of one task
+RATED = 64 << 20  # bytes of names of rated sets a task keeps
 GRID = np.linspace(GRID_FROM, GRID_TO, GRID_SIZE)
 
 
 def merged_marks(marks: np.ndarray) -> np.ndarray:
     """Columns x, y, area, score; rows closer than the merge limit become one."""
-    marks = marks[np.argsort(marks[:, 1], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(np.diff(marks[:, 1]) > MERGE_PX)])
+    return _merged(marks[np.argsort(marks[:, 1], kind="stable")])
+
+
+def _merged(marks: np.ndarray) -> np.ndarray:
+    """As :func:`merged_marks`, of marks already in the order of their rows."""
+    y = marks[:, 1]
+    group = np.concatenate([[0], np.cumsum(y[1:] - y[:-1] > MERGE_PX)])
     area = np.bincount(group, marks[:, 2])
     mean = lambda c: np.bincount(group, marks[:, c] * marks[:, 2]) / area
     score = np.full(len(area), -np.inf)
@@ -39,51 +46,84 @@ def merged_marks(marks: np.ndarray) -> np.ndarray:
     return np.column_stack([mean(0), mean(1), area, score])
 
 
+def _median(values: np.ndarray) -> float:
+    """``np.median`` without its checks, which cost more than a few values."""
+    n = len(values)
+    ordered = np.sort(values)
+    return float((ordered[(n - 1) // 2] + ordered[n // 2]) / 2)
+
+
 def spacing(gaps: np.ndarray) -> float | None:
     useful = gaps[(gaps >= GRID_FROM) & (gaps <= GRID_TO)]
     if len(useful) < 3:
         return None
-    rel = np.abs(useful[None, :] / GRID[:, None] - 1)
+    rel = useful[:, None] / GRID  # one gap a row, so that votes add up whole rows
+    rel -= 1
+    np.abs(rel, out=rel)
     near = rel <= GRID_MATCH
-    votes = near.sum(axis=1)
-    if votes.max() < 2:
-        return None
+    votes = np.add.reduce(near.view(np.uint8), axis=0, dtype=np.int32)
     most = int(votes.max())
+    if most < 2:
+        return None
     top = np.flatnonzero(votes == most)
-    ranked = np.sort(np.where(near[top], rel[top], np.inf), axis=1)
-    middle = (ranked[:, (most - 1) // 2] + ranked[:, most // 2]) / 2
-    best = top[np.flatnonzero(middle == middle.min())[-1]]
-    return float(np.median(useful[near[best]]))
+    best = top[0]
+    if len(top) > 1:
+        ranked = np.sort(np.where(near[:, top], rel[:, top], np.inf), axis=0)
+        middle = (ranked[(most - 1) // 2] + ranked[most // 2]) / 2
+        best = top[np.flatnonzero(middle == middle.min())[-1]]
+    return _median(useful[near[:, best]])
 
 
 def longest_run(marks: np.ndarray, base: float) -> np.ndarray:
-    ratio = np.diff(marks[:, 1]) / base
-    breaks = np.flatnonzero((ratio < RUN_LOW) | (ratio > RUN_HIGH)) + 1
-    runs = np.split(marks, breaks)
-    return max(runs, key=lambda r: (len(r), r[:, 3].sum(), r[-1, 1] - r[0, 1]))
+    y = marks[:, 1]
+    ratio = (y[1:] - y[:-1]) / base
+    breaks = (np.flatnonzero((ratio < RUN_LOW) | (ratio > RUN_HIGH)) + 1).tolist()
+    if not breaks:
+        return marks
+    ends = list(zip([0, *breaks], [*breaks, len(marks)]))
+    most = max(stop - first for first, stop in ends)
+    runs = [marks[first:stop] for first, stop in ends if stop - first == most]
+    return max(runs, key=lambda r: (r[:, 3].sum(), r[-1, 1] - r[0, 1])) if len(runs) > 1 else runs[0]
 
 
 def rate(marks: np.ndarray) -> tuple[float, np.ndarray, dict] | None:
     """Score of the sequence among some aligned marks, or nothing when it is not acceptable."""
-    marks = merged_marks(marks)
-    if len(marks) >= MIN_BANDS:
-        base = spacing(np.diff(marks[:, 1]))
-        if base is not None:
-            marks = longest_run(marks, base)
+    return _rate(marks[np.argsort(marks[:, 1], kind="stable")], -math.inf)
+
+
+def _rate(marks: np.ndarray, least: float) -> tuple[float, np.ndarray, dict] | None:
+    """As :func:`rate`, of marks in the order of their rows; nothing also where ``least`` is out of reach."""
+    marks = _merged(marks)
     if len(marks) < MIN_BANDS:
         return None
-    gaps = np.diff(marks[:, 1])
+    y = marks[:, 1]
+    gaps = y[1:] - y[:-1]
     base = spacing(gaps)
     if base is None:
         return None
-    x, y = marks[:, 0], marks[:, 1]
-    slope = np.cov(x, y, bias=True)[0, 1] / y.var()
-    rmse = float(np.sqrt(np.mean((x - x.mean() - slope * (y - y.mean())) ** 2)))
-    irregular, span = float(np.median(np.abs(gaps / base - 1))), float(np.ptp(y))
-    if rmse > MAX_LINE_RMSE or irregular > MAX_IRREGULAR or span < MIN_SPAN:
+    run = longest_run(marks, base)
+    x, y = run[:, 0], run[:, 1]
+    span = float(y[-1] - y[0])
+    if len(run) < MIN_BANDS or span < MIN_SPAN:
         return None
-    score = PER_BAND * len(marks) + PER_SPAN * span + PER_AREA * marks[:, 2].mean() + PER_RMSE * rmse + PER_IRREGULAR * irregular
-    return float(score), marks, {"base_gap": base, "regularity": irregular, "line_rmse": rmse, "span": span}
+    # What is left takes points off.
+    reach = PER_BAND * len(run) + PER_SPAN * span + PER_AREA * run[:, 2].mean()
+    if reach < least:
+        return None
+    dx, dy = x - x.mean(), y - y.mean()
+    rmse = float(np.sqrt(np.mean((dx - (dx @ dy) / (dy @ dy) * dy) ** 2)))
+    if rmse > MAX_LINE_RMSE or reach + PER_RMSE * rmse < least:
+        return None
+    if len(run) < len(marks):
+        gaps = y[1:] - y[:-1]
+        base = spacing(gaps)
+        if base is None:
+            return None
+    irregular = _median(np.abs(gaps / base - 1))
+    if irregular > MAX_IRREGULAR:
+        return None
+    score = reach + PER_RMSE * rmse + PER_IRREGULAR * irregular
+    return float(score), run, {"base_gap": base, "regularity": irregular, "line_rmse": rmse, "span": span}
 
 
 @dataclass
@@ -134,29 +174,34 @@ def best_of(marks: np.ndarray, seeds: Iterable[int]) -> Line | None:
     """Best sequence over the lines through one of ``seeds`` and a later mark; equal sets of marks are rated once."""
     best: Line | None = None
     level: dict[bytes, Line] = {}  # sets that share the best score so far
-    rated: set[bytes] = set()  # of one mark's lines
-    y, area = marks[:, 1], marks[:, 2]
+    rated: set[bytes] = set()  # emptied now and then, so that it stays small
+    order = np.argsort(marks[:, 1], kind="stable")
+    rows = marks[order]
+    y, area = rows[:, 1], rows[:, 2]
     for i in seeds:
         partners, slopes, bounds = promises(marks, i)
-        rated.clear()
+        if len(rated) * len(marks) > RATED:
+            rated.clear()
         for at in np.argsort(-bounds, kind="stable"):
             if best is not None and bounds[at] < best.score:
                 break
-            inside = aligned(marks, i, slopes[at])
-            if inside.sum() < MIN_BANDS:
+            inside = aligned(marks, i, slopes[at])[order]
+            many = int(np.count_nonzero(inside))
+            if many < MIN_BANDS:
                 continue
-            if best is not None:
-                bound = PER_BAND * inside.sum() + PER_SPAN * np.ptp(y[inside]) + PER_AREA * area[inside].sum() * (1 + 1e-9) / MIN_BANDS
-                if bound < best.score:
-                    continue
             name, seed = inside.tobytes(), (int(i), int(partners[at]))
             if name in level:
                 level[name].seed = min(level[name].seed, seed)
                 continue
             if name in rated:
                 continue
+            if best is not None:
+                held = y[inside]
+                bound = PER_BAND * many + PER_SPAN * (held[-1] - held[0]) + PER_AREA * area[inside].sum() * (1 + 1e-9) / MIN_BANDS
+                if bound < best.score:
+                    continue
             rated.add(name)
-            got = rate(marks[inside])
+            got = _rate(rows[inside], best.score if best is not None else -math.inf)
             if got is None or (best is not None and got[0] < best.score):
                 continue
             line = Line(got[0], seed, *got[1:])

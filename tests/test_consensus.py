@@ -98,3 +98,30 @@ def test_one_image_with_most_marks_is_many_tasks(spark):
     score, own, _ = C.best_line(hot[np.lexsort((np.arange(len(hot)), -hot[:, 3]))])
     assert got["hot"][0][0] == score and len(got["hot"]) == len(own)
     assert df.filter(F.col("image") == "hot").count() > df.count() / 3
+
+
+def test_a_set_of_marks_is_rated_once_whatever_seeds_find_it(monkeypatch):
+    """Bands of even rows hold many pairs, and most pairs of a pole find the same marks."""
+    rng = np.random.default_rng(4)
+    n = 40
+    marks = np.column_stack([320 + np.arange(n) % 7 * 0.8, np.arange(n) * 24 + rng.integers(0, 4, n), 50.0 + np.arange(n) % 13, 1.0 + np.arange(n) % 11])
+    seen = []
+    own = C._rate
+    monkeypatch.setattr(C, "_rate", lambda rows, least: seen.append(rows.tobytes()) or own(rows, least))
+    found = C.best_of(marks, range(n))
+    assert len(seen) == len(set(seen)) > 0
+    got = own(marks[np.argsort(marks[:, 1], kind="stable")], -np.inf)
+    assert found.score >= got[0]
+
+
+def test_a_rating_out_of_reach_is_given_up_and_others_are_whole():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(5, 40))
+        marks = np.column_stack([320 + rng.random(n) * 6, np.cumsum(rng.choice([4.0, 24.0, 25.0, 27.0, 60.0], n)), rng.random(n) * 50 + 1, rng.random(n)])
+        whole = C.rate(marks)
+        if whole is None:
+            continue
+        assert C._rate(marks, whole[0])[0] == whole[0]
+        short = C._rate(marks, whole[0] + 1e-6)
+        assert short is None or short[0] == whole[0]
