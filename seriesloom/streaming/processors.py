@@ -16,6 +16,7 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,12 @@ def with_clock(stream: DataFrame, time: str, delay: str) -> DataFrame:
 
 
 class Keyed(StatefulProcessor):
-    """A key's clock and its timer; rows are handed on in event order."""
+    """A key's clock and its timer; rows are handed on in event order.
+
+    A key has one timer, set by its first row and not moved by later ones: when it goes off too early, it is set
+    again for the key's last time. Every call to the state is a trip to the JVM, so each thing is read and
+    written once for a key and micro-batch.
+    """
 
     def __init__(self, order: Sequence[str], idle: str | None):
         self.order = list(order)
@@ -56,17 +62,26 @@ class Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", "us long")
+        self.clock = handle.getValueState("clock", "us long, timer long")
 
     def close(self) -> None:
         pass
 
-    def now(self) -> int | None:
-        return self.clock.get()[0] if self.clock.exists() else None
+    def now(self) -> tuple[int | None, int | None]:
+        """The key's last time and the time its timer is set for."""
+        return self.clock.get() or (None, None)
 
     def sorted_rows(self, frames: Iterator[pd.DataFrame]) -> list[dict]:
         """One key's rows of a micro-batch, whose size the source's admission limits."""
-        return pd.concat(list(frames), ignore_index=True).sort_values(self.order, kind="mergesort").to_dict("records")
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(rows) > 1:
+            columns = [rows[c].to_numpy() for c in reversed(self.order)]
+            if any(c.dtype == object for c in columns):
+                rows = rows.sort_values(self.order, kind="mergesort")
+            else:
+                rows = rows.take(np.lexsort(columns))
+        return rows.to_dict("records")
 
     def reason(self, us: int, now: int | None, timer_values) -> str | None:
         """Why a row cannot be applied any more, if so."""
@@ -76,24 +91,35 @@ class Keyed(StatefulProcessor):
             return "behind_watermark"
         return None
 
-    def arm(self, now: int | None) -> None:
+    def arm(self, now: int | None, timer: int | None) -> None:
         if now is None:
             return
-        self.clock.update((now,))
-        if self.idle_ms is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(now // 1000 + self.idle_ms)
+        if self.idle_ms is not None and timer is None:
+            timer = now // 1000 + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.clock.update((now, timer))
+
+    def still_busy(self, now: int, timer_values) -> bool:
+        """Whether rows came after the timer was set, so that it is set again."""
+        due = now // 1000 + self.idle_ms
+        if due <= timer_values.getCurrentWatermarkInMs():
+            return False
+        self.arm(now, None)
+        return True
 
 
 def typed(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=schema.names)
+    """Rows by the columns of a schema, made column by column, as keys with few rows are many."""
+    out = {}
     for f in schema.fields:
+        values = [r.get(f.name) for r in rows]
         if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = out[f.name].astype("float64")
+            out[f.name] = np.array(values, "float64")
         elif isinstance(f.dataType, T.LongType):
-            out[f.name] = out[f.name].astype("Int64")
-    return out
+            out[f.name] = pd.array(values, "Int64")
+        else:
+            out[f.name] = values
+    return pd.DataFrame(out, columns=schema.names, copy=False)
 
 
 class FilterProcessor(Keyed):
@@ -111,8 +137,9 @@ class FilterProcessor(Keyed):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = FilterSettings(**{**self.plain, "field": tuple(map(tuple, self.plain["field"]))})
         label = str(key[0])
-        p = Particles.load(bytes(self.particles.get()[0]), label, s) if self.particles.exists() else Particles(label, s)
-        now, out = self.now(), []
+        held = self.particles.get()
+        p = Particles.load(bytes(held[0]), label, s) if held else Particles(label, s)
+        (now, timer), out = self.now(), []
         for r in self.sorted_rows(rows):
             row = {n: r[n] for n in self.names}
             if pd.isna(r[US]):
@@ -127,12 +154,15 @@ class FilterProcessor(Keyed):
             now = us
         if now is not None:
             self.particles.update((p.dump(),))
-        self.arm(now)
+        self.arm(now, timer)
         yield typed(out, self.schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The last word on a series: its key and last time, estimates NULL."""
-        last = pd.Timestamp(self.now(), unit="us", tz="UTC")
+        now, _ = self.now()
+        if self.still_busy(now, timerValues):
+            return
+        last = pd.Timestamp(now, unit="us", tz="UTC")
         self.particles.clear()
         self.clock.clear()
         row = dict.fromkeys(self.schema.names) | {self.entity: key[0], self.time: last, "arrival": "closed"}
@@ -169,13 +199,13 @@ class TrackProcessor(Keyed):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = settings_from(self.plain)
         t = CameraTracker(key[0], s)
-        t.now_us = self.now()
-        t.first_us = self.first.get()[0] if self.first.exists() else None
+        t.now_us, timer = self.now()
+        t.first_us = (self.first.get() or (None,))[0]
         for (number,), (uid, x, root_y, outlier, state) in self.tracks.iterator():
             particles = Particles.load(bytes(state), uid, s.filter) if state else None
             t.tracks.append(Track(number, uid, x, root_y, particles, outlier))
         t.tracks.sort(key=lambda track: track.number)
-        best = tuple(self.best.get()) if self.best.exists() else None
+        best = self.best.get()
         waiting = [tuple(f) for f in self.ahead.get()] if self.ahead.exists() else []
         out: list[dict] = []
         for r in self.sorted_rows(rows):
@@ -207,10 +237,12 @@ class TrackProcessor(Keyed):
         if t.first_us is not None:
             self.first.update((t.first_us,))
         # A camera that has sent only fits has no frame clock; its fits wait until a frame comes.
-        self.arm(t.now_us)
+        self.arm(t.now_us, timer)
         yield rows_to_pandas(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.still_busy(self.now()[0], timerValues):
+            return
         for state in (self.clock, self.first, self.best, self.ahead, self.tracks):
             state.clear()
         yield rows_to_pandas([])

@@ -246,3 +246,15 @@ def test_forecast_quantiles_are_exact_with_few_evaluations(monkeypatch):
             rows += 1
         state.observe(float(v), 5.0, i * 43_200_000_000, 0.065, s.initial_rate, s.initial_rate_sd)
     assert sum(calls) / rows < 28_000
+
+
+@pytest.mark.parametrize("value,sd,p_out", [(80.0, 15.0, 0.065), (300.0, 2.0, 0.065), (80.0, 15.0, 0.0), (5000.0, 3.0, 0.0), (9000.0, 3.0, 0.08)])
+def test_reweighting_by_plain_densities_equals_logarithms(value, sd, p_out):
+    """Also where every density is too small for a plain number."""
+    a, b = (PF.Particles("u", PF.FilterSettings(particles=500)) for _ in range(2))
+    for p in (a, b):
+        p.start(80.0, 12.0, 0, 3.0, 2.0)
+    got, want = a.reweight(value, sd, p_out), b._reweight_far(value, sd, p_out)
+    np.testing.assert_allclose(got, want, rtol=1e-10, atol=1e-12)
+    np.testing.assert_allclose(a.weight, b.weight, rtol=1e-9, atol=1e-15)
+    assert a.ess == pytest.approx(b.ess)

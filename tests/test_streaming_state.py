@@ -1,12 +1,13 @@
 """Processors with named state: calibrated tracking from a stream, late rows, expiry."""
 
 import datetime as dt
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.operators import joins as J
 from seriesloom.operators import particle as PF
@@ -14,6 +15,7 @@ from seriesloom.operators import tracking as TR
 from seriesloom.plans import states
 from seriesloom.plans.registry import Tables
 from seriesloom.streaming import stateful as ST
+from seriesloom.streaming.processors import US, FilterProcessor
 
 FEW = PF.FilterSettings(particles=60, quantiles=False)
 SETTINGS = replace(TR.TrackSettings(expected=2), scale=None, filter=replace(TR.APP_FILTER, particles=80))
@@ -150,3 +152,79 @@ def test_linear_filter_in_the_selection_and_truth_of_its_own(spark):
         gain = cov[:, 0] / (cov[0, 0] + settings.base_sd**2 / confidence)
         state, cov = state + gain * (value - state[0]), cov - np.outer(gain, cov[0])
     assert got.guided_height.iloc[-1] == pytest.approx(state[0])
+
+
+class Box:
+    """A state variable of one key that counts what is asked of it."""
+
+    def __init__(self, calls, name):
+        self.calls, self.name, self.value = calls, name, None
+
+    def get(self):
+        self.calls.append(("get", self.name))
+        return self.value
+
+    def exists(self):
+        self.calls.append(("exists", self.name))
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append(("update", self.name))
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getValueState(self, name, schema):
+        return Box(self.calls, name)
+
+    def registerTimer(self, at):
+        self.calls.append(("timer", at))
+        self.timers.append(at)
+
+    def listTimers(self):
+        self.calls.append(("list", None))
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.calls.append(("delete", at))
+        self.timers.remove(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_key_asks_its_state_once_a_batch_and_keeps_one_timer():
+    schema = T.StructType(
+        [T.StructField("u", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.DoubleType()), *PF.output_fields(), T.StructField("arrival", T.StringType())]
+    )
+    plain = asdict(PF.FilterSettings(particles=50, quantiles=False))
+    step, handle = FilterProcessor(plain, ["u", "ts", "v"], "ts", "v", "u", [], {}, schema, "12 hours"), Handle()
+    step.init(handle)
+    hour = 3_600_000
+
+    def batch(*hours):
+        us = [h * hour * 1000 for h in hours]
+        return iter([pd.DataFrame({"u": 1, "ts": pd.to_datetime(us, unit="us", utc=True), "v": 10.0, US: us})])
+
+    for hours in ((2, 1), (9, 5)):
+        handle.calls.clear()
+        (out,) = step.handleInputRows((1,), batch(*hours), Mark(0))
+        assert out.arrival.tolist() == ["applied"] * 2 and out.predictive_mean_cm.dtype == "float64"
+        assert sum(kind != "timer" for kind, _ in handle.calls) == 4
+    assert handle.timers == [14 * hour]  # of the first batch's last time
+    # Rows came after it was set: it is set again for the last time, and closes the key only then.
+    assert list(step.handleExpiredTimer((1,), Mark(15 * hour), None)) == [] and handle.timers[-1] == 21 * hour
+    (last,) = step.handleExpiredTimer((1,), Mark(21 * hour), None)
+    assert last.arrival.tolist() == ["closed"] and last.ts[0] == pd.Timestamp(9 * hour, unit="ms", tz="UTC")
+    assert step.now() == (None, None)
