@@ -260,3 +260,18 @@ def test_manifest_of_a_file_above_two_gigabytes(spark, tmp_path):
     digest.update(tail)
     row = IO.file_manifest(spark, str(tmp_path)).first()
     assert (row.filename, row.length, row.sha256) == ("sparse.bin", size, digest.hexdigest())
+
+
+def test_annotations_are_compressed_and_divided_and_read_back(spark, tmp_path, monkeypatch):
+    """Files of a limited number of images, small beside their text; names without the whole ending."""
+    from seriesloom.sources import tables as S
+
+    monkeypatch.setattr(S, "IMAGES_PER_FILE", 500)
+    line = "struct('pole 1' AS _label, concat(id, ',1;', id, ',5') AS _points, CAST(NULL AS ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>) AS attribute)"
+    images = spark.range(0, 2000, 1, 2).selectExpr("concat('i', id) AS _name", "640L AS _width", "480L AS _height", f"array({line}) AS polyline")
+    S.write_annotations(images, str(tmp_path / "a"))
+    files = list((tmp_path / "a").glob("part-*"))
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < 2000 * 30
+    back = S.read_polylines(spark, str(tmp_path / "a")).toPandas()
+    assert len(back) == 2000 and back.image_name.is_unique and set(back.polyline_length_px) == {4.0}
+    assert {r + ".xml.gz" for r in back.row_id} == set(back.source_xml) == {f.name for f in files}
