@@ -141,21 +141,59 @@ def token_match(names: DataFrame, ids: DataFrame, name: str, key: str) -> DataFr
 
 
 def pair_length_errors(
-    df: DataFrame, keys: Sequence[str], truth: str, prediction: str, ties: Sequence[str]
+    df: DataFrame, keys: Sequence[str], truth: str, prediction: str, ties: Sequence[str], at_once: int = 64
 ) -> DataFrame:
-    """Errors |p_i - p_j| - |t_i - t_j| over all unordered pairs of a group, without forming them.
+    """Errors |p_i - p_j| - |t_i - t_j| over all unordered pairs of a group.
 
-    The sum of absolute differences of a column follows from its ranks, and the absolute error of a
+    Groups of up to ``at_once`` rows are paired inside one row that holds their points. Larger ones are
+    rated from ranks, without forming their pairs (:func:`_pair_errors_by_rank`). Rows without a truth or a
+    prediction count in ``pairs`` only; rows without a key are in no group.
+    """
+    keys = list(keys)
+    rows = df.select(
+        *keys, *ties, F.col(truth).cast("double").alias("__t"), F.col(prediction).cast("double").alias("__p")
+    ).dropna(subset=keys)
+    both = F.col("__t").isNotNull() & F.col("__p").isNotNull()
+    large = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.avg(F.when(both, F.col("__t"))).alias("__mt"),
+        F.avg(F.when(both, F.col("__p"))).alias("__mp"),
+    )
+    large = materialize(large.filter(F.col("__rows") > at_once))
+    points = F.collect_list(F.struct("__t", "__p")).alias("__a")
+    small = rows.join(large.select(*keys), keys, "left_anti").groupBy(*keys).agg(points).filter("size(__a) >= 2")
+    errors = (
+        "filter(flatten(transform(__a, (x, i) -> transform(slice(__a, i + 2, size(__a)), "
+        "y -> abs(y.__p - x.__p) - abs(y.__t - x.__t)))), e -> e IS NOT NULL)"
+    )
+    total = lambda term: F.expr(f"aggregate(__e, 0D, (s, e) -> s + {term})") / F.expr("nullif(size(__e), 0)")
+    n = F.size("__a").cast("bigint")
+    paired = small.withColumn("__e", F.expr(errors)).select(
+        *keys,
+        (n * (n - 1) / 2).cast("bigint").alias("pairs"),
+        total("e").alias("bias"),
+        total("abs(e)").alias("mae"),
+        F.sqrt(total("e * e")).alias("rmse"),
+    )
+    if large.isEmpty():
+        return paired
+    # Centred, so that the sums lose no digits to an offset that all rows of a group share.
+    centred = rows.filter(both).join(large, keys).withColumns({"__t": F.col("__t") - F.col("__mt"), "__p": F.col("__p") - F.col("__mp")})
+    ranked = _pair_errors_by_rank(centred.drop("__rows", "__mt", "__mp"), keys, ties)
+    m = F.col("__rows")
+    ranked = large.join(ranked, keys, "left").select(*keys, (m * (m - 1) / 2).cast("bigint").alias("pairs"), "bias", "mae", "rmse")
+    return paired.unionByName(ranked)
+
+
+def _pair_errors_by_rank(rows: DataFrame, keys: list[str], ties: Sequence[str]) -> DataFrame:
+    """The sum of absolute differences of a column follows from its ranks, and the absolute error of a
     pair is a sum of such differences: ||dp| - |dt|| = |d(p+t)| + |d(p-t)| - |dp| - |dt|. The squares sum
     to those of the differences of e = p - t, but for pairs whose order p and t disagree on: there
     4 |dp dt| is too much. That is found by halving the ranks of t level by level: of two rows whose
     ranks part at a level, the lower one counts where its p is larger, and running sums in the order of
     p give all of these at once. Rows are copied once for each level, never to each other.
     """
-    keys = list(keys)
-    rows = df.select(
-        *keys, *ties, F.col(truth).cast("double").alias("__t"), F.col(prediction).cast("double").alias("__p")
-    ).withColumns({"__e": F.col("__p") - F.col("__t"), "__a": F.col("__p") + F.col("__t")})
+    rows = rows.withColumns({"__e": F.col("__p") - F.col("__t"), "__a": F.col("__p") + F.col("__t")})
     rank = lambda d, column, name: number_rows(d, SeriesOrder.by_value(tuple(keys), column, tuple(ties)), name)
     by_truth = SeriesOrder.by_value(tuple(keys), "__t", tuple(ties))
     ranked = previous(rows, by_truth, {"__p1": ("__p", 1)})
@@ -170,16 +208,13 @@ def pair_length_errors(
         *[product(c) for c in ("__t", "__p", "__e", "__a")],
         F.sum(F.when(F.col("__p") < F.col("__p1"), 1).otherwise(0)).alias("__swaps"),
     )
-    mixed = total.filter("__swaps > 0").select(
-        *keys, F.ceil(F.log2("__n")).cast("int").alias("__levels"), (F.col("__s__t") / F.col("__n")).alias("__mt"), (F.col("__s__p") / F.col("__n")).alias("__mp")
-    )
-    # Centred, so that the sums below lose no digits to a common offset.
+    mixed = total.filter("__swaps > 0").select(*keys, F.ceil(F.log2("__n")).cast("int").alias("__levels"))
     halves = ranked.join(mixed, keys).select(
         *keys,
         *ties,
-        (F.col("__t") - F.col("__mt")).alias("__t"),
-        (F.col("__p") - F.col("__mp")).alias("__p"),
-        (F.col("__mp") - F.col("__p")).alias("__q"),
+        "__t",
+        "__p",
+        (-F.col("__p")).alias("__q"),
         (F.col("__r__t") - 1).alias("__r"),
         F.explode(F.sequence(F.lit(0), F.col("__levels") - 1)).alias("__level"),
     )
@@ -204,7 +239,6 @@ def pair_length_errors(
         .join(fixes, keys, "left")
         .select(
             *keys,
-            pairs.cast("bigint").alias("pairs"),
             ((spread("__p") - spread("__t")) / pairs).alias("bias"),
             ((spread("__a") + spread("__e") - spread("__p") - spread("__t")) / pairs).alias("mae"),
             F.sqrt(F.greatest(squared, F.lit(0.0)) / pairs).alias("rmse"),

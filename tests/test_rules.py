@@ -167,6 +167,29 @@ def test_pair_errors_with_an_outlier_in_a_hot_group(spark):
         assert (row.pairs, row.bias, row.mae, row.rmse) == pytest.approx((len(e), e.mean(), np.abs(e).mean(), np.sqrt((e * e).mean())), rel=1e-6)
 
 
+@pytest.mark.parametrize("at_once", [0, 64])
+@pytest.mark.parametrize("noise", [0.2, 30.0])
+def test_pair_errors_under_a_common_offset(spark, at_once, noise):
+    """Offsets of a group must not cost digits, by pairs or by ranks."""
+    rng = np.random.default_rng(8)
+    d = pd.DataFrame({"g": 1, "t": np.arange(30) // 2 - 4.0, "i": np.arange(30)})
+    d["p"] = d.t + rng.uniform(-noise, noise, 30).round(3) + 2.0**30
+    got = J.pair_length_errors(spark.createDataFrame(d), ["g"], "t", "p", ["i"], at_once).first()
+    i, j = np.triu_indices(30, 1)
+    e = np.abs(d.p.to_numpy()[j] - d.p.to_numpy()[i]) - np.abs(d.t.to_numpy()[j] - d.t.to_numpy()[i])
+    want = (e.mean(), np.abs(e).mean(), np.sqrt((e * e).mean()))
+    assert (got.bias, got.mae, got.rmse) == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("at_once", [0, 64])
+def test_pair_errors_with_missing_values_and_keys(spark, at_once):
+    """As in SQL: a pair without an error counts as a pair, and a row without a key is in none."""
+    rows = [(1, 1.0, 2.0, 0), (1, None, 3.0, 1), (1, 4.0, 9.0, 2), (2, 1.0, None, 3), (2, 1.0, 1.0, 4), (None, 1.0, 1.0, 5), (None, 2.0, 1.0, 6)]
+    d = spark.createDataFrame(rows, "g long, t double, p double, i long")
+    got = {tuple(r) for r in J.pair_length_errors(d, ["g"], "t", "p", ["i"], at_once).collect()}
+    assert got == {(1, 3, 4.0, 4.0, 4.0), (2, 1, None, None, None)}
+
+
 def test_repeated_and_missing_keys_fail_whatever_is_read(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k long, v string")
     b = spark.createDataFrame([(1, "u")], "k long, w string")
