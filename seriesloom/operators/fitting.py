@@ -35,9 +35,8 @@ def fit_projective(
         F.min("__z").alias("min_z"),
         F.max("__z").alias("max_z"),
     )
-    scaled = rows.join(shape.select(*keys, "y_center", "y_scale"), keys).withColumn(
-        "__u", F.when(F.col("y_scale") > 0, (F.col("__y") - F.col("y_center")) / F.col("y_scale"))
-    )
+    scale = F.when(F.col("y_scale") > 0, (F.col("__y") - F.col("y_center")) / F.col("y_scale"))
+    scaled = rows.join(shape.select(*keys, "y_center", "y_scale"), keys).withColumn("__u", scale)
     u, v = F.col("__u"), F.col("__z")
     moments = scaled.groupBy(*keys).agg(
         F.sum(u).alias("u1"),
@@ -62,7 +61,9 @@ def fit_projective(
         *keys,
         *[F.when(F.abs(F.col("s.det")) > 1e-12 * F.col("u2") * F.col("m") * F.col("uuzz"), F.col(f"s.{k}") / F.col("s.det")).alias(k) for k in "abc"],
     )
-    fitted = scaled.join(solved, keys)
+    # Written out (one row a group): the rows then meet them in a stage of their own, with one sort.
+    fits = materialize(shape.join(solved, keys))
+    fitted = rows.join(fits.select(*keys, "y_center", "y_scale", "a", "b", "c"), keys).withColumn("__u", scale)
     den = F.col("c") * u + 1.0
     residual = v - (F.col("a") * u + F.col("b")) / den
     quality = fitted.groupBy(*keys).agg(
@@ -81,8 +82,7 @@ def fit_projective(
     ok = F.col("fit_status") == "ok"
     keep = lambda c: F.when(ok, c)
     return (
-        shape.join(solved, keys)
-        .join(quality, keys)
+        fits.join(quality, keys)
         .withColumn("fit_status", status)
         .select(
             *keys,
@@ -108,11 +108,20 @@ def calibration_table(
 ) -> DataFrame:
     """Fits with the median depth and whether every landmark was verified."""
     keys = list(keys)
-    fits = fit_projective(landmarks, keys, y, z, max_rmse)
-    verified = landmarks.groupBy(*keys).agg(
-        F.bool_and(F.coalesce(F.lower(F.col(status).cast("string")) == "verified", F.lit(False))).alias("all_verified")
+    good = F.coalesce(F.lower(F.col(status).cast("string")) == "verified", F.lit(False))
+    # Written out: the fit and the depths read the landmarks several times.
+    rows = materialize(
+        landmarks.select(
+            *keys,
+            F.col(y).cast("double").alias("__y"),
+            F.col(z).cast("double").alias("__z"),
+            F.col(depth).try_cast("double").alias("__depth"),
+            good.alias("__good"),
+        )
     )
-    depths = quantile_columns(landmarks, keys, F.col(depth).try_cast("double"), {"median_depth": 0.5})
+    fits = fit_projective(rows, keys, "__y", "__z", max_rmse)
+    verified = rows.groupBy(*keys).agg(F.bool_and("__good").alias("all_verified"))
+    depths = quantile_columns(rows, keys, "__depth", {"median_depth": 0.5}, at_once=4096)
     return fits.join(verified, keys).join(depths, keys, "left")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.ordering import SeriesOrder, running, value_bucket
+from seriesloom.session import materialize
 
 _GROUP = "__g"
 
@@ -49,6 +50,18 @@ def _narrowed(counts: DataFrame, targets: DataFrame, sizes: Sequence[Column]) ->
     return counts, _holding(parts.select("*", F.explode("__want").alias("__w")).select("*", "__w.*"))
 
 
+def _sorted_quantiles(keyed: DataFrame, wanted: Column, out: Sequence[Column]) -> DataFrame:
+    """Quantiles of groups that are small enough to be sorted in one row."""
+    lists = keyed.groupBy(_GROUP).agg(F.sort_array(F.collect_list("__v")).alias("__a"))
+    ranks = lists.select(_GROUP, "__a", F.size("__a").cast("bigint").alias("__n"), wanted.alias("__p"))
+    position = F.col("__p") * (F.col("__n") - 1)
+    at = lambda rank: F.get("__a", rank.cast("int"))
+    low, high = at(F.floor(position)), at(F.ceil(position))
+    return ranks.select(
+        *out, F.col("__p").alias("probability"), F.col("__n").alias("n"), (low + (high - low) * (position - F.floor(position))).alias("quantile")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -56,12 +69,14 @@ def exact_quantiles(
     probabilities: Sequence[float],
     freq: str | Column | None = None,
     rounds: int = 1,
+    at_once: int = 0,
 ) -> DataFrame:
     """Long result: ``by``, ``probability``, ``n``, ``quantile`` (NULL values are ignored).
 
     ``freq`` gives whole-number multiplicities. Grouping treats NULL keys as one group. Each of ``rounds``
     narrows the wanted buckets ``PARTS`` times before what is left of them is ordered; more of them suit
-    values that crowd far closer than a bucket is wide.
+    values that crowd far closer than a bucket is wide. Without ``freq``, groups of up to ``at_once`` values
+    are sorted in one row each, so that many short series do not go through all those joins.
     """
     by = list(by)
     col = F.col(value) if isinstance(value, str) else value
@@ -73,6 +88,16 @@ def exact_quantiles(
         (col.cast("double") + 0.0).alias("__v"),
         weight.alias("__f"),
     ).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.col("__f") > 0))
+    out = [F.col(f"{_GROUP}.{c}").alias(c) for c in by]
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    sorted_ = None
+    if at_once and freq is None:
+        sizes = keyed.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("__n"))
+        large = materialize(sizes.filter(F.col("__n") > at_once).select(_GROUP))
+        sorted_ = _sorted_quantiles(keyed.join(large, _GROUP, "left_anti"), wanted, out)
+        if large.isEmpty():
+            return sorted_
+        keyed = keyed.join(large, _GROUP, "left_semi")
     counts = (
         keyed.groupBy(_GROUP, "__v")
         .agg(F.sum("__f").alias("__c"))
@@ -87,7 +112,6 @@ def exact_quantiles(
         .withColumn("__before", F.coalesce(F.sum("__bc").over(earlier), F.lit(0)))
         .withColumn("__n", F.sum("__bc").over(whole))
     )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     position = F.col("__p") * (F.col("__n") - 1)
     targets = _holding(buckets.withColumn("__p", wanted).withColumn("__lo", F.floor(position)).withColumn("__hi", F.ceil(position)))
     for _ in range(rounds):
@@ -110,13 +134,13 @@ def exact_quantiles(
         )
     )
     part = F.col("__p") * (F.col("__n") - 1) - F.col("__lo")
-    out = [F.col(f"{_GROUP}.{c}").alias(c) for c in by]
-    return picked.select(
+    located = picked.select(
         *out,
         F.col("__p").alias("probability"),
         F.col("__n").alias("n"),
         (F.col("__vl") + (F.col("__vh") - F.col("__vl")) * part).alias("quantile"),
     )
+    return located if sorted_ is None else located.unionByName(sorted_)
 
 
 def quantile_columns(
@@ -125,9 +149,10 @@ def quantile_columns(
     value: str | Column,
     columns: dict[str, float],
     freq: str | Column | None = None,
+    at_once: int = 0,
 ) -> DataFrame:
     """Wide form of :func:`exact_quantiles`: one row per group, one column per probability."""
-    long = exact_quantiles(df, by, value, sorted(set(columns.values())), freq)
+    long = exact_quantiles(df, by, value, sorted(set(columns.values())), freq, at_once=at_once)
     return long.groupBy(*by).agg(
         *[
             F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)

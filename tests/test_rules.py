@@ -190,6 +190,22 @@ def test_pair_errors_with_missing_values_and_keys(spark, at_once):
     assert got == {(1, 3, 4.0, 4.0, 4.0), (2, 1, None, None, None)}
 
 
+def test_quantiles_of_short_series_are_sorted_in_one_row(spark):
+    """Equal to the way by buckets, bit for bit, and without its windows where no group is large."""
+    from seriesloom.operators.quantiles import quantile_columns
+
+    rng = np.random.default_rng(21)
+    g = [None, *[int(v) for v in rng.integers(0, 6, 299)]]
+    rows = [(k, float(v)) for k, v in zip(g, rng.normal(0, 40, 300))] + [(7, None), (2, float("nan")), (0, None)]
+    d = spark.createDataFrame(rows, "g long, v double")
+    wide = lambda n: quantile_columns(d, ["g"], "v", {"a": 0.05, "b": 0.5, "c": 1.0}, at_once=n)
+    want = {tuple(r) for r in wide(0).collect()}
+    assert len(want) == 7
+    for at_once in (50, 1000):
+        assert {tuple(r) for r in wide(at_once).collect()} == want
+    assert "Window" not in wide(1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeated_and_missing_keys_fail_whatever_is_read(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k long, v string")
     b = spark.createDataFrame([(1, "u")], "k long, w string")
