@@ -271,6 +271,22 @@ def assign_then_gate(
     return pairs if gate is None else pairs.filter(F.col("distance") <= gate)
 
 
+def _first_choices(cost: np.ndarray) -> dict[int, int] | None:
+    """The one best assignment where every row with an allowed column can have its own least one, else nothing."""
+    out: dict[int, int] = {}
+    taken = set()
+    for i, row in enumerate(cost.tolist()):
+        least = min(row)
+        if least == math.inf:
+            continue
+        j = row.index(least)
+        if j in taken or row.count(least) > 1:
+            return None
+        taken.add(j)
+        out[i] = j
+    return out
+
+
 def solve_scores(cost: np.ndarray) -> dict[int, int]:
     """Least-cost row to column assignment of a small table (inf = not allowed).
 
@@ -281,6 +297,9 @@ def solve_scores(cost: np.ndarray) -> dict[int, int]:
     allowed = np.isfinite(cost)
     if not allowed.any():
         return {}
+    first = _first_choices(cost)
+    if first is not None:
+        return first
     floor = cost[allowed].min()
     price = (cost[allowed].max() - floor + 1.0) * (n + 1)
     table = np.full((n, m + n), price)

@@ -108,6 +108,34 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return normal_cdf_and_bell(x)[0]
 
 
+def ascending(values: np.ndarray) -> np.ndarray:
+    """Order of values that are not negative, ties by place; values that differ in their last bits only count as ties.
+
+    Such doubles are ordered as their bits are, so their places ride in the last bits and one plain sort of whole
+    numbers does.
+    """
+    n = len(values)
+    places = (1 << n.bit_length()) - 1
+    keys = (values.view(np.int64) & ~places) | np.arange(n)
+    keys.sort()
+    return keys & places
+
+
+def comb_counts(cumulative: np.ndarray, comb: np.ndarray) -> np.ndarray:
+    """How many teeth of an even, ascending comb fall to each particle; what is left goes to the last one.
+
+    A tooth belongs to the first particle whose cumulative weight is above it. The teeth below a weight are
+    guessed from the even spacing; the guess is at most one off and compared with the teeth themselves.
+    """
+    n = len(comb)
+    below = np.ceil((cumulative - comb[0]) * n).clip(0, n).astype(np.int64)
+    edges = np.concatenate([[-np.inf], comb, [np.inf]])
+    below -= edges[below] >= cumulative
+    below += edges[below + 1] < cumulative
+    below[-1] = n
+    return np.diff(below, prepend=0)
+
+
 class Particles:
     """State of one entity. Small, and storable as bytes between slices or micro-batches."""
 
@@ -162,7 +190,7 @@ class Particles:
             return
         n = len(self.weight)
         comb = (self.rng.random() + np.arange(n)) / n
-        take = np.minimum(np.searchsorted(np.cumsum(self.weight), comb, side="right"), n - 1)
+        take = np.repeat(np.arange(n), comb_counts(np.cumsum(self.weight), comb))
         self.level, self.rate = self.level[take], self.rate[take]
         self.weight = np.full(n, 1 / n)
         self.ess = float(n)
@@ -176,7 +204,7 @@ class Particles:
         level = self.rate * days
         level += self.level
         level += moves[0]
-        self.level = np.minimum(np.maximum(level, LEVEL_MIN, out=level), LEVEL_MAX, out=level)
+        self.level = np.clip(level, LEVEL_MIN, LEVEL_MAX, out=level)
         if s.field:
             knots = np.asarray(s.field, float)
             pull = np.interp(self.level, knots[:, 0], knots[:, 1])
@@ -185,7 +213,7 @@ class Particles:
         elif s.reversion != 1.0:
             self.rate = self.rate * s.reversion**days
         rate = self.rate + moves[1]
-        self.rate = np.minimum(np.maximum(rate, s.min_rate, out=rate), s.max_rate, out=rate)
+        self.rate = np.clip(rate, s.min_rate, s.max_rate, out=rate)
 
     def moments(self, values: np.ndarray) -> tuple[float, float]:
         mean = float(self.weight @ values)
@@ -298,9 +326,9 @@ class Particles:
     def posterior(self) -> dict[str, float]:
         mean, var = self.moments(self.level)
         rate, rate_var = self.moments(self.rate)
-        order = np.argsort(self.level)
+        order = ascending(self.level)
         share = np.cumsum(self.weight[order])
-        points = np.interp(POSTERIOR_P, share / share[-1], self.level[order])
+        points = np.interp(np.multiply(POSTERIOR_P, share[-1]), share, self.level[order])
         return {
             "posterior_mean_cm": mean,
             "posterior_sd_cm": math.sqrt(max(var, 0.0)),

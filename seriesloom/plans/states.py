@@ -228,7 +228,7 @@ def t06_calibrated(t):
 @query("t06_selected_candidates")
 def t06_selected(t):
     frames, candidates = frames_and_candidates(t)
-    return TR.selected_candidates(candidates, TR.track(frames, candidates, TRACK))
+    return TR.selected_candidates(candidates, TR.track(frames, candidates, TRACK, ["filename", "candidate_index", "plant_uid"]))
 
 
 _CROWDED = 8
@@ -245,12 +245,12 @@ def t07_warnings(t):
     frames, candidates = frames_and_candidates(t)
     few = PF.FilterSettings(particles=50, quantiles=False)
     settings = replace(TRACK, expected=_CROWDED * 2, separation=0.0, filter=few)
-    return TR.start_warnings(frames, TR.track(frames, candidates, settings), settings)
+    return TR.start_warnings(frames, TR.track(frames, candidates, settings, ["camera_id"]), settings)
 
 
 @query("t07_prediction_only_rows")
 def t07(t):
-    rows = TR.track(*frames_and_candidates(t), TRACK)
+    rows = TR.track(*frames_and_candidates(t), TRACK, ["camera_id", "status", "plant_uid", "filename"])
     return rows.groupBy("camera_id", "status").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("plant_uid").alias("tracks"), F.countDistinct("filename").alias("frames")
     )
@@ -258,7 +258,7 @@ def t07(t):
 
 @query("j12_scored_assignment_is_one_to_one")
 def j12(t):
-    rows = TR.track(*frames_and_candidates(t), TRACK).filter("candidate_index IS NOT NULL")
+    rows = TR.track(*frames_and_candidates(t), TRACK, ["filename", "candidate_index", "plant_uid"]).filter("candidate_index IS NOT NULL")
     return rows.groupBy("filename").agg(
         F.count(F.lit(1)).alias("assigned"),
         (F.countDistinct("candidate_index") == F.count(F.lit(1))).alias("candidates_distinct"),

@@ -258,3 +258,55 @@ def test_reweighting_by_plain_densities_equals_logarithms(value, sd, p_out):
     np.testing.assert_allclose(got, want, rtol=1e-10, atol=1e-12)
     np.testing.assert_allclose(a.weight, b.weight, rtol=1e-9, atol=1e-15)
     assert a.ess == pytest.approx(b.ess)
+
+
+def test_states_are_summed_up_only_for_outputs_that_need_it(spark, folder, monkeypatch):
+    frames, candidates = frames_and_candidates(Tables(spark, folder))
+    names = ["filename", "plant_uid", "candidate_index", "status"]
+    whole = TR.track(frames, candidates, TRACK).select(*names)
+    few = TR.track(frames, candidates, TRACK, names).select(*names)
+    assert few.count() == whole.count() > 0
+    assert few.exceptAll(whole).isEmpty()
+
+    def refuse(self):
+        raise AssertionError("nobody asked for a summary")
+
+    monkeypatch.setattr(PF.Particles, "posterior", refuse)
+    c = {"candidate_index": 1, "confidence": 0.9, "x_root_fraction": 0.5, "y_top": 100.0, "y_root": 400.0, "height_px": 300.0}
+    tracker = TR.CameraTracker("c", replace(TRACK, expected=1), summaries=False)
+    assert [r["status"] for at in (0, 86_400_000_000) for r in tracker.frame(at, "f", [c], None)] == ["measured", "measured"]
+
+
+def test_resampling_by_counts_equals_a_search_for_each_tooth():
+    rng = np.random.default_rng(5)
+    for power in (1, 6, 40):
+        for n in (1, 2, 37, 400):
+            weight = rng.random(n) ** power * (rng.random(n) < 0.7)
+            weight[rng.integers(n)] = 1.0
+            cumulative = np.cumsum(weight / weight.sum())
+            for start in (0.0, rng.random(), 1 - 2**-53):
+                comb = (start + np.arange(n)) / n
+                want = np.minimum(np.searchsorted(cumulative, comb, side="right"), n - 1)
+                assert np.repeat(np.arange(n), PF.comb_counts(cumulative, comb)).tolist() == want.tolist()
+
+
+def test_order_by_one_sort_of_whole_numbers():
+    values = np.clip(np.random.default_rng(6).normal(3, 5, 5000).round(2), 0, 12)
+    assert PF.ascending(values).tolist() == np.argsort(values, kind="stable").tolist()
+
+
+def test_linear_state_equals_its_matrix_form():
+    s = replace(TRACK, linear=True)
+    state = TR.LinearState(s)
+    state.start(80.0, 0)
+    x, p = np.array([80.0, 0.0]), np.diag([s.base_sd**2, s.filter.initial_rate_sd**2])
+    for days, value in ((0.25, 84.0), (3.0, 79.0), (0.5, 91.0)):
+        move = np.array([[1.0, days], [0.0, 1.0]])
+        x, p = move @ x, move @ p @ move.T + np.diag([s.filter.level_sd**2, s.filter.rate_sd**2]) * days
+        gain = p[:, 0] / (p[0, 0] + 9.0)
+        x, p = x + gain * (value - x[0]), p - np.outer(gain, p[0])
+        state.advance(days)
+        state.reweight(value, 3.0)
+        got = state.posterior()
+        assert (got["posterior_mean_cm"], got["posterior_growth_mean_cm_day"]) == pytest.approx(tuple(x))
+        assert (got["posterior_sd_cm"], got["posterior_growth_sd_cm_day"]) == pytest.approx(tuple(np.sqrt(np.diag(p))))
