@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,42 @@ def test_every_word_has_its_context_however_large_the_corpus(spark):
     seen = {(r.before, r.after) for r in pairs.collect()}
     key, lock, n0 = (int(h) for h in lm.word_hashes([b"key", b"lock", b"n0"]))
     assert {(key, lock), (lock, n0), (n0, n0), (n0, lm.END_HASH)} <= seen and words.count() == 50 + 2 + 40 + 1
+
+
+def test_hashes_of_stretches_are_those_of_words():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ABCabcxyz \t\n\x0b\x1f\xc3\xa4") for _ in range(rng.randrange(200))) for _ in range(500)]
+    texts += [b"", b" ", b"a" * 31, b"b" * 32, b"c" * 100 + b" d", b"x", b"", b"A"]
+    for of in (pa.array(texts, pa.binary()), pa.array([b"other", *texts, b"rest"], pa.binary()).slice(1, len(texts))):
+        found, first = lm.encode(of)
+        want, places = [], []
+        for t in texts:
+            places.append(len(want))
+            want += [*lm.word_hashes(t.lower().split()), lm.END_HASH]
+        assert found.tolist() == want and first.tolist() == places
+
+
+@pytest.mark.parametrize("block", [24 << 20, 3000])
+def test_digest_equals_scores_from_the_tables_of_words_and_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    df = documents(spark, [*corpus(100, 6), "", "only here", "only here too"])
+    slim = df.select("doc_id", utf8("text").alias("body"))
+    model, words, pairs = lm.train(slim.filter(F.pmod(lm.crc_of_id("doc_id"), F.lit(7)) != 2), Scratch(spark, "t"))
+    want = {r.doc_id: r.score for r in lm.score(slim, model, words, pairs).collect()}
+    got = {r.doc_id: r.score for r in lm.digest(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+
+
+def test_pairs_do_not_travel_row_by_row(spark, monkeypatch):
+    rows, write = [], Scratch.write
+
+    def counted(self, df):
+        out = write(self, df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    assert lm.digest(documents(spark, corpus(200, 7))).count() == 200
+    assert rows and max(rows) < 100  # some thousand pairs, held by one part
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == before
