@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Scratch, binary_parts, crc_of_id, each_slice, mix, release, utf8
+from seriesloom.llm.common import Scratch, binary_parts, crc_of_id, each_slice, mix, release, slices, utf8
 
 START, END, RARE, FIRST = 0, 1, 2, 3  # symbols of a numbered view; START is only a context, RARE all unknown words
 PARTY = 32
@@ -301,19 +301,20 @@ def seat(customers: np.ndarray, expected: np.ndarray, others: np.ndarray, streng
     restaurant. Chance comes from hashes of ``keys`` and ``sweep``: a repeated task draws the same.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
-    present = tables.copy()
-    seed = mix(keys.view(np.uint64) + mix(np.array([sweep + 1])))
-    active, round_ = np.flatnonzero(customers > 1), 0
-    while len(active):
+    at, round_ = np.flatnonzero(customers > 1), 0
+    c, e, o, seed = customers[at], expected[at], others[at], mix(keys.view(np.uint64)[at] + mix(np.array([sweep + 1])))
+    t, n = np.ones(len(at)), np.ones(len(at))
+    while len(at):
         round_ += 1
-        t, n = tables[active], present[active]
-        size = np.minimum(np.maximum(1, n // PARTY), customers[active] - n)
-        opening = (strength + discount * (others[active] + t)) * expected[active]
+        size = np.minimum(np.maximum(1, np.floor(n / PARTY)), c - n)
+        opening = (strength + discount * (o + t)) * e
         chance = opening / (opening + n - discount * t)
-        draw = (mix(seed[active] + np.uint64(round_)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        tables[active] = t + np.minimum(size, np.floor(size * chance + draw))
-        present[active] = n + size
-        active = active[present[active] < customers[active]]
+        draw = (mix(seed + np.uint64(round_)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        t += np.minimum(size, np.floor(size * chance + draw))
+        n += size
+        on = n < c
+        tables[at[~on]] = t[~on]
+        at, c, e, o, seed, t, n = (x[on] for x in (at, c, e, o, seed, t, n))
     return tables.astype(np.int64)
 
 
@@ -566,7 +567,7 @@ class Seated:
     blocked: DataFrame
     pair_parts: int
     word_parts: int
-    counted: DataFrame
+    places: DataFrame
     opened: DataFrame
     seats: DataFrame
     words: DataFrame
@@ -599,11 +600,11 @@ def seat_all(docs: DataFrame, scratch: Scratch, strength: float, burn_in: int, s
     blocked, blocks = in_blocks(docs)
     pair_parts, parts = (-(-blocks // n) for n in BLOCKS_A_PART)
     with little_disk(docs.sparkSession):
-        counted = []
+        held = []
         for round_ in range(ROUNDS):
             told = blocked.select("block", "body", "learned").mapInArrow(_contents(pair_parts, parts, round_, ROUNDS), MESSAGE)
-            counted.append(scratch.write(meet(told, pair_parts + parts, _count(blocks, pair_parts, parts))))
-        counted = reduce(DataFrame.unionByName, counted)
+            held.append(scratch.write(meet(told, pair_parts + parts, _count(blocks, pair_parts, parts))))
+        counted = reduce(DataFrame.unionByName, held)
         discount = discount_of(*_totals(counted))
         opened = scratch.write(meet(_of(counted, SUMS, WANTED).withColumn("part", F.col("part") - pair_parts), parts, _open_words(discount)))
 
@@ -619,7 +620,8 @@ def seat_all(docs: DataFrame, scratch: Scratch, strength: float, burn_in: int, s
         tokens, types, starts = summed(_of(opened, WORDS).mapInArrow(counts, "tokens long, types long, starts long"))
         base = 1 / (max(types, 1) + 1)
         guests, root = _totals(opened)
-        seats, words, held = counted, opened, ()
+        places = scratch.write(_of(counted, PLACES))
+        seats, words = counted, opened
         unknown, of_sample = [], []
         for sweep in range(burn_in + samples):
             kept = sweep >= burn_in
@@ -638,7 +640,7 @@ def seat_all(docs: DataFrame, scratch: Scratch, strength: float, burn_in: int, s
     start = _start_tables(words, parts)
     if starts:
         model.start_open = (strength + discount * start) / (strength + starts)
-    return model, Seated(blocked, pair_parts, parts, counted, opened, seats, words)
+    return model, Seated(blocked, pair_parts, parts, places, opened, seats, words)
 
 
 def train(training: DataFrame, scratch: Scratch, strength: float = 1.0, burn_in: int = 2, samples: int = 3) -> tuple[Model, DataFrame, DataFrame]:
@@ -806,7 +808,7 @@ def _judge(model: Model, pair_parts: int, parts: int) -> Callable:
     def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, tokens, firsts, learned, ends = [], [], [], [], [0]
         for batch in texts.combine_chunks().to_batches():
-            for part in each_slice([batch], "body"):
+            for part in slices(batch, "body"):
                 found, first = encode(part.column("body"))
                 ids.append(part.column("doc_id"))
                 tokens.append(found)
@@ -860,7 +862,6 @@ def _judge(model: Model, pair_parts: int, parts: int) -> Callable:
             [pa.chunked_array(ids, pa.int64()), np.concatenate(sizes), *(np.concatenate(x) for x in zip(*sums))],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
-        release()
         return out
 
     return judge
@@ -893,7 +894,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held_out = F.pmod(crc_of_id("doc_id"), F.lit(7)) == 2
     model, seated = seat_all(slim.withColumn("learned", ~held_out), scratch, strength=1.0, burn_in=2, samples=3)
     of_pairs, of_words = _block_values(len(model.unknown))
-    answers = meet(_of(seated.seats, SEATS).unionByName(_of(seated.counted, PLACES)), seated.pair_parts, of_pairs)
+    answers = meet(_of(seated.seats, SEATS).unionByName(seated.places), seated.pair_parts, of_pairs)
     answers = answers.unionByName(meet(_of(seated.words, WORDS, SAMPLE).unionByName(_of(seated.opened, ASKED)), seated.word_parts, of_words))
     out = _scored(seated.blocked, seated.pair_parts, answers, model, seated.word_parts)
     return out.select(
