@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.scalars import FT_TO_CM, projective_height
 from seriesloom.operators.ordering import SeriesOrder, number_rows, previous, running
 from seriesloom.operators.quantiles import exact_quantiles, quantile_columns
-from seriesloom.session import materialize
+from seriesloom.session import materialize, sorted_by_key
 
 
 def fit_projective(
@@ -216,13 +216,18 @@ def loco_predictions(df: DataFrame, folds: DataFrame, x: str, y: str, cluster: s
 
 
 def merge_close(df: DataFrame, keys: Sequence[str], limit: float = 8.0, ties: Sequence[str] = ("x",)) -> DataFrame:
-    """Chain marks whose rows are at most ``limit`` apart into one area-weighted mark."""
+    """Chain marks whose rows are at most ``limit`` apart into one area-weighted mark.
+
+    Marks of a chain are added in their order, so that the last bits of the mark are the same in each run.
+    """
     keys = list(keys)
     order = SeriesOrder.by_value(tuple(keys), "y", tuple(ties))
     marks = previous(df, order, {"__y1": ("y", 1)})
     starts = F.when(F.col("y") - F.col("__y1") <= limit, 0).otherwise(1).cast("bigint")
     marks = running(marks, order, {"island": ("sum", starts)})
     area = F.col("area")
+    # The sort is by task and spills; sums then need no further exchange and see a chain's marks from top to bottom.
+    marks = sorted_by_key(marks, [*keys, "island"], ["y", *ties])
     return marks.groupBy(*keys, "island").agg(
         (F.sum(F.col("x") * area) / F.sum(area)).alias("x"),
         (F.sum(F.col("y") * area) / F.sum(area)).alias("y"),

@@ -5,7 +5,8 @@ into *chunks* by a fixed function of its order column (time bucket or value buck
 per ``(key, chunk)``, and the little that has to cross a chunk border travels as extra rows:
 
 * ``with_halo``  - the last ``n`` rows before the chunk, for lag and short ROWS frames;
-* ``running``    - one row holding the aggregate of all earlier chunks, for cumulative frames.
+* ``running``    - one row holding the aggregate of all earlier chunks, for cumulative frames;
+* ``running_sixteens`` - a running sum of doubles added in a fixed order, whatever the chunks.
 
 The extra rows come from a map-side reduced pass, so the full rows are shuffled once. These borders
 do not depend on the data, so a later row never changes the chunk of an earlier one.
@@ -19,13 +20,17 @@ the borders.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seriesloom.session import materialize
+from seriesloom.session import materialize, sorted_by_key
 
 CHUNK = "__chunk"
 HALO = "__halo"
@@ -227,3 +232,110 @@ def running(
 def number_rows(df: DataFrame, by: SeriesOrder, output: str = "sequence_number") -> DataFrame:
     """1-based position of each row in its series."""
     return running(df, by, {output: ("sum", F.lit(1).cast("bigint"))})
+
+
+SIXTEEN = 16
+CELL = SIXTEEN**4  # rows of a series that one task adds at once
+
+
+def sums_by_sixteens(values: np.ndarray, lengths: np.ndarray, carry: np.ndarray) -> np.ndarray:
+    """Running sums of consecutive stretches: rows are added to whole blocks of 16 rows, those to whole blocks of
+    256, and so on, each from left to right. ``carry`` is what stands before each stretch."""
+    held = -(-lengths // SIXTEEN)
+    starts = np.cumsum(lengths) - lengths
+    at = np.arange(len(values)) - np.repeat(starts, lengths)
+    block = np.repeat(np.cumsum(held) - held, lengths) + at // SIXTEEN
+    grid = np.zeros((int(held.sum()), SIXTEEN))
+    grid[block, at % SIXTEEN] = values
+    full = lengths // SIXTEEN
+    number = np.arange(len(grid)) - np.repeat(np.cumsum(held) - held, held)
+    whole = number < np.repeat(full, held)
+    before = np.repeat(carry, held)
+    after = np.zeros(len(grid))
+    if whole.any():
+        total = np.zeros(len(grid))
+        for column in grid.T:
+            total = total + column
+        after[whole] = sums_by_sixteens(total[whole], full, carry)
+        before[1:] = np.where(number[1:] > 0, after[:-1], before[1:])
+    sums = np.empty_like(grid)
+    for k in range(SIXTEEN):
+        before = before + grid[:, k]
+        sums[:, k] = before
+    sums[whole, -1] = after[whole]
+    return sums[block, at % SIXTEEN]
+
+
+def _changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Places where another key begins, with 0."""
+    new = np.zeros(max(len(table) - 1, 0), dtype=bool)
+    for k in keys:
+        a, b = table[k].slice(1), table[k].slice(0, len(table) - 1)
+        differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+        new |= differs.astype(bool)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _added(df: DataFrame, keys: Sequence[str], order: Sequence[str], output: str) -> DataFrame:
+    """``df`` with the sum of ``__v`` so far, in the order of each key; ``__carry`` stands before its first row and
+    ``__after`` is the sum at its last, where there are such columns."""
+    keys, kept = list(keys), [f for f in df.schema.fields if f.name not in ("__v", "__carry", "__after")]
+    names = [f.name for f in kept]
+
+    def done(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lengths = np.diff(np.append(starts, len(table)))
+        present = pc.is_valid(table["__v"]).to_numpy().astype(bool)
+        carry, known = np.zeros(len(starts)), np.zeros(len(starts), dtype=bool)
+        if "__carry" in table.column_names:
+            first = table["__carry"].take(pa.array(starts))
+            carry, known = pc.fill_null(first, 0.0).to_numpy().astype(float), pc.is_valid(first).to_numpy().astype(bool)
+        sums = sums_by_sixteens(pc.fill_null(table["__v"], 0.0).to_numpy().astype(float), lengths, carry)
+        if "__after" in table.column_names:
+            last = starts + lengths - 1
+            after = table["__after"].take(pa.array(last))
+            given = pc.is_valid(after).to_numpy().astype(bool)
+            sums[last[given]] = pc.fill_null(after, 0.0).to_numpy()[given]
+        many = np.cumsum(present)
+        before = np.repeat(many[starts] - present[starts], lengths)
+        empty = (many == before) & ~np.repeat(known, lengths)
+        yield from table.select(names).append_column(output, pa.array(sums, mask=empty)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # rows of the key that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            if held and len(_changes(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), table.slice(0, 1)]), keys)) < 2 and len(_changes(table, keys)) < 2:
+                held.append(table)
+                continue
+            table = pa.concat_tables([*held, table])
+            starts = _changes(table, keys)
+            if len(starts) > 1:
+                yield from done(table.slice(0, starts[-1]), starts[:-1])
+            held = [table.slice(starts[-1])]
+        if held:
+            yield from done(pa.concat_tables(held), np.zeros(1, dtype=np.int64))
+
+    return sorted_by_key(df, keys, list(order)).mapInArrow(run, T.StructType([*kept, T.StructField(output, T.DoubleType())]))
+
+
+def running_sixteens(df: DataFrame, by: SeriesOrder, output: str, value: Column) -> DataFrame:
+    """Running sum of doubles, each rounded as in an engine that keeps the sums of blocks of 16, 256, ... rows.
+
+    The order of addition is fixed by the rows' places in their series, so the last bits do not depend on chunks
+    or partitions. Series above ``CELL`` rows are added in cells of as many rows, each in a task of its own.
+    """
+    keys = list(by.keys)
+    rows = df.withColumn("__v", value.cast("double"))
+    large = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > CELL).select(*keys))
+    if large.isEmpty():
+        return _added(rows, keys, by.order, output)
+    numbered = number_rows(rows.join(large, keys, "left_semi"), by, "__n")
+    cells = materialize(numbered.withColumn("__cell", F.floor((F.col("__n") - 1) / CELL)))
+    whole = _added(cells.select(*keys, "__cell", "__n", "__v"), [*keys, "__cell"], ["__n"], "__total").filter(F.col("__n") % CELL == 0)
+    ends = materialize(_added(whole.select(*keys, "__cell", F.col("__total").alias("__v")), keys, ["__cell"], "__sum"))
+    cells = cells.join(ends.withColumnRenamed("__sum", "__after"), [*keys, "__cell"], "left")
+    cells = cells.join(ends.select(*keys, (F.col("__cell") + 1).alias("__cell"), F.col("__sum").alias("__carry")), [*keys, "__cell"], "left")
+    heavy = _added(cells, [*keys, "__cell"], ["__n"], output).select(*df.columns, output)
+    return _added(rows.join(large, keys, "left_anti"), keys, by.order, output).select(*df.columns, output).unionByName(heavy)

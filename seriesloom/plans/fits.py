@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators import bootstrap as B
 from seriesloom.operators import fitting as Fit
 from seriesloom.operators.consensus import pole_sequences
-from seriesloom.operators.ordering import number_rows, running
+from seriesloom.operators.ordering import number_rows, running, running_sixteens
 from seriesloom.plans.registry import EVENT_ORDER, query, rnd, sql_rnd
 from seriesloom.plans.scores import ESTIMATORS, FC, forecasts, rounded
 from seriesloom.session import materialize
@@ -276,7 +276,7 @@ BASE = """us AS (SELECT user_id, gap AS g FROM gp WHERE gap BETWEEN 18 AND 110),
 
 def marks(t):
     rows = t.events.select("user_id", "event_id", "ts", "value")
-    rows = running(rows, EVENT_ORDER, {"y": ("sum", F.col("value") * 2)})
+    rows = running_sixteens(rows, EVENT_ORDER, "y", F.col("value") * 2)
     e = F.col("event_id")
     return rows.select(
         "user_id",
