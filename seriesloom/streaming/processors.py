@@ -1,7 +1,7 @@
 """Stateful processors with named state variables, event-time clocks and expiry.
 
-State lives in the RocksDB store, one variable for each thing kept: particles and clock of a series; tracks,
-best fit, fits still ahead and clock of a camera. Nothing is serialised as a whole, and a micro-batch
+State lives in the RocksDB store, one variable for each thing kept: particles (of a short series its rows, which lead
+to the same particles again) and clock of a series; tracks, best fit, fits still ahead and clock of a camera. Nothing is serialised as a whole, and a micro-batch
 reads and writes only the keys it holds.
 
 The watermark runs on tick rows that are made beside every row and dropped again above it, so Spark never
@@ -125,8 +125,9 @@ def typed(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
 class FilterProcessor(Keyed):
     """The particle filter of one series."""
 
-    def __init__(self, plain: dict, names: Sequence[str], time: str, value: str, entity: str, ties: Sequence[str], columns: Mapping, schema: T.StructType, idle: str | None):
+    def __init__(self, plain: dict, names: Sequence[str], time: str, value: str, entity: str, ties: Sequence[str], columns: Mapping, schema: T.StructType, idle: str | None, outputs: Sequence[str] = OUTPUTS):
         super().__init__([US, *ties], idle)
+        self.outputs = tuple(outputs)
         self.plain, self.names, self.time, self.value, self.entity = plain, list(names), time, value, entity
         self.columns, self.schema = dict(columns), schema
 
@@ -139,21 +140,23 @@ class FilterProcessor(Keyed):
         label = str(key[0])
         held = self.particles.get()
         p = Particles.load(bytes(held[0]), label, s) if held else Particles(label, s)
+        if not held:
+            p.keep_inputs()
         (now, timer), out = self.now(), []
         for r in self.sorted_rows(rows):
             row = {n: r[n] for n in self.names}
             if pd.isna(r[US]):
-                out.append(row | dict.fromkeys(OUTPUTS) | {"arrival": "no_time"})
+                out.append(row | dict.fromkeys(self.outputs) | {"arrival": "no_time"})
                 continue
             us = int(r[US])
             why = self.reason(us, now, timerValues)
             if why:
-                out.append(row | dict.fromkeys(OUTPUTS) | {"arrival": why})
+                out.append(row | dict.fromkeys(self.outputs) | {"arrival": why})
                 continue
-            out.append(row | observed(p, r | {"__us": us}, r[self.value], self.columns) | {"arrival": "applied"})
+            out.append(row | observed(p, r | {"__us": us}, r[self.value], self.columns, self.outputs) | {"arrival": "applied"})
             now = us
         if now is not None:
-            self.particles.update((p.dump(),))
+            self.particles.update((p.dump_short(),))
         self.arm(now, timer)
         yield typed(out, self.schema)
 
