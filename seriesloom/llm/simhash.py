@@ -24,7 +24,8 @@ The number of compared pairs grows with the square of the number of classes: tha
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import Scratch, binary_parts, each_slice, mix, utf8
 from seriesloom.llm.components import components
 
+COPIES = 4  # of all rows that are dealt over cells at once
 BAND = 32_768  # classes in a band, on average: bounds what one cell holds
 TILE_ROWS, TILE_COLS = 128, 2048
 SCREEN, SPREAD = 128, 5.0  # bits compared first for a similarity, and deviations allowed in all comparisons
@@ -246,14 +248,38 @@ def proposals_of_cell(pdf: pd.DataFrame, radius: int, screen: tuple[int, int] |
     return out.assign(low=pdf["low"].iloc[0], high=pdf["high"].iloc[0])
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """Rows of ``classes`` (node and more) once for every cell of two bands."""
+def _stripes(bands: int) -> list[tuple[int, int]]:
+    """Ranges of lower bands whose cells hold about ``COPIES`` times all rows together."""
+    out, start, held = [], 0, 0
+    for low in range(bands):
+        held += 2 * (bands - low) - 1  # bands in the cells of this one
+        if held >= COPIES * bands or low == bands - 1:
+            out.append((start, low + 1))
+            start, held = low + 1, 0
+    return out
+
+
+def _cells(classes: DataFrame) -> Iterator[DataFrame]:
+    """Rows of ``classes`` (node and more) once for every cell of two bands, some cells at a time.
+
+    All cells together hold every row once for each band, which grows with the square of the rows; a table of cells
+    holds it a fixed number of times.
+    """
     bands = max(1, -(-classes.count() // BAND))
     banded = classes.withColumn("band", F.pmod(F.xxhash64("node"), F.lit(bands)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    cells = banded.withColumn("other", other).withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other")).drop("other")
-    # The number is given: cells are small to move and costly to compare, so none are merged.
-    return cells.repartition(bands * (bands + 1) // 2, "low", "high")
+    for first, last in _stripes(bands):
+        # Cells (low, high) with low in the stripe: a row is the upper one of all lower bands in it, and the lower one of all above.
+        lower = F.sequence(F.lit(first), F.least(F.col("band"), F.lit(last - 1)))
+        upper = F.when(F.col("band").between(first, last - 1), F.sequence(F.col("band"), F.lit(bands - 1))).otherwise(F.array().cast("array<int>"))
+        cells = banded.filter(F.col("band") >= first).withColumn("other", F.explode(F.array_union(lower, upper)))
+        cells = cells.withColumn("low", F.least("band", "other")).withColumn("high", F.greatest("band", "other")).drop("other")
+        # The number is given: cells are small to move and costly to compare, so none are merged.
+        yield cells.repartition(sum(bands - low for low in range(first, last)), "low", "high")
+
+
+def _of_cells(classes: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], kind: str, scratch: Scratch) -> DataFrame:
+    """What ``compare`` gives for every cell; cells are gone before the next ones are made."""
+    return reduce(DataFrame.unionByName, [scratch.write(c.groupBy("low", "high").applyInPandas(compare, kind)) for c in _cells(classes)])
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,8 +355,7 @@ def similar_roots(docs: DataFrame, classes: DataFrame, words: int, bits: int, si
         return shingle_sets(texts.join(named.join(nodes, "node"), "text_hash").dropDuplicates(["node"]), words)
 
     kind = "a long, b long, waits boolean, low int, high int"
-    cells = _cells(classes.select("node", "fp", F.col("node").alias("label")))
-    found = scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: proposals_of_cell(pdf, reach, screen, MOST), kind))
+    found = _of_cells(classes.select("node", "fp", F.col("node").alias("label")), lambda pdf: proposals_of_cell(pdf, reach, screen, MOST), kind, scratch)
     pairs, waiting = found.filter("not waits"), found.filter("waits")
     sets = scratch.write(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     links = scratch.write(similar_pairs(pairs, sets, similarity))
@@ -368,8 +393,8 @@ def groups(docs: DataFrame, words: int = 5, bits: int = 2048, radius: int | None
     if radius is None:
         roots = similar_roots(docs, classes, words, bits, similarity, text_col, scratch)
     else:
-        cells = _cells(classes.select("node", "fp"))
-        roots = components(scratch.write(cells.groupBy("low", "high").applyInPandas(lambda pdf: links_of_cell(pdf, radius), "a long, b long")), scratch)
+        links = _of_cells(classes.select("node", "fp"), lambda pdf: links_of_cell(pdf, radius), "a long, b long", scratch)
+        roots = components(links, scratch)
     labelled = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("least"))
     labels = labelled.select("node", "root").join(firsts, "root").select("node", "least")
